@@ -6,30 +6,29 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
-from kindred.functions.text import words
+from kindred.functions.text import SPACE
 
 
-def parse_tags(tagged: Column) -> Column:
-    """``token/TAG token/TAG ...`` as ``array<struct<tok, pos>>``.
+# A word with a last slash that is not its first character: what precedes it, and the tag after it.
+_TAGGED = rf"(?U)(?<![^{SPACE}])([^{SPACE}]+)/([^{SPACE}/]*)"
+
 
-    The tag is what follows the last slash, upper-cased, possibly empty. Words without a slash or with
-    nothing before the last slash are dropped.
+def tagged_tokens(tagged: Column) -> Column:
+    """The tokens of ``token/TAG token/TAG ...``, split at each word's last slash.
+
+    Words without a slash or with nothing before the last slash are dropped; NULL gives an empty array.
     """
+    return F.regexp_extract_all(F.coalesce(tagged, F.lit("")), F.lit(_TAGGED), F.lit(1))
 
-    def tag(word: Column) -> Column:
-        return F.substring_index(word, "/", -1)
 
-    # Without a slash substring_index returns the whole word, so one length test covers both drops.
-    items = F.filter(
-        words(F.coalesce(tagged, F.lit(""))), lambda w: F.length(tag(w)) < F.length(w) - F.lit(1)
-    )
-    return F.transform(
-        items,
-        lambda w: F.struct(
-            F.left(w, F.length(w) - F.length(tag(w)) - F.lit(1)).alias("tok"),
-            F.upper(tag(w)).alias("pos"),
-        ),
-    )
+def tagged_tags(tagged: Column) -> Column:
+    """The upper-cased, possibly empty tags that belong to :func:`tagged_tokens`."""
+    return F.regexp_extract_all(F.upper(F.coalesce(tagged, F.lit(""))), F.lit(_TAGGED), F.lit(2))
+
+
+def parse_tags(tagged: Column) -> Column:
+    """Both as ``array<struct<tok, pos>>``. Regex passes only, so the expression stays out of lambdas."""
+    return F.arrays_zip(tagged_tokens(tagged).alias("tok"), tagged_tags(tagged).alias("pos"))
 
 
 def tokens_tagged(parsed: Column, *tags: str) -> Column:
@@ -50,10 +49,19 @@ def tokens_by_tag(parsed: Column) -> Column:
 
 
 def tag_count(tags: Column, tag: str) -> Column:
-    return F.size(F.filter(tags, lambda p: p == tag))
+    return F.size(tags) - F.size(F.array_remove(tags, tag))
+
+
+def lexicon_tokens(parsed: Column, tags: Iterable[str], lexicon: Iterable[str]) -> Column:
+    """Parsed tokens, lower-cased, that carry one of ``tags`` and are in ``lexicon``."""
+    names, bag = list(tags), list(lexicon)
+    return F.transform(
+        F.filter(parsed, lambda x: x["pos"].isin(names) & F.lower(x["tok"]).isin(bag)),
+        lambda x: F.struct(F.lower(x["tok"]).alias("tok"), x["pos"].alias("pos")),
+    )
 
 
-def hits(tokens: Column, lexicon: Iterable[str]) -> Column:
-    """How many of ``tokens`` are in ``lexicon``."""
-    bag = list(lexicon)
-    return F.size(F.filter(tokens, lambda t: t.isin(bag)))
+def hits(found: Column, tags: Iterable[str], lexicon: Iterable[str]) -> Column:
+    """How many of the tokens from :func:`lexicon_tokens` carry one of ``tags`` and are in ``lexicon``."""
+    names, bag = list(tags), list(lexicon)
+    return F.size(F.filter(found, lambda x: x["pos"].isin(names) & x["tok"].isin(bag)))

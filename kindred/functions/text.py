@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# The characters Python's str.split() and str.strip() treat as whitespace. Java's \s is
-# ASCII only and its (?U) variant lacks \x1c-\x1f, so the class is spelled out.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# What Python's str.split() and str.strip() treat as whitespace. Java's Unicode \s lacks only
+# \x1c-\x1f. (Spelling the whole class out instead of using \s makes the matcher ten times slower.)
+SPACE = r"\s\x1c-\x1f"
+WORD_PATTERN = rf"(?U)[^{SPACE}]+"
 
 # Fixed value: a run of two or more word characters.
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -24,16 +25,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def words(text: Column) -> Column:
     """Whitespace-separated words; an empty array for blank text."""
-    return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    return F.regexp_count(text, F.lit(WORD_PATTERN))
 
 
 def normalised(text: Column) -> Column:

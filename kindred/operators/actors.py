@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kindred.functions.tags import hits, tokens_tagged
+from kindred.functions.tags import hits, lexicon_tokens
 from kindred.lexicons import ACTOR_NOUNS, PRONOUNS
-from kindred.operators.frames import top_k
-from kindred.operators.parsing import require_parsed
+from kindred.operators.frames import top_k, unnest
+from kindred.operators.parsing import ensure_parsed
 from kindred import schema as S
 
 Lexicon = Mapping[str, Sequence[str]]
@@ -28,14 +28,15 @@ def _counter_of(label: str) -> str:
 
 def with_addressing(df: DataFrame, nouns: Lexicon = ACTOR_NOUNS, pronouns: Lexicon = PRONOUNS) -> DataFrame:
     """Add six counters and ``addressing_label``. Any noun outranks any pronoun; row-local."""
-    parsed = F.col("parsed_pos")
     bags = {"noun": ("NOUN", nouns), "pron": ("PRON", pronouns)}
+    anywhere = sorted({w for _, lexicon in bags.values() for bag in lexicon.values() for w in bag})
     counters = {
-        f"{kind}_{category}": hits(tokens_tagged(parsed, tag), lexicon[category])
+        f"{kind}_{category}": hits(F.col("_found"), (tag,), lexicon[category])
         for kind, (tag, lexicon) in bags.items()
         for category in ("male", "female", "neutral")
     }
-    counted = require_parsed(df).withColumns(counters)
+    found = lexicon_tokens(F.col("parsed_pos"), ("NOUN", "PRON"), anywhere)
+    counted = ensure_parsed(df).withColumn("_found", found).withColumns(counters).drop("_found")
     label: Column = F.coalesce(
         *[F.when(F.col(_counter_of(x)) > 0, F.lit(x)) for x in LABELS], F.lit(NO_LABEL)
     )
@@ -85,13 +86,10 @@ def actor_noun_counts(df: DataFrame, nouns: Lexicon = ACTOR_NOUNS, by: Sequence[
     category = F.create_map(
         *[F.lit(x) for cat, bag in nouns.items() for word in bag for x in (word, cat)]
     )
-    found = (
-        require_parsed(df)
-        .select(*by, F.explode(tokens_tagged(F.col("parsed_pos"), "NOUN")).alias("token"))
-        .filter(F.col("token").isin([w for bag in nouns.values() for w in bag]))
-    )
+    words = [w for bag in nouns.values() for w in bag]
+    found = unnest(ensure_parsed(df), by, lexicon_tokens(F.col("parsed_pos"), ("NOUN",), words))
     return (
-        found.groupBy(*by, "token")
+        found.groupBy(*by, F.col("tok").alias("token"))
         .agg(F.count(F.lit(1)).alias("cnt"))
         .withColumn("category", F.try_element_at(category, F.col("token")))
     )

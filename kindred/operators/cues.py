@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from kindred import lexicons as L
-from kindred.functions.tags import hits, tokens_tagged
-from kindred.operators.frames import top_k
-from kindred.operators.parsing import ensure_parsed, require_parsed
+from kindred.functions.tags import hits, lexicon_tokens, tokens_tagged
+from kindred.operators.frames import top_k, unnest
+from kindred.operators.parsing import ensure_parsed
 
 # Output column of each tag list.
 TAG_COLUMNS = {"VERB": "verbs", "ADJ": "adjs", "ADV": "advs", "NOUN": "nouns"}
@@ -24,19 +24,22 @@ def with_cues(
     """Add the four lower-cased token lists and the three hit counts.
 
     Direction words count as adjective, adverb or noun; speed words as adjective or adverb; body parts as
-    noun. A row-local projection: no shuffle.
+    noun. A row-local projection: no shuffle. Lexicon words are picked out once, the counts read those few.
     """
-    parsed = F.col("parsed_pos")
+    parsed, found = F.col("parsed_pos"), F.col("_found")
+    anywhere = sorted({*direction, *speed, *body})
     return (
-        require_parsed(df)
+        ensure_parsed(df)
         .withColumns({c: tokens_tagged(parsed, t) for t, c in TAG_COLUMNS.items()})
+        .withColumn("_found", lexicon_tokens(parsed, ("ADJ", "ADV", "NOUN"), anywhere))
         .withColumns(
             {
-                "direction_hits": hits(F.concat("adjs", "advs", "nouns"), direction),
-                "speed_hits": hits(F.concat("adjs", "advs"), speed),
-                "body_part_mentions": hits(F.col("nouns"), body),
+                "direction_hits": hits(found, ("ADJ", "ADV", "NOUN"), direction),
+                "speed_hits": hits(found, ("ADJ", "ADV"), speed),
+                "body_part_mentions": hits(found, ("NOUN",), body),
             }
         )
+        .drop("_found")
     )
 
 
@@ -61,11 +64,10 @@ def top_by_tag(
     df: DataFrame, k: int = 30, tags: Sequence[str] = tuple(TAG_COLUMNS), by: Sequence[str] = ()
 ) -> DataFrame:
     """The k most frequent lower-cased tokens of each tag, from one explode and one aggregation."""
-    items = ensure_parsed(df).select(
-        *by, F.explode(F.arrays_zip(F.col("tokens").alias("tok"), F.col("pos_list").alias("pos"))).alias("_x")
-    )
+    tagged = F.arrays_zip(F.col("tokens").alias("tok"), F.col("pos_list").alias("pos"))
     counts = (
-        items.select(*by, F.col("_x.pos").alias("pos"), F.lower("_x.tok").alias("token"))
+        unnest(ensure_parsed(df), by, tagged)
+        .select(*by, "pos", F.lower("tok").alias("token"))
         .filter(F.col("pos").isin(list(tags)))
         .groupBy(*by, "pos", "token")
         .agg(F.count(F.lit(1)).alias("cnt"))

@@ -8,6 +8,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def unnest(df: DataFrame, keep: Sequence[str], array: Column, name: str | None = None) -> DataFrame:
+    """One row per element of ``array``, as column ``name`` or, for structs, as their fields.
+
+    A plain explode makes the optimizer infer a filter on the array's size below it, which computes an
+    expensive array twice. The outer variant does not; its row for an empty array is filtered out. Elements
+    (or the first field of structs) must not be null.
+    """
+    if name is None:
+        out = df.select(*keep, F.inline_outer(array))
+        first = out.columns[len(keep)]
+    else:
+        out = df.select(*keep, F.explode_outer(array).alias(name))
+        first = name
+    return out.filter(F.col(f"`{first}`").isNotNull())
+
+
 def attach(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add the columns of ``right`` to ``left``: one row per ``by`` key, or a single row without keys.
 

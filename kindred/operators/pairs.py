@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kindred import schema as S
 from kindred.functions.text import let
+from kindred.operators.frames import unnest
 
 # Pair ranks must fit a BIGINT. Beyond this group size the draw is over the captions with the smallest hashes,
 # which still gives every pair the same chance.
@@ -100,12 +101,8 @@ def same_group_pairs(
     def caption(position: Column) -> Column:
         return F.get(F.col("_captions"), (F.array_position(F.col("_used"), position) - F.lit(1)).cast("int"))
 
-    joined = drawn.join(sampled, group_col).select(
-        group_col,
-        F.inline(
-            F.transform("_pairs", lambda p: F.struct(caption(p["i"]).alias("x"), caption(p["j"]).alias("y")))
-        ),
-    )
+    chosen = F.transform("_pairs", lambda p: F.struct(caption(p["i"]).alias("x"), caption(p["j"]).alias("y")))
+    joined = unnest(drawn.join(sampled, group_col), [group_col], chosen)
     ordered = F.col("x._id") <= F.col("y._id")
     first = F.when(ordered, F.col("x")).otherwise(F.col("y"))
     second = F.when(ordered, F.col("y")).otherwise(F.col("x"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred import schema as S
 from kindred.functions.text import ngrams, normalised, normalised_words, text_key
-from kindred.operators.frames import top_k
+from kindred.operators.frames import top_k, unnest
 
 
 def with_normalised(df: DataFrame, text_col: str = S.TEXT) -> DataFrame:
@@ -41,7 +41,7 @@ def ngram_counts(
 
     grams = F.concat(*[sized(n) for n in n_values])
     return (
-        prepared.select(*by, F.inline(grams))
+        unnest(prepared, by, grams)
         .groupBy(*by, "n", "ngram")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )

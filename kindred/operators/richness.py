@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kindred.functions.tags import tag_count
 from kindred.functions.text import ngram_arrays
 from kindred.lexicons import CONNECTIVES
-from kindred.operators.frames import attach
+from kindred.operators.frames import attach, unnest
 from kindred.operators.parsing import ensure_parsed
 
 
@@ -21,17 +21,24 @@ def distinct_ngrams(df: DataFrame, n_values: Sequence[int] = (1, 2, 3), by: Sequ
 
 
 def _gram_totals(df: DataFrame, n_values: Sequence[int], by: Sequence[str]) -> DataFrame:
-    """One explode for all n. n = 0 stands for lower-cased single tokens, the vocabulary."""
-    tokens = F.col("tokens")
+    """Distinct and total n-grams per n, from one explode and one shuffle of the n-grams.
+
+    ``words_cnt`` of n = 1 counts the distinct lower-cased tokens: it is a distinct count over the unigrams
+    that are already aggregated, and every longer n-gram collapses to one NULL key before its shuffle.
+    """
 
     def kind(n: int) -> Column:
-        grams = ngram_arrays(F.transform(tokens, F.lower), 1) if n == 0 else ngram_arrays(tokens, n)
-        return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+        return F.transform(
+            ngram_arrays(F.col("tokens"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
+        )
 
-    exploded = ensure_parsed(df).select(*by, F.inline(F.concat(*[kind(n) for n in n_values])))
+    exploded = unnest(ensure_parsed(df), by, F.concat(*[kind(n) for n in n_values]))
     grams = exploded.groupBy(*by, "n", "gram").agg(F.count(F.lit(1)).alias("_c"))
+    word = F.when(F.col("n") == 1, F.lower(F.get("gram", F.lit(0))))
     return grams.groupBy(*by, "n").agg(
-        F.count(F.lit(1)).alias("distinct_cnt"), F.sum("_c").alias("total_cnt")
+        F.count(F.lit(1)).alias("distinct_cnt"),
+        F.sum("_c").alias("total_cnt"),
+        F.count_distinct(word).alias("words_cnt"),
     )
 
 
@@ -43,13 +50,13 @@ def lexical_richness(
 ) -> DataFrame:
     """One row per ``by`` key with TTR, distinct-n, mean verbs per caption and connective rate."""
 
-    def ratio(n: int) -> Column:
-        return F.max(F.when(F.col("n") == n, F.try_divide("distinct_cnt", "total_cnt")))
+    def ratio(n: int, distinct: str = "distinct_cnt") -> Column:
+        return F.max(F.when(F.col("n") == n, F.try_divide(distinct, "total_cnt")))
 
     ratios = (
-        _gram_totals(df, [0, *n_values], by)
+        _gram_totals(df, sorted({1, *n_values}), by)
         .groupBy(*by)
-        .agg(ratio(0).alias("TTR"), *[ratio(n).alias(f"distinct-{n}") for n in n_values])
+        .agg(ratio(1, "words_cnt").alias("TTR"), *[ratio(n).alias(f"distinct-{n}") for n in n_values])
     )
     bag = list(connectives)
     found = F.size(F.filter("tokens", lambda t: F.lower(t).isin(bag)))

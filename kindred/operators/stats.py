@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from kindred import schema as S
 from kindred.functions.tags import tag_count
 from kindred.lexicons import KEPT_TAGS
-from kindred.operators.frames import attach_all, top_k
+from kindred.operators.frames import attach_all, top_k, unnest
 from kindred.operators.parsing import ensure_parsed
 
 
@@ -72,7 +72,7 @@ def corpus_scalars(df: DataFrame, by: Sequence[str] = (), group_col: str = S.GRO
 
 def vocab_table(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Lower-cased token frequencies."""
-    tokens = ensure_parsed(df).select(*by, F.explode("tokens").alias("_tok"))
+    tokens = unnest(ensure_parsed(df), by, F.col("tokens"), "_tok")
     return tokens.groupBy(*by, F.lower("_tok").alias("token")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -86,7 +86,7 @@ def top_words(df: DataFrame, k: int = 20, by: Sequence[str] = ()) -> DataFrame:
 
 def pos_distribution(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Token count of every tag, the empty tag included."""
-    tags = ensure_parsed(df).select(*by, F.explode("pos_list").alias("pos"))
+    tags = unnest(ensure_parsed(df), by, F.col("pos_list"), "pos")
     return tags.groupBy(*by, "pos").agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred import schema as S
 from kindred.functions.text import TERM_PATTERN, let, ngrams, term_counts
-from kindred.operators.frames import attach
+from kindred.operators.frames import attach, unnest
 
 
 def caption_terms(
@@ -27,7 +27,7 @@ def caption_terms(
     low, high = ngram_range
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM_PATTERN), F.lit(0))
     terms = let(tokens, lambda t: F.concat(*[ngrams(t, n) for n in range(low, high + 1)]))
-    return df.select(*by, group_col, id_col, F.inline(term_counts(terms)))
+    return unnest(df, [*by, group_col, id_col], term_counts(terms))
 
 
 def _bound(limit: int | float, n_docs: Column) -> Column:
@@ -82,4 +82,4 @@ def tfidf_weights(
     unit = F.transform(
         "_terms", lambda e: F.struct(e["term"].alias("term"), (e["w"] / F.col("_norm")).alias("w"))
     )
-    return captions.select(*by, group_col, id_col, F.inline(unit))
+    return unnest(captions, [*by, group_col, id_col], unit)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kindred import schema as S
 from kindred.functions.text import words
+from kindred.sources.layout import spread
 
 PROXY_TAGS = ("NOUN", "VERB", "ADJ", "ADV", "ADP", "PRON")
 PROXY_DIRECTION = ("of", "the", "and", "de", "thatin", "that")
@@ -45,7 +46,8 @@ def proxy_tags(text: Column) -> Column:
 
 def document_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents grouped by source; the language is the corpus."""
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return spread(docs, "doc_id").select(
         F.col("source").alias(S.GROUP),
         F.col("doc_id").cast("string").alias(S.CAPTION),
         F.col("lang").alias("dataset"),
@@ -56,7 +58,7 @@ def document_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns grouped by conversation."""
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations"), "conv_id", "turn").select(
         F.col("conv_id").cast("string").alias(S.GROUP),
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias(S.CAPTION),
         F.col("turn").cast("int").alias(S.LINE),

@@ -19,7 +19,7 @@ def table(df, *keys):
 
 
 def test_parse_drops_and_keeps(micro):
-    row = one(parsing.require_parsed(micro).filter("motion_id = '000003'"))
+    row = one(parsing.ensure_parsed(micro).filter("motion_id = '000003'"))
     assert [(x.tok, x.pos) for x in row["parsed_pos"]] == [("!!!", "PUNCT"), ("and/or", "CCONJ"), ("foo", "")]
     assert row["tokens"] == ["!!!", "and/or", "foo"]
     assert row["pos_list"] == ["PUNCT", "CCONJ", ""]
