@@ -74,9 +74,18 @@ def ngrams(tokens: Column, n: int) -> Column:
     return windows(tokens, n, lambda t, i: F.array_join(F.slice(t, i, F.lit(n)), " "))
 
 
-def ngram_arrays(tokens: Column, n: int) -> Column:
-    """n-grams as arrays, so that no separator can make two of them collide."""
-    return windows(tokens, n, lambda t, i: F.slice(t, i, F.lit(n)))
+# Joins the tokens of a grouping key. It counts as whitespace, so no parsed token contains it.
+KEY_SEPARATOR = "\x1f"
+
+
+def sized_ngrams(tokens: Column, n: int, separator: str = " ") -> Column:
+    """``array<struct<n, ngram>>``, ready to be concatenated with other sizes and exploded together."""
+
+    def piece(t: Column, i: Column) -> Column:
+        gram = F.get(t, i - F.lit(1)) if n == 1 else F.array_join(F.slice(t, i, F.lit(n)), separator)
+        return F.struct(F.lit(n).alias("n"), gram.alias("ngram"))
+
+    return windows(tokens, n, piece)
 
 
 def term_counts(terms: Column) -> Column:

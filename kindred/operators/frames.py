@@ -13,13 +13,15 @@ def unnest(df: DataFrame, keep: Sequence[str], array: Column, name: str | None =
 
     A plain explode makes the optimizer infer a filter on the array's size below it, which computes an
     expensive array twice. The outer variant does not; its row for an empty array is filtered out. Elements
-    (or the first field of structs) must not be null.
+    (or the first field of structs) must not be null. The array is a column of its own so that the explode
+    stays inside generated code when the array's expression cannot.
     """
+    ready = df.select(*keep, array.alias("_items"))
     if name is None:
-        out = df.select(*keep, F.inline_outer(array))
+        out = ready.select(*keep, F.inline_outer("_items"))
         first = out.columns[len(keep)]
     else:
-        out = df.select(*keep, F.explode_outer(array).alias(name))
+        out = ready.select(*keep, F.explode_outer("_items").alias(name))
         first = name
     return out.filter(F.col(f"`{first}`").isNotNull())
 

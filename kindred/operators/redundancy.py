@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kindred import schema as S
-from kindred.functions.text import ngrams, normalised, normalised_words, text_key
+from kindred.functions.text import normalised, normalised_words, sized_ngrams, text_key
 from kindred.operators.frames import top_k, unnest
 
 
@@ -34,12 +34,7 @@ def ngram_counts(
     """Counts of within-caption n-grams, every n in one explode and one aggregation."""
     prepared = df.select(*by, normalised_words(F.col(text_col)).alias("_words"))
 
-    def sized(n: int) -> Column:
-        return F.transform(
-            ngrams(F.col("_words"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram"))
-        )
-
-    grams = F.concat(*[sized(n) for n in n_values])
+    grams = F.concat(*[sized_ngrams(F.col("_words"), n) for n in n_values])
     return (
         unnest(prepared, by, grams)
         .groupBy(*by, "n", "ngram")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.functions.tags import tag_count
-from kindred.functions.text import ngram_arrays
+from kindred.functions.text import KEY_SEPARATOR, sized_ngrams
 from kindred.lexicons import CONNECTIVES
 from kindred.operators.frames import attach, unnest
 from kindred.operators.parsing import ensure_parsed
@@ -27,14 +27,9 @@ def _gram_totals(df: DataFrame, n_values: Sequence[int], by: Sequence[str]) -> D
     that are already aggregated, and every longer n-gram collapses to one NULL key before its shuffle.
     """
 
-    def kind(n: int) -> Column:
-        return F.transform(
-            ngram_arrays(F.col("tokens"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
-        )
-
-    exploded = unnest(ensure_parsed(df), by, F.concat(*[kind(n) for n in n_values]))
-    grams = exploded.groupBy(*by, "n", "gram").agg(F.count(F.lit(1)).alias("_c"))
-    word = F.when(F.col("n") == 1, F.lower(F.get("gram", F.lit(0))))
+    sized = F.concat(*[sized_ngrams(F.col("tokens"), n, KEY_SEPARATOR) for n in n_values])
+    grams = unnest(ensure_parsed(df), by, sized).groupBy(*by, "n", "ngram").agg(F.count(F.lit(1)).alias("_c"))
+    word = F.when(F.col("n") == 1, F.lower("ngram"))
     return grams.groupBy(*by, "n").agg(
         F.count(F.lit(1)).alias("distinct_cnt"),
         F.sum("_c").alias("total_cnt"),
