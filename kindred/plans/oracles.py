@@ -175,11 +175,11 @@ SELECT {k}n::BIGINT AS n, ngram, cnt FROM counts
 QUALIFY row_number() OVER (PARTITION BY {k}n ORDER BY cnt DESC, ngram) <= 30"""
 
 
-# Distinct n-grams are counted as lists of raw-case tokens.
 DISTINCT = """raw AS (
-    SELECT dataset, 1 AS n, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i:i])) AS gram FROM words
-    UNION ALL SELECT dataset, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) FROM words
-    UNION ALL SELECT dataset, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) FROM words)"""
+    SELECT dataset, 1 AS n, unnest(w) AS gram FROM words
+    UNION ALL SELECT dataset, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || chr(31) || w[i + 1])) FROM words
+    UNION ALL SELECT dataset, 3,
+        unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2])) FROM words)"""
 
 
 def _richness(key: str = "") -> str:
