@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from kindred import schema as S
 from kindred.functions.vectors import l2_normalise, squared_norm
-from kindred.operators.frames import attach, top_k
+from kindred.operators.frames import top_k
 from kindred.operators.quantiles import exact_quantiles
 from kindred.operators.similarity import vector_sums
 
@@ -324,22 +324,14 @@ def distance_summary(distances: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     measures = ("dist_mean", "dist_median")
     cells = F.array(*[F.struct(F.lit(m).alias("_measure"), F.col(m).alias("_value")) for m in measures])
     long = distances.select(*by, F.inline(cells))
-    keys = [*by, "_measure"]
-    plain = long.groupBy(*keys).agg(
-        F.min("_value").alias("min"), F.avg("_value").alias("mean"), F.max("_value").alias("max")
-    )
-    middle = exact_quantiles(long, "_value", [0.5], keys).select(
-        *keys, F.get("quantiles", F.lit(0)).alias("median")
-    )
-    return (
-        attach(plain, middle, keys)
-        .groupBy(*by)
-        .agg(*[
-            F.max(F.when(F.col("_measure") == m, F.col(c))).alias(f"{m}_{c}")
-            for m in measures
-            for c in ("min", "median", "mean", "max")
-        ])
-    )
+    plain = {"min": F.min, "mean": F.avg, "max": F.max}
+    stats = exact_quantiles(long, "_value", [0.5], [*by, "_measure"], extra=plain)
+    stats = stats.withColumn("median", F.get("quantiles", F.lit(0)))
+    return stats.groupBy(*by).agg(*[
+        F.max(F.when(F.col("_measure") == m, F.col(c))).alias(f"{m}_{c}")
+        for m in measures
+        for c in ("min", "median", "mean", "max")
+    ])
 
 
 def most_diverse(distances: DataFrame, k: int = 10, group_col: str = S.GROUP, by: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ how much work the last step has, never the result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -35,20 +35,24 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     accuracy: int = 10_000,
+    extra: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
-    """``(by, n, quantiles array<double>)`` over the non-null values, in the order of ``probs``.
+    """``(by, n, quantiles array<double>, extra...)`` over the non-null values, in the order of ``probs``.
 
-    NULL quantiles when there is no value.
+    NULL quantiles when there is no value. ``extra`` names further aggregates of the value, computed in the
+    sketch's pass.
     """
     by = list(by)
-    values = df.filter(F.col(value_col).isNotNull()).select(*by, F.col(value_col).cast("double").alias("_v"))
+    extra = {name: make(F.col("_v")) for name, make in (extra or {}).items()}
+    values = df.select(*by, F.col(value_col).cast("double").alias("_v"))
     slack = 2.0 / accuracy
     brackets = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)})
     sketch = values.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("_v").alias("n"),
         F.array_distinct(F.percentile_approx("_v", brackets, accuracy)).alias("_bounds"),
+        *[c.alias(name) for name, c in extra.items()],
     )
-    placed = attach(values, sketch.select(*by, "_bounds"), by).select(
+    placed = attach(values.filter(F.col("_v").isNotNull()), sketch.select(*by, "_bounds"), by).select(
         *by, "_v", _segment(F.col("_v"), F.col("_bounds")).alias("_seg")
     )
     # At most 2 * len(probs) + 1 rows per key from here to ``wanted``.
@@ -102,4 +106,4 @@ def exact_quantiles(
         return a + (b - a) * weight
 
     quantiles = F.array(*[interpolate(*r) for r in _ranks(F.col("n"), probs)])
-    return attach(sketch.select(*by, "n"), found, by).select(*by, "n", quantiles.alias("quantiles"))
+    return attach(sketch.drop("_bounds"), found, by).select(*by, "n", quantiles.alias("quantiles"), *extra)

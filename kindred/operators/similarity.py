@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kindred import schema as S
 from kindred.functions.vectors import clip, l2_normalise, squared_norm
 from kindred.lexicons import QUANTILES
-from kindred.operators.frames import attach, top_k
+from kindred.operators.frames import top_k
 from kindred.operators.quantiles import exact_quantiles
 from kindred.operators.tfidf import tfidf_weights
 
@@ -125,12 +125,11 @@ def similarity_summary(
 ) -> DataFrame:
     """``mean_of_means``, ``median_of_means`` and a quantile map over the groups that have a similarity."""
     wanted = [*probs, 0.5]
-    means = sims.groupBy(*by).agg(F.avg(S.SIM).alias("mean_of_means"))
-    quantiles = exact_quantiles(sims, S.SIM, wanted, by)
+    quantiles = exact_quantiles(sims, S.SIM, wanted, by, extra={"mean_of_means": F.avg})
     as_map = F.map_from_arrays(
         F.array(*[F.lit(float(p)) for p in probs]), F.slice("quantiles", 1, len(probs))
     )
-    return attach(means, quantiles, by).select(
+    return quantiles.select(
         *by,
         "mean_of_means",
         F.get("quantiles", F.lit(len(probs))).alias("median_of_means"),

@@ -25,7 +25,7 @@ def test_exact_quantiles_by_key_and_nulls(spark):
     rows = [("a", float(x)) for x in [1, 2, 4, 9]] + [("a", None), ("b", 3.0), ("c", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     got = {r.k: r.quantiles for r in exact_quantiles(df, "v", [0.1, 0.25, 0.5], ["k"]).collect()}
-    assert got == {"a": pytest.approx([1.3, 1.75, 3.0]), "b": [3.0] * 3}
+    assert got == {"a": pytest.approx([1.3, 1.75, 3.0]), "b": [3.0] * 3, "c": [None] * 3}
     empty = exact_quantiles(df.filter("k = 'c'"), "v", [0.5]).collect()[0]
     assert empty.n == 0 and empty.quantiles == [None]
 
