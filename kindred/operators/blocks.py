@@ -217,7 +217,8 @@ def caption_distances(
     """Per group of two or more: mean, median, largest and smallest ``1 - cosine`` over all pairs.
 
     The median is exact for groups of one block. Beyond that the cells return histograms that are refined to
-    bins of 2 / 1024^3, and the bin's middle is the answer.
+    bins of 2 / 1024^3, and the bin's middle is the answer. One small job over the group column decides whether
+    any group needs that, which keeps three rounds of cells out of the usual plan.
     """
     keys = [*by, group_col]
     ready = _ready(vectors, keys, id_col, vec_col, normalise)
@@ -232,20 +233,13 @@ def caption_distances(
         F.max("hi").alias("_hi"),
         (one - F.max("middle")).alias("_median"),
     )
-    medians = _refined_medians(cells, merged.filter(F.col("_hi") > 0).select(*keys, "_pairs"), keys)
     sizes = ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_captions"))
-    return (
-        sizes.join(merged, keys)
-        .join(medians, keys, "left")
-        .select(
-            *keys,
-            "n_captions",
-            "dist_mean",
-            F.when(F.col("_hi") > 0, F.col("_refined")).otherwise(F.col("_median")).alias("dist_median"),
-            "dist_max",
-            "dist_min",
-        )
-    )
+    joined, median = sizes.join(merged, keys), F.col("_median")
+    if not sizes.filter(F.col("n_captions") > block).isEmpty():
+        large = merged.filter(F.col("_hi") > 0).select(*keys, "_pairs")
+        joined = joined.join(_refined_medians(cells, large, keys), keys, "left")
+        median = F.when(F.col("_hi") > 0, F.col("_refined")).otherwise(median)
+    return joined.select(*keys, "n_captions", "dist_mean", median.alias("dist_median"), "dist_max", "dist_min")
 
 
 def _refined_medians(cells: DataFrame, large: DataFrame, keys: list[str]) -> DataFrame:
