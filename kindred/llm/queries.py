@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm import fingerprint, sharding
+from kindred.llm import bpe, fingerprint, secret_scan, sharding
 from kindred.llm.common import table, two_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,11 +22,49 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_columns(table(spark, sf_dir, "documents"))
 
 
+def _listed(spans):
+    """kind:start:end of an array of spans, in its order, comma-joined."""
+    return F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
+
+
+@query
+def op5_secret_scan(spark, sf):
+    out = secret_scan.scan_secrets(documents(spark, sf))
+    base = F.filter("spans", lambda x: x["layer"] == "")
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("bigint")
+    named = F.transform("spans", lambda x: F.struct(
+        F.concat(x["kind"], F.when(x["layer"] == "", F.lit("")).otherwise(F.concat(F.lit("@"), x["layer"]))).alias("kind"),
+        x["start"].alias("start"), x["end"].alias("end"),
+    ))
+    return out.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(named).alias("spans"),
+        F.col("layers").cast("bigint").alias("n_layers"), F.col("oversized").cast("bigint").alias("n_oversized"),
+    )
+
+
 @query
 def op6_document_fingerprints(spark, sf):
     return fingerprint.fingerprint_report(documents(spark, sf))
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+@query
+def op7_bpe(spark, sf):
+    out = bpe.encode(documents(spark, sf), vocabulary(), digests=True)
+    return out.select(
+        "doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256")
+    )
+
+
 @query
 def op10_sharding(spark, sf):
     out = sharding.assign_shards(documents(spark, sf))
