@@ -3,3 +3,23 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM split WHERE len(ws) >= 35)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM again
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM split
+)
+SELECT s.doc_id, CAST(len(s.ws) AS BIGINT) AS n_words,
+  CAST(count(g.j) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(w.word, ' ' ORDER BY w.j) FILTER (WHERE g.j IS NULL), '')) AS kept_sha256
+FROM split s LEFT JOIN words w ON w.doc_id = s.doc_id LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.j = w.j
+GROUP BY s.doc_id, s.ws
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm import bpe, fingerprint, secret_scan, sharding
+from kindred.llm import bpe, fingerprint, secret_scan, sharding, substring
 from kindred.llm.common import table, two_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,14 @@ def op7_bpe(spark, sf):
     )
 
 
+@query
+def op8_substring_dedup(spark, sf):
+    out = substring.drop_repeats(documents(spark, sf))
+    return out.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 @query
 def op10_sharding(spark, sf):
     out = sharding.assign_shards(documents(spark, sf))
