@@ -185,39 +185,40 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return rows.join(ring, "_part").select("doc_id", F.coalesce("_next", "_after")["doc_id"].alias("next_id"))
 
 
+def _key(doc_id: str) -> Column:
+    """The id as text without nulls, so that plain equality joins and groups partition alike."""
+    return F.coalesce(F.concat(F.lit("d"), F.col(doc_id).cast("string")), F.lit("null"))
+
+
 def with_next_edit(docs: DataFrame) -> DataFrame:
     """doc_id, text, own, edited, next: each text with its fingerprint, the text with its last floor(n_chars / 2) code
     points replaced by the first as many of the next document's (see :func:`next_ids`), and that one's fingerprint.
 
-    Text and fingerprint are shuffled once by doc_id, for both joins; what travels to the neighbour is the needed
-    head and the fingerprint. Of rows that share a doc_id the one with the smallest text hash is the next document.
+    Text and fingerprint are shuffled once by key; both joins read that exchange (the same columns, so it is reused).
+    What travels to the neighbour is the needed head and the fingerprint. Of rows that share a doc_id the one with the
+    smallest text hash is the next document.
     """
-    links = next_ids(docs)
-    facts = docs.groupBy(F.col("doc_id").alias("fact_id")).agg(
-        F.max(F.floor(F.char_length("text") / 2)).alias("need"), F.min(F.xxhash64("text")).alias("pick")
-    )
-    back = (
-        links.join(facts, links.doc_id.eqNullSafe(facts.fact_id))
-        .select(F.col("next_id").alias("from_id"), F.col("doc_id").alias("to_id"), "need")
+    need = docs.groupBy(_key("doc_id").alias("to_key")).agg(F.max(F.floor(F.char_length("text") / 2)).alias("need"))
+    links = next_ids(docs).select(_key("next_id").alias("key"), _key("doc_id").alias("to_key"))
+    back = links.join(need, "to_key")
+    marked = with_fingerprint(docs.select(_key("doc_id").alias("key"), "text"), "text", "own", CLAUSES)
+    sent = marked.join(back, "key").select(
+        "to_key", F.expr("left(text, int(need))").alias("head"), F.xxhash64("text").alias("order"),
+        F.col("own_wide").alias("next_wide"), F.col("own_strata").alias("next_strata"),
     )
-    picks = facts.select("fact_id", "pick")
-    back = back.join(picks, back.from_id.eqNullSafe(picks.fact_id)).drop("fact_id")
-    marked = with_fingerprint(docs, "text", "own", CLAUSES)
-    sent = (
-        marked.join(back, marked.doc_id.eqNullSafe(back.from_id))
-        .filter(F.xxhash64("text") == F.col("pick"))
-        .select(
-            "to_id", F.expr("left(text, int(need))").alias("head"),
-            F.col("own_wide").alias("next_wide"), F.col("own_strata").alias("next_strata"),
-        )
-        .groupBy("to_id").agg(*[F.first(c).alias(c) for c in ("head", "next_wide", "next_strata")])
+    sent = sent.groupBy(F.col("to_key").alias("key")).agg(
+        *[F.min_by(c, "order").alias(c) for c in ("head", "next_wide", "next_strata")]
     )
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    return marked.join(sent, marked.doc_id.eqNullSafe(sent.to_id)).drop("to_id").withColumn(
-        "edited",
-        F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("head"), F.lit(1), half)),
-    ).drop("head")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return marked.join(sent, "key").select(
+        F.when(F.col("key") != "null", F.substring("key", 2, 1 << 30)).cast(kind).alias("doc_id"), "text",
+        "own_wide", "own_strata", "next_wide", "next_strata",
+        F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("head"), F.lit(1), half)).alias(
+            "edited"
+        ),
+    )
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
