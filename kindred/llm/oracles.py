@@ -4,6 +4,34 @@ from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op3_near_dedup"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id,
+    regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+    ) AS ws
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM split WHERE len(ws) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b
+  WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM split
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r
+)
+SELECT s.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM split s LEFT JOIN sizes n ON n.doc_id = s.doc_id
+JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = s.doc_id
+"""
+
 ORACLES["op8_substring_dedup"] = r"""
 WITH split AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm import bpe, fingerprint, secret_scan, sharding, substring
+from kindred.llm import bpe, fingerprint, near_dedup, secret_scan, sharding, substring
 from kindred.llm.common import table, two_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_columns(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(documents(spark, sf), k=4)
+
+
 def _listed(spans):
     """kind:start:end of an array of spans, in its order, comma-joined."""
     return F.array_join(
