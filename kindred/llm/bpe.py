@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # Fixed value: the pattern that byte-level vocabularies of this kind split text by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 16_000_000
 
 
 def special_tokens(vocabulary: str) -> list[str]:
@@ -78,14 +79,14 @@ def from_varints(data: np.ndarray) -> np.ndarray:
 
 class _Block:
     def __init__(self):
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__
         self.docs: list[tuple[object, np.ndarray]] = []
         self.words = 0
         self.name = xxhash.xxh3_128()
 
     def add(self, doc_id, text: str, words: list[str]) -> None:
-        index = self.index
-        at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
+        at = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
         self.docs.append((doc_id, at))
         self.words += len(words)
         self.name.update(repr(doc_id).encode() + b"\0" + text.encode() + b"\0")
@@ -149,7 +150,10 @@ def blocks(docs: DataFrame, specials: list[str], of_words: bool, block_words: in
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, ids) for each row of words (word), by the tokenizers library."""
+    """(block, rank, ids) for rows (block, word, rank); ids are little-endian 32-bit integers.
+
+    All rows of a word meet in one task, sorted, so that each distinct word is encoded once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -157,27 +161,52 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        last, last_ids = None, b""
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 part = batch.slice(at, 20_000)
-                encoded = tokenizer.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)
-                ids = pa.array([e.ids for e in encoded], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["word", "ids"])
+                column = part.column(1)
+                fresh = [w for w in column.unique().to_pylist() if w != last]
+                encoded = tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+                known = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, encoded)}
+                if last is not None:
+                    known.setdefault(last, last_ids)
+                words = column.to_pylist()
+                last, last_ids = words[-1], known[words[-1]]
+                ids = pa.array([known[w] for w in words], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), ids], names=["block", "rank", "ids"])
+
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.select("block", "word", "rank").repartition(n, "word").sortWithinPartitions("word").mapInArrow(
+        run, "block string, rank int, ids binary"
+    )
+
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+def piece_bytes(vocabulary: str) -> dict[int, bytes]:
+    """The bytes of each id of the vocabulary."""
+    spec = json.loads(vocabulary)
+    byte_of = {c: bytes([b]) for b, c in enumerate(byte_characters())}
+    rows = {i: b"".join(byte_of.get(c) or c.encode() for c in token) for token, i in spec["model"]["vocab"].items()}
+    rows.update({t["id"]: t["content"].encode() for t in spec["added_tokens"]})
+    return rows
 
 
 def pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
-    """(id, piece): the bytes of each id of the vocabulary, whose size bounds this table."""
-    spec = json.loads(vocabulary)
-    byte_of = {c: b for b, c in enumerate(byte_characters())}
-    special = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-    rows = {
-        i: special.get(i) or bytearray(b"".join(bytes([byte_of[c]]) if c in byte_of else c.encode() for c in token))
-        for token, i in spec["model"]["vocab"].items()
-    }
-    rows.update(special)
-    return spark.createDataFrame([(i, bytearray(p)) for i, p in sorted(rows.items())], "id int, piece binary")
+    """(id, piece): the piece table; the vocabulary bounds its size."""
+    rows = [(i, bytearray(p)) for i, p in sorted(piece_bytes(vocabulary).items())]
+    return spark.createDataFrame(rows, "id int, piece binary")
+
+
+def decode(encoded: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id and decoded text for rows (doc_id, ids array<int>), by a join of every id with the piece table.
+
+    Null and empty lists decode to the empty string. Rows that share a doc_id need other keys first.
+    """
+    rows = encoded.select("doc_id", F.posexplode_outer("ids").alias("at", "id")).join(table, "id", "left")
+    parts = F.array_sort(F.collect_list(F.struct("at", F.coalesce("piece", F.lit(b"")).alias("piece"))))
+    return rows.groupBy("doc_id").agg(parts.alias("parts")).select(
+        "doc_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["piece"])).cast("string").alias("decoded")
+    )
 
 
 def byte_characters() -> list[str]:
@@ -194,16 +223,6 @@ def byte_characters() -> list[str]:
     return out
 
 
-def decode_words(encoded: DataFrame, table: DataFrame) -> DataFrame:
-    """(word, ids, decoded): ids joined with their pieces, which are put together in order."""
-    rows = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(table, "id")
-    parts = F.array_sort(F.collect_list(F.struct("at", "id", "piece")))
-    return rows.groupBy("word").agg(parts.alias("parts")).select(
-        "word", F.col("parts.id").alias("ids"),
-        F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["piece"])).alias("decoded"),
-    )
-
-
 def _gather(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = int(sizes.sum())
     if not total:
@@ -229,23 +248,25 @@ def encode(docs: DataFrame, vocabulary: str, digests: bool = False, block_words:
     """
     spark = docs.sparkSession
     specials = special_tokens(vocabulary)
-    words = blocks(docs, specials, True, block_words)
-    known = decode_words(encode_words(words.select("word").distinct(), vocabulary), pieces(spark, vocabulary))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    places = words.join(known, "word").select("block", "rank", "ids", "decoded")
+    places = encode_words(blocks(docs, specials, True, block_words), vocabulary)
     streams = blocks(docs, specials, False, block_words)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    table = piece_bytes(vocabulary)
+    piece_size = np.zeros(max(table) + 1, np.int64)
+    for i, piece in table.items():
+        piece_size[i] = len(piece)
+    piece_at = np.cumsum(piece_size) - piece_size
+    piece_values = np.frombuffer(b"".join(table.get(i, b"") for i in range(len(piece_size))), np.uint8)
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         ranks = right.column("rank").to_numpy()
         order = np.argsort(ranks)
         if not np.array_equal(ranks[order], np.arange(len(ranks))):
             raise ValueError("a block's words and documents do not belong together; was the input read differently?")
-        lists = right.column("ids").combine_chunks()
-        id_offsets = lists.offsets.to_numpy().astype(np.int64)
-        id_values = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
+        id_offsets, id_bytes = _binary(right.column("ids"))
+        id_values = id_bytes[id_offsets[0] : id_offsets[-1]].view("<u4")
+        id_offsets = (id_offsets - id_offsets[0]) // 4
         id_at, id_size = id_offsets[:-1][order], np.diff(id_offsets)[order]
-        byte_offsets, byte_values = _binary(right.column("decoded"))
-        byte_at, byte_size = byte_offsets[:-1][order], np.diff(byte_offsets)[order]
         offsets, data = _binary(left.column("ranks"))
         counts, ids, texts = [], [], []
         for a, b in zip(offsets[:-1], offsets[1:]):
@@ -253,9 +274,8 @@ def encode(docs: DataFrame, vocabulary: str, digests: bool = False, block_words:
             if len(r) and r.max() >= len(order):
                 raise ValueError("a document names a word that its block does not have")
             own = _gather(id_values, id_at[r], id_size[r])
-            text = _gather(byte_values, byte_at[r], byte_size[r]).tobytes()
+            text = _gather(piece_values, piece_at[own], piece_size[own]).tobytes().decode("utf-8", "replace")
             counts.append(len(own))
-            text = text.decode("utf-8", "replace")
             if digests:
                 ids.append(hashlib.sha256(own.tobytes()).hexdigest())
                 texts.append(hashlib.sha256(text.encode()).hexdigest())

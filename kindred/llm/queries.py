@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm import bpe, fingerprint, near_dedup, secret_scan, sharding, substring
+from kindred.llm import bpe, decontamination, fingerprint, near_dedup, secret_scan, sharding, substring
 from kindred.llm.common import table, two_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op3_near_dedup(spark, sf):
     return near_dedup.near_duplicates(documents(spark, sf), k=4)
 
 
+@query
+def op4_benchmark_decontamination(spark, sf):
+    return decontamination.leaks(documents(spark, sf), table(spark, sf, "benchmark").select("item_id", "text"))
+
+
 def _listed(spans):
     """kind:start:end of an array of spans, in its order, comma-joined."""
     return F.array_join(
