@@ -39,6 +39,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _words_at(ws: Column, i: Column, k: int) -> list[Column]:
+    """k words from place i on, null beyond the end. (Inside a lambda ``slice`` would copy the whole list.)"""
+    return [F.get(ws, i + F.lit(j)) for j in range(k)]
+
+
 def shingles(ws: Column, k: int = SHINGLE) -> Column:
     """Of a column of words (not an expression, which would be computed for each shingle):
     array<struct<at, s, weight>> of the k-word shingles in order; the whole sequence if it is shorter."""
@@ -46,11 +51,9 @@ def shingles(ws: Column, k: int = SHINGLE) -> Column:
     starts = F.when(F.size(ws) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
     def one(i: Column) -> Column:
-        part = F.slice(ws, i + F.lit(1), F.lit(k))
-        return F.struct(
-            i.alias("at"), F.xxhash64(part).alias("s"),
-            F.aggregate(part, F.lit(0), lambda a, w: a + F.length(w)).alias("weight"),
-        )
+        part = _words_at(ws, i, k)
+        weight = reduce(lambda a, b: a + b, [F.coalesce(F.length(w), F.lit(0)) for w in part])
+        return F.struct(i.alias("at"), F.xxhash64(*part).alias("s"), weight.alias("weight"))
 
     return F.transform(starts, one)
 
@@ -59,7 +62,7 @@ def place_hashes(ws: Column, k: int = SHINGLE) -> Column:
     """Only the hashes of :func:`shingles`, for the pass over all documents."""
     last = F.greatest(F.size(ws) - F.lit(k), F.lit(0))
     starts = F.when(F.size(ws) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i + F.lit(1), F.lit(k))))
+    return F.transform(starts, lambda i: F.xxhash64(*_words_at(ws, i, k)))
 
 
 def simhash(parts: Column) -> Column:
@@ -116,7 +119,7 @@ def item_table(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 def marks(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(s, item_id, at, size): for each item its rarest shingles that together weigh more than 1 - threshold of it."""
-    rows = items.select("item_id", "size", F.inline("parts"))
+    rows = items.select("item_id", "size", F.inline_outer("parts"))
     count = rows.groupBy("s").agg(F.count_distinct("item_id").alias("in_items"))
     once = rows.groupBy("item_id", "s", "weight").agg(F.collect_list("at").alias("ats"), F.max("size").alias("size"))
     order = Window.partitionBy("item_id").orderBy("in_items", F.col("weight").desc(), "s")
@@ -139,9 +142,11 @@ def leaks(
     ``docs`` has doc_id and text, ``benchmark`` item_id and text.
     """
     items = item_table(benchmark, k)
+    # The outer explode keeps the optimizer from filtering on the list's size below it, which would compute the words
+    # again for every shingle; the join drops its nulls.
     places = docs.select("doc_id", F.xxhash64("text").alias("of"), words(F.col("text")).alias("ws")).select(
         "doc_id", "of", place_hashes(F.col("ws"), k).alias("hashes")
-    ).select("doc_id", "of", F.posexplode("hashes").alias("place", "s"))
+    ).select("doc_id", "of", F.posexplode_outer("hashes").alias("place", "s"))
     starts = (
         places.join(marks(items, threshold), "s")
         .select("doc_id", "of", "item_id", "size", F.greatest(F.col("place") - F.col("at"), F.lit(0)).alias("start"))
@@ -153,7 +158,7 @@ def leaks(
     )
     windows = (
         spelled.select(*key, words(F.col("text")).alias("ws"), "windows")
-        .select(*key, "ws", F.explode("windows").alias("w"))
+        .select(*key, "ws", F.explode_outer("windows").alias("w"))
         .select(*key, "w.*", F.slice("ws", F.col("w.start") + 1, F.col("w.size")).alias("ws"))
         .select(*key, "item_id", "start", shingles(F.col("ws"), k).alias("parts"))
         .withColumn("fingerprint", simhash(F.col("parts")))
@@ -164,9 +169,9 @@ def leaks(
 def _matched(windows: DataFrame, items: DataFrame, key: list[str], threshold: float, radius: int) -> DataFrame:
     print_of = items.select(
         "item_id", F.col("fingerprint").alias("item_print"), F.col("parts").alias("item_parts"),
-        F.posexplode(blocks(F.col("fingerprint"), radius)).alias("n", "block"),
+        F.posexplode_outer(blocks(F.col("fingerprint"), radius)).alias("n", "block"),
     )
-    cut = windows.select("*", F.posexplode(blocks(F.col("fingerprint"), radius)).alias("n", "block"))
+    cut = windows.select("*", F.posexplode_outer(blocks(F.col("fingerprint"), radius)).alias("n", "block"))
     near = cut.join(print_of, ["item_id", "n", "block"]).withColumn(
         "distance", hamming(F.col("fingerprint"), F.col("item_print"))
     ).filter(F.col("distance") <= radius)
