@@ -51,3 +51,23 @@ SELECT s.doc_id, CAST(len(s.ws) AS BIGINT) AS n_words,
 FROM split s LEFT JOIN words w ON w.doc_id = s.doc_id LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.j = w.j
 GROUP BY s.doc_id, s.ws
 """
+
+ORACLES["op9_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+  FROM conversations
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY place) AS rendered,
+    array_agg({'r': role, 't': text} ORDER BY place) AS parts
+  FROM turns GROUP BY conv_id
+), one AS (
+  SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies, rendered, parts FROM whole
+  GROUP BY n_turns, rendered, parts
+), inner_prefixes AS (
+  SELECT DISTINCT parts[1:k] AS parts FROM (SELECT parts, unnest(range(1, n_turns)) AS k FROM whole WHERE n_turns > 1)
+)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, CAST(copies AS BIGINT) AS copies, rendered
+FROM one WHERE parts NOT IN (SELECT parts FROM inner_prefixes)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm import bpe, decontamination, fingerprint, near_dedup, secret_scan, sharding, substring
+from kindred.llm import bpe, chat, decontamination, fingerprint, near_dedup, secret_scan, sharding, substring
 from kindred.llm.common import table, two_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,11 @@ def op8_substring_dedup(spark, sf):
     )
 
 
+@query
+def op9_chat_format(spark, sf):
+    return chat.chat_texts(table(spark, sf, "conversations"))
+
+
 @query
 def op10_sharding(spark, sf):
     out = sharding.assign_shards(documents(spark, sf))
