@@ -226,3 +226,31 @@ def scan_secrets(docs: DataFrame, mask: str = "[SECRET]", max_layer: int = MAX_L
         f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,layer:string>>, redacted string,"
         " layers int, oversized int",
     )
+
+
+def redacted_documents(docs: DataFrame, mask: str = "[SECRET]", max_layer: int = MAX_LAYER) -> DataFrame:
+    """The same rows and columns with secrets masked in text and, where there is such a column, n_chars counted anew.
+
+    A null text stays null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names = batch.schema.get_field_index("text"), batch.schema.names
+            for begin in range(0, batch.num_rows, 1000):
+                part = batch.slice(begin, 1000)
+                texts = []
+                for text in part.column(at).to_pylist():
+                    if text:
+                        base, extra, _, _ = scan(text, max_layer)
+                        text = redact(text, [x[:2] for x in base] + [x[:2] for x in extra], mask)
+                    texts.append(text)
+                columns = list(part.columns)
+                columns[at] = pa.array(texts, pa.string())
+                if "n_chars" in names:
+                    i = names.index("n_chars")
+                    sizes = [None if t is None else len(t) for t in texts]
+                    columns[i] = pa.array(sizes, pa.int64()).cast(columns[i].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
