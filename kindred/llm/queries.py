@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm import bpe, chat, decontamination, fingerprint, near_dedup, quality, secret_scan, sharding, substring
+from kindred.llm import bpe, chat, decontamination, fingerprint, licenses, near_dedup, quality, secret_scan, sharding, substring
 from kindred.llm.common import table, two_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_columns(table(spark, sf_dir, "documents"))
 
 
+@query
+def op1_license_scan(spark, sf):
+    return licenses.license_matches(documents(spark, sf))
+
+
 @query
 def op2_quality_classifier(spark, sf):
     return quality.quality_scores(documents(spark, sf))
