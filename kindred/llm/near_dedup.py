@@ -39,6 +39,7 @@ RATE = 20.0
 TOP = (1 << 16) - 1
 MARGIN = 0.16
 BLOCK = 512
+GRID_ROWS = 1000
 SHINGLE_SEED, REGISTER_SEED = 21, 22
 
 
@@ -72,6 +73,9 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 def joint_likeness(first: np.ndarray, second: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard likeness of pairs of sketches (rows) of sets of known sizes."""
+    if len(first) > GRID_ROWS:
+        parts = [slice(i, i + GRID_ROWS) for i in range(0, len(first), GRID_ROWS)]
+        return np.concatenate([joint_likeness(first[x], second[x], n1[x], n2[x]) for x in parts])
     more = (first > second).sum(1)[:, None]
     less = (first < second).sum(1)[:, None]
     same = first.shape[1] - more - less
@@ -254,12 +258,12 @@ def _stranger_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, thre
                     first += [i] * len(rest)
                     second += rest.tolist()
         node, pivot = table.column("node"), table.column("pivot")
-        if first:
-            a, b = np.array(first), np.array(second)
-            near = joint_likeness(sketch[a], sketch[b], size[a], size[b]) >= threshold / 100 - MARGIN
-            a, b = a[near], b[near]
-        else:
-            a = b = np.zeros(0, np.int64)
+        a, b = np.array(first, np.int64), np.array(second, np.int64)
+        near = np.zeros(len(a), bool)
+        for at in range(0, len(a), GRID_ROWS):
+            x, y = a[at : at + GRID_ROWS], b[at : at + GRID_ROWS]
+            near[at : at + GRID_ROWS] = joint_likeness(sketch[x], sketch[y], size[x], size[y]) >= threshold / 100 - MARGIN
+        a, b = a[near], b[near]
         left, right, known = node.take(pa.array(a)), node.take(pa.array(b)), pivot.take(pa.array(a))
         rows = [(min(p, q), max(p, q)) for p, q, r in zip(left.to_pylist(), right.to_pylist(), known.to_pylist()) if r not in (p, q)]
         return pa.RecordBatch.from_arrays(
