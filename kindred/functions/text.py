@@ -48,12 +48,8 @@ def normalised_words(text: Column) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    """A short grouping key for a normalised text.
-
-    Long texts are replaced by their SHA-256 so that de-duplication shuffles a fixed-size key; ``#`` never
-    occurs in a normalised text, so a digest cannot meet a literal one.
-    """
-    return F.when(F.length(text) > 64, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
+    """A grouping key of fixed size for a text: its SHA-256, so that de-duplication shuffles no texts."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def windows(tokens: Column, n: int, piece: Callable[[Column, Column], Column]) -> Column:

@@ -44,7 +44,7 @@ def with_addressing(df: DataFrame, nouns: Lexicon = ACTOR_NOUNS, pronouns: Lexic
 
 
 def label_rates(labelled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Share of captions per label; labels that do not occur are absent.
+    """Share of captions per label in descending order; labels that do not occur are absent.
 
     One aggregation with a counter per label, unpivoted afterwards.
     """
@@ -58,6 +58,7 @@ def label_rates(labelled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         counts.select(*by, "_total", F.inline(pairs))
         .filter(F.col("cnt") > 0)
         .select(*by, "label", "cnt", (F.col("cnt") / F.col("_total")).alias("rate"))
+        .orderBy(*by, F.col("cnt").desc(), "label")
     )
 
 

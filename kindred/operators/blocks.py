@@ -175,13 +175,14 @@ def raw_similarity(
     id_col: str = S.CAPTION,
     vec_col: str = "vec",
     block: int = BLOCK,
-    tolerance: float = 1e-6,
+    tolerance: float = 0.0,
 ) -> DataFrame:
     """Mean clipped dot product of vectors of any length.
 
     Clipping can only matter for pairs whose norms multiply to more than 1, so the linear form covers all
     pairs and only vectors with ``norm * (largest norm of the group) > 1`` go through cells, for the
-    difference. Unit vectors stay entirely on the linear path; ``tolerance`` absorbs their rounding.
+    difference. Vectors meant to be of length 1 belong to :func:`dense_similarity`; a ``tolerance`` keeps those whose
+    norms multiply to a little more than 1 on the linear path here too, unclipped.
     """
     keys = [*by, group_col]
     ready = _ready(vectors, keys, id_col, vec_col, False).withColumn("_norm", F.sqrt(squared_norm(F.col("_vec"))))
@@ -216,9 +217,9 @@ def caption_distances(
 ) -> DataFrame:
     """Per group of two or more: mean, median, largest and smallest ``1 - cosine`` over all pairs.
 
-    The median is exact for groups of one block. Beyond that the cells return histograms that are refined to
-    bins of 2 / 1024^3, and the bin's middle is the answer. One small job over the group column decides whether
-    any group needs that, which keeps three rounds of cells out of the usual plan.
+    The median is exact for groups of any size. In groups of one block the cell has all distances. Beyond that the
+    cells return histograms that narrow the two middle ranks down to bins of 2 / 1024^3, and then the distances of
+    those bins with their counts, among which the ranks are found. Without such groups these rounds have no rows.
     """
     keys = [*by, group_col]
     ready = _ready(vectors, keys, id_col, vec_col, normalise)
@@ -234,11 +235,9 @@ def caption_distances(
         (one - F.max("middle")).alias("_median"),
     )
     sizes = ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_captions"))
-    joined, median = sizes.join(merged, keys), F.col("_median")
-    if not sizes.filter(F.col("n_captions") > block).isEmpty():
-        large = merged.filter(F.col("_hi") > 0).select(*keys, "_pairs")
-        joined = joined.join(_refined_medians(cells, large, keys), keys, "left")
-        median = F.when(F.col("_hi") > 0, F.col("_refined")).otherwise(median)
+    large = merged.filter(F.col("_hi") > 0).select(*keys, "_pairs")
+    joined = sizes.join(merged, keys).join(_refined_medians(cells, large, keys), keys, "left")
+    median = F.when(F.col("_hi") > 0, F.col("_refined")).otherwise(F.col("_median"))
     return joined.select(*keys, "n_captions", "dist_mean", median.alias("dist_median"), "dist_max", "dist_min")
 
 
@@ -274,9 +273,42 @@ def _refined_medians(cells: DataFrame, large: DataFrame, keys: list[str]) -> Dat
                 (F.col("_prefix") * F.lit(BINS) + F.col("_bin")).alias("_prefix"),
             )
         )
-    width = 2.0 / BINS**LEVELS
-    middle = (F.col("_prefix") + F.lit(0.5)) * F.lit(width)
-    return targets.groupBy(*keys).agg(F.avg(middle).alias("_refined"))
+    wanted = targets.groupBy(*keys).agg(F.sort_array(F.collect_set("_prefix")).alias("_prefixes"))
+    found = _distances(cells.join(wanted, keys), keys).groupBy(*keys, "_prefix", "_d").agg(F.sum("_c").alias("_c"))
+    w = Window.partitionBy(*keys, "_prefix").orderBy("_d")
+    found = found.withColumn("_end", F.sum("_c").over(w))
+    exact = targets.join(found, [*keys, "_prefix"]).filter(
+        (F.col("_rank") >= F.col("_end") - F.col("_c")) & (F.col("_rank") < F.col("_end"))
+    )
+    return exact.groupBy(*keys).agg(F.avg("_d").alias("_refined"))
+
+
+def _distances(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The distances of the wanted last-level bins, each value of a cell once with its count."""
+    scale, top = BINS**LEVELS / 2.0, BINS**LEVELS - 1
+    fields = [("prefix", pa.int64(), T.LongType()), ("d", pa.float64(), T.DoubleType()), ("c", pa.int64(), T.LongType())]
+    outputs = {
+        "_found": (
+            pa.list_(pa.struct([(n, a) for n, a, _ in fields])),
+            T.ArrayType(T.StructType([T.StructField(n, t) for n, _, t in fields])),
+        )
+    }
+
+    def measure(dots, rows, batch):
+        distances = 1.0 - np.clip(dots, -1.0, 1.0)
+        codes = np.minimum((distances * scale).astype(np.int64), top)
+        out = {}
+        for row, code, distance in zip(rows.tolist(), codes, distances, strict=True):
+            inside = np.isin(code, np.asarray(batch.column("_prefixes")[row].values))
+            values, c = np.unique(distance[inside], return_counts=True)
+            bins = np.minimum((values * scale).astype(np.int64), top)
+            out[row] = {
+                "_found": [{"prefix": int(p), "d": float(v), "c": int(k)} for p, v, k in zip(bins, values, c, strict=True)]
+            }
+        return out
+
+    mapped = _map_cells(cells, list(keys), outputs, measure)
+    return mapped.select(*keys, F.inline("_found").alias("_prefix", "_d", "_c"))
 
 
 def _histograms(cells: DataFrame, keys: list[str], level: int) -> DataFrame:

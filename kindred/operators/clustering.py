@@ -15,9 +15,9 @@ from kindred.operators.frames import top_k
 def cluster_captions(vectors: DataFrame, k: int = 20, seed: int = 42, vec_col: str = "vec") -> DataFrame:
     """Add a ``cluster`` column."""
     ready = vectors.withColumn("_features", array_to_vector(F.col(vec_col)))
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(
-        ready.select("_features")
-    )
+    kept = ready.select("_features").persist()
+    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(kept)
+    kept.unpersist()
     return model.transform(ready).drop("_features")
 
 
@@ -33,7 +33,7 @@ def topics(
     df: DataFrame,
     k: int = 3,
     terms: int = 12,
-    vocab_size: int = 20_000,
+    vocab_size: int | None = None,
     min_df: float = 2.0,
     max_iter: int = 10,
     seed: int = 42,
@@ -41,15 +41,18 @@ def topics(
 ) -> DataFrame:
     """``(topic, rank, term, weight)`` of the leading unigrams and bigrams of each topic.
 
-    The vocabulary held by the model is bounded by ``vocab_size``.
+    The vocabulary is what ``min_df`` keeps; ``vocab_size`` bounds it further if given. Term counts are kept for the
+    iterations of the fit, so the text is tokenised once for it.
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM_PATTERN), F.lit(0))
     grams = let(tokens, lambda t: F.concat(t, ngrams(t, 2)))
     prepared = df.filter(F.col(text_col).isNotNull()).select(grams.alias("_terms"))
     counter = CountVectorizer(
-        inputCol="_terms", outputCol="features", vocabSize=vocab_size, minDF=min_df
+        inputCol="_terms", outputCol="features", vocabSize=vocab_size or (1 << 31) - 1, minDF=min_df
     ).fit(prepared)
-    model = LDA(k=k, maxIter=max_iter, seed=seed).fit(counter.transform(prepared).select("features"))
+    counted = counter.transform(prepared).select("features").persist()
+    model = LDA(k=k, maxIter=max_iter, seed=seed).fit(counted)
+    counted.unpersist()
     names = F.lit(list(counter.vocabulary))
     described = model.describeTopics(terms)
     return described.select(

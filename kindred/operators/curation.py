@@ -16,56 +16,67 @@ from kindred.lexicons import THRESHOLDS
 
 
 def threshold_ids(
-    sims: DataFrame, thresholds: Sequence[float] = THRESHOLDS, group_col: str = S.GROUP
+    sims: DataFrame, thresholds: Sequence[float] = THRESHOLDS, group_col: str = S.GROUP, by: Sequence[str] = ()
 ) -> DataFrame:
-    """``(threshold, group)`` for every threshold a group's similarity is below, in one pass.
+    """``(by, threshold, group)`` for every threshold a group's similarity is below, in one pass.
 
     Groups without a similarity are below no threshold.
     """
     below = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col(S.SIM) < t)
-    return sims.select(F.explode(below).alias("threshold"), F.col(group_col).cast("string").alias(group_col))
+    return sims.select(*by, F.explode(below).alias("threshold"), F.col(group_col).cast("string").alias(group_col))
 
 
-def threshold_counts(sims: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+def threshold_counts(
+    sims: DataFrame, thresholds: Sequence[float] = THRESHOLDS, by: Sequence[str] = ()
+) -> DataFrame:
     """Number of groups below each threshold, zeros included. ``sims`` has one row per group."""
-    counts = sims.agg(*[F.count_if(F.col(S.SIM) < float(t)).alias(f"_t{i}") for i, t in enumerate(thresholds)])
+    counts = sims.groupBy(*by).agg(*[F.count_if(F.col(S.SIM) < float(t)).alias(f"_t{i}") for i, t in enumerate(thresholds)])
     rows = [
         F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_t{i}").alias("num_bad"))
         for i, t in enumerate(thresholds)
     ]
-    return counts.select(F.inline(F.array(*rows)))
+    return counts.select(*by, F.inline(F.array(*rows)))
 
 
-def bad_groups(sims: DataFrame, threshold: float, group_col: str = S.GROUP) -> DataFrame:
-    """Ids of the groups below one threshold."""
-    return threshold_ids(sims, [threshold], group_col).select(group_col)
+def bad_groups(
+    sims: DataFrame, threshold: float, group_col: str = S.GROUP, by: Sequence[str] = ()
+) -> DataFrame:
+    """Ids of the groups below one threshold, with their corpus."""
+    return threshold_ids(sims, [threshold], group_col, by).select(*by, group_col)
 
 
 def lookup_group(sims: DataFrame, group, group_col: str = S.GROUP) -> DataFrame:
     return sims.filter(F.col(group_col) == group)
 
 
-def drop_groups(df: DataFrame, bad: DataFrame, group_col: str = S.GROUP) -> DataFrame:
+def drop_groups(
+    df: DataFrame, bad: DataFrame, group_col: str = S.GROUP, by: Sequence[str] = ()
+) -> DataFrame:
     """Rows whose group is not listed; duplicates are kept."""
-    return df.join(bad, group_col, "left_anti")
+    return df.join(bad, [*by, group_col], "left_anti")
 
 
-def only_groups(df: DataFrame, bad: DataFrame, group_col: str = S.GROUP) -> DataFrame:
-    return df.join(bad, group_col, "left_semi")
+def only_groups(
+    df: DataFrame, bad: DataFrame, group_col: str = S.GROUP, by: Sequence[str] = ()
+) -> DataFrame:
+    return df.join(bad, [*by, group_col], "left_semi")
 
 
 def filter_split_lines(
-    lines: DataFrame, bad: DataFrame, line_col: str = "line", group_col: str = S.GROUP
+    lines: DataFrame, bad: DataFrame, line_col: str = "line", group_col: str = S.GROUP, by: Sequence[str] = ()
 ) -> DataFrame:
     """Split-list lines whose stripped text is not a listed id. Kept lines are unchanged."""
-    ids = bad.select(F.col(group_col).cast("string").alias("_id"))
-    return lines.join(ids, strip(F.col(line_col)) == F.col("_id"), "left_anti")
+    ids = bad.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(group_col).cast("string").alias("_id"))
+    same = strip(F.col(line_col)) == F.col("_id")
+    for c in by:
+        same &= F.col(c) == F.col(f"_{c}")
+    return lines.join(ids, same, "left_anti")
 
 
 def deletion_manifest(
-    bad: DataFrame, files: DataFrame, artefacts: Mapping[str, str], group_col: str = S.GROUP
+    bad: DataFrame, files: DataFrame, artefacts: Mapping[str, str], group_col: str = S.GROUP, by: Sequence[str] = ()
 ) -> DataFrame:
-    """``(group, artefact, file_name, path, exists)`` for the files that belong to listed groups.
+    """``(by, group, artefact, file_name, path, exists)`` for the files that belong to listed groups.
 
     ``artefacts`` maps an artefact name to its file suffix; ``files`` is a listing with ``artefact``,
     ``file_name`` and ``path``. Nothing is deleted.
@@ -74,11 +85,11 @@ def deletion_manifest(
         *[F.struct(F.lit(a).alias("artefact"), F.lit(s).alias("_suffix")) for a, s in artefacts.items()]
     )
     wanted = (
-        bad.select(F.col(group_col).cast("string").alias(group_col))
+        bad.select(*by, F.col(group_col).cast("string").alias(group_col))
         .distinct()
-        .select(group_col, F.inline(kinds))
-        .select(group_col, "artefact", F.concat(group_col, "_suffix").alias("file_name"))
+        .select(*by, group_col, F.inline(kinds))
+        .select(*by, group_col, "artefact", F.concat(group_col, "_suffix").alias("file_name"))
     )
-    return wanted.join(files.select("artefact", "file_name", "path"), ["artefact", "file_name"], "left").select(
-        group_col, "artefact", "file_name", "path", F.col("path").isNotNull().alias("exists")
+    return wanted.join(files.select(*by, "artefact", "file_name", "path"), [*by, "artefact", "file_name"], "left").select(
+        *by, group_col, "artefact", "file_name", "path", F.col("path").isNotNull().alias("exists")
     )

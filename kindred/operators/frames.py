@@ -32,7 +32,9 @@ def attach(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFra
     The single row comes in as a scalar subquery, so nothing is joined without a key.
     """
     if by:
-        return left.join(right, list(by), "left")
+        named = right.withColumnsRenamed({c: f"_right_{c}" for c in by})
+        same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by]  # rows without a corpus are one of their own
+        return left.join(named, reduce(lambda a, b: a & b, same), "left").drop(*[f"_right_{c}" for c in by])
     one = right.select(F.struct("*").alias("row")).scalar()
     return left.select("*", one.alias("_row")).select(
         *[F.col(f"`{c}`") for c in left.columns],

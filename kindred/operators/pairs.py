@@ -7,16 +7,14 @@ seeded hashes. Hash order is a random permutation of the group, so every pair is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kindred import schema as S
 from kindred.functions.text import let
 from kindred.operators.frames import unnest
 
-# Pair ranks must fit a BIGINT. Beyond this group size the draw is over the captions with the smallest hashes,
-# which still gives every pair the same chance.
-_MAX_POSITIONS = 1 << 31
-
 
 def _hash60(*parts: Column) -> Column:
     text = F.concat_ws(":", *[p.cast("string") for p in parts])
@@ -63,36 +61,40 @@ def same_group_pairs(
     id_col: str = S.CAPTION,
     text_col: str = S.TEXT,
     salts: int = 16,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """``(group, caption_a, caption_b, text_a, text_b, label = 1.0)`` with caption_a < caption_b.
+    """``(by, group, caption_a, caption_b, text_a, text_b, label = 1.0)`` with caption_a < caption_b.
 
+    With ``by`` a group is one of its corpus, and equal ids of other corpora are other groups. Pair ranks must fit a
+    BIGINT: a group of over 3 billion captions fails with an overflow error.
     Null texts are ignored and groups below two texts give nothing. Each map task keeps only the
     ``2 * cap`` smallest hashes per group; ``salts`` spreads what remains of a hot group over that many tasks
     before the final cut. (Spark pushes the cut below the shuffle up to
     ``spark.sql.optimizer.windowGroupLimitThreshold`` rows, 1000 by default.)
     """
+    group = [*by, group_col]
     texts = df.filter(F.col(group_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        group_col, F.col(id_col).alias("_id"), F.col(text_col).alias("_text")
+        *group, F.col(id_col).alias("_id"), F.col(text_col).alias("_text")
     )
-    sizes = texts.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2)
+    sizes = texts.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2)
 
     keyed = texts.withColumns(
         {
-            "_key": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group_col).cast("string"), F.col("_id").cast("string"))),
+            "_key": F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in group], F.col("_id").cast("string"))),
             "_salt": F.pmod(F.spark_partition_id(), F.lit(salts)),
         }
     )
-    for keys in ([group_col, "_salt"], [group_col]):
+    for keys in ([*group, "_salt"], group):
         w = Window.partitionBy(*keys).orderBy("_key", "_id")
         keyed = keyed.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2 * cap)
-    sampled = keyed.groupBy(group_col).agg(
+    sampled = keyed.groupBy(*group).agg(
         F.sort_array(F.collect_list(F.struct("_key", "_id", "_text"))).alias("_captions")
     )
 
-    positions = F.least(F.col("_n"), F.lit(_MAX_POSITIONS))
-    total = F.shiftright(positions * (positions - F.lit(1)), 1)
+    total = F.shiftright(F.col("_n") * (F.col("_n") - F.lit(1)), 1)
+    named = F.concat_ws(":", *[F.col(c).cast("string") for c in group])
     drawn = sizes.select(
-        group_col, F.transform(_draw(total, cap, seed, F.col(group_col)), _unrank).alias("_pairs")
+        *group, F.transform(_draw(total, cap, seed, named), _unrank).alias("_pairs")
     ).withColumn(
         "_used",
         F.array_sort(F.array_distinct(F.flatten(F.transform("_pairs", lambda p: F.array(p["i"], p["j"]))))),
@@ -102,12 +104,12 @@ def same_group_pairs(
         return F.get(F.col("_captions"), (F.array_position(F.col("_used"), position) - F.lit(1)).cast("int"))
 
     chosen = F.transform("_pairs", lambda p: F.struct(caption(p["i"]).alias("x"), caption(p["j"]).alias("y")))
-    joined = unnest(drawn.join(sampled, group_col), [group_col], chosen)
+    joined = unnest(drawn.join(sampled, group), group, chosen)
     ordered = F.col("x._id") <= F.col("y._id")
     first = F.when(ordered, F.col("x")).otherwise(F.col("y"))
     second = F.when(ordered, F.col("y")).otherwise(F.col("x"))
-    return joined.select(group_col, first.alias("a"), second.alias("b")).select(
-        group_col,
+    return joined.select(*group, first.alias("a"), second.alias("b")).select(
+        *group,
         F.col("a._id").alias("caption_a"),
         F.col("b._id").alias("caption_b"),
         F.col("a._text").alias("text_a"),

@@ -26,22 +26,18 @@ def _from_sums(sum_norm: Column, norm_sum: Column, n: Column) -> Column:
 def vector_sums(df: DataFrame, keys: Sequence[str], vec_col: str, dim: int | None, **extra: Column) -> DataFrame:
     """Element-wise sum of a vector column per key as ``_sum array<double>``, plus extra aggregates.
 
-    With ``dim`` given, one hash aggregate with a column per dimension (combined map-side, no explode).
-    Without it, the same through ``Summarizer``, which takes any length.
+    One array-valued aggregate of any length, combined map-side. ``dim`` only checks the length: a column per dimension
+    would leave generated code at the widths of real embeddings.
     """
     aggs = [c.alias(name) for name, c in extra.items()]
-    if dim is None:
-        total = Summarizer.sum(array_to_vector(F.col(vec_col))).alias("_sum")
-        return df.groupBy(*keys).agg(total, *aggs).withColumn("_sum", vector_to_array("_sum"))
-    size = F.size(vec_col)
-    checked = F.when(size == dim, F.col(vec_col)).otherwise(
-        F.raise_error(F.concat(F.lit(f"expected vectors of {dim} values, found "), size.cast("string")))
-    )
-    ready = df.withColumn(vec_col, checked)
-    dims = [F.sum(F.get(F.col(vec_col), F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(dim)]
-    wide = ready.groupBy(*keys).agg(*dims, *aggs)
-    total = F.array(*[F.col(f"_d{i}") for i in range(dim)]).alias("_sum")
-    return wide.select(*keys, total, *extra)
+    vector = F.col(vec_col)
+    if dim is not None:
+        size = F.size(vec_col)
+        vector = F.when(size == dim, vector).otherwise(
+            F.raise_error(F.concat(F.lit(f"expected vectors of {dim} values, found "), size.cast("string")))
+        )
+    total = Summarizer.sum(array_to_vector(vector)).alias("_sum")
+    return df.groupBy(*keys).agg(total, *aggs).withColumn("_sum", vector_to_array("_sum"))
 
 
 def dense_similarity(
@@ -143,6 +139,11 @@ def stack_backends(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), labelled)
 
 
-def backend_comparison(tables: Mapping[str, DataFrame], probs: Sequence[float] = QUANTILES) -> DataFrame:
-    """One summary row per backend."""
-    return similarity_summary(stack_backends(tables), ["backend"], probs)
+def backend_comparison(
+    tables: Mapping[str, DataFrame], probs: Sequence[float] = QUANTILES, by: Sequence[str] = ()
+) -> DataFrame:
+    """One summary row per backend (and corpus). Each table is summarised by itself: joined on a backend name that is
+    a literal, the rows of one backend would meet without a key."""
+    return stack_backends({name: similarity_summary(t, by, probs) for name, t in tables.items()}).select(
+        "backend", *by, "mean_of_means", "median_of_means", "quantiles"
+    )

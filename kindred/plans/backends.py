@@ -32,7 +32,11 @@ class Tfidf:
 
 @dataclass(frozen=True)
 class Precomputed:
-    """Vectors from a table keyed by caption. ``normalise=False`` when they are unit vectors already."""
+    """Vectors from a table keyed by corpus (the ``by`` columns, which it must have) and caption.
+
+    ``normalise=False`` when they are unit vectors already. A caption without a vector, or a key with two, fails the
+    query: a similarity of part of the captions would pass for one of all.
+    """
 
     vectors: DataFrame
     dim: int | None = None
@@ -41,8 +45,16 @@ class Precomputed:
     normalise: bool = True
 
     def similarity(self, captions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-        table = self.vectors.select(F.col(self.id_col).alias(S.CAPTION), F.col(self.vec_col).alias("vec"))
-        joined = captions.select(*by, S.GROUP, S.CAPTION).join(table, S.CAPTION)
+        missing = set(by) - set(self.vectors.columns)
+        if missing:
+            raise ValueError(f"the vectors have no column {sorted(missing)}, so corpora would share them")
+        key = [*by, S.CAPTION]
+        table = self.vectors.select(*by, F.col(self.id_col).alias(S.CAPTION), F.col(self.vec_col).alias("vec"))
+        table = table.groupBy(*key).agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("_copies"))
+        checked = F.when(F.col("_copies") == 1, F.col("vec")).otherwise(F.raise_error(F.concat_ws(
+            " ", F.lit("not exactly one vector for caption"), *[F.col(c).cast("string") for c in key]
+        )))
+        joined = captions.select(*by, S.GROUP, S.CAPTION).join(table, key, "left").withColumn("vec", checked)
         return dense_similarity(joined, self.dim, by, normalise=self.normalise)
 
 

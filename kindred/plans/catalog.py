@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kindred import schema as S
 from kindred.functions.text import normalised
@@ -353,12 +353,13 @@ def similarity_summary(spark, sf):
 
 @query
 def backend_comparison(spark, sf):
-    """A28 over documents that have a vector and, for TF-IDF, over all of them."""
+    """Both backends over the documents that have a vector."""
     vectors = tb.table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias(S.CAPTION), F.col("embedding").alias("vec")
     )
     backends = {"tfidf": Tfidf(), "embeddings": Precomputed(vectors, DIM)}
-    compared = similarity_compare(tb.document_captions(spark, sf), backends)
+    captions = tb.document_captions(spark, sf).join(vectors.select(S.CAPTION), S.CAPTION, "left_semi")
+    compared = similarity_compare(captions, backends)
     return rounded(flat_quantiles(compared["summary_table"]))
 
 
@@ -392,6 +393,12 @@ def caption_distance(spark, sf):
     return rounded(blocks.caption_distances(tb.octet_vectors(spark, sf)))
 
 
+@query
+def caption_distance_blocks(spark, sf):
+    """E3 over groups of many blocks."""
+    return rounded(blocks.caption_distances(tb.label_vectors(spark, sf), block=16))
+
+
 @query
 def caption_distance_summary(spark, sf):
     return rounded(blocks.distance_summary(blocks.caption_distances(tb.octet_vectors(spark, sf))))
@@ -411,6 +418,13 @@ def group_pairs(spark, sf):
     return pairs.same_group_pairs(tb.conversation_captions(spark, sf))
 
 
+@query
+def group_pairs_by_corpus(spark, sf):
+    """J1 with a corpus key: conversation ids that collide between roles are different groups."""
+    df = tb.conversation_captions(spark, sf).withColumn(S.GROUP, (F.col(S.GROUP).cast("int") % 50).cast("string"))
+    return pairs.same_group_pairs(df, cap=1_000_000, by=["dataset"]).drop("text_a", "text_b")
+
+
 @query
 def group_pairs_capped(spark, sf):
     """Large groups give 100 drawn pairs."""
@@ -441,14 +455,23 @@ def group_lookup(spark, sf):
 @query
 def curated_anti(spark, sf):
     df = tb.conversation_captions(spark, sf)
-    bad = curation.bad_groups(similarity.tfidf_similarity(df), 0.02)
+    bad = curation.bad_groups(similarity.tfidf_similarity(df), 0.05)
     return curation.drop_groups(df, bad).select(S.GROUP, S.CAPTION, S.TEXT)
 
 
+@query
+def curated_anti_by_lang(spark, sf):
+    """The same source may be bad in one language and good in another."""
+    df = tb.document_captions(spark, sf)
+    sims = similarity.tfidf_similarity(df, by=["dataset"])
+    bad = curation.bad_groups(sims, 0.05, by=["dataset"])
+    return curation.drop_groups(df, bad, by=["dataset"]).select("dataset", S.GROUP, S.CAPTION)
+
+
 @query
 def pruned_semi(spark, sf):
     df = tb.conversation_captions(spark, sf)
-    bad = curation.bad_groups(similarity.tfidf_similarity(df), 0.02)
+    bad = curation.bad_groups(similarity.tfidf_similarity(df), 0.1)
     return curation.only_groups(df, bad).select(S.GROUP, S.CAPTION)
 
 
@@ -456,7 +479,7 @@ def pruned_semi(spark, sf):
 def curated_splits(spark, sf):
     """Split lines whose stripped id is not a bad group."""
     df = tb.conversation_captions(spark, sf)
-    bad = curation.bad_groups(similarity.tfidf_similarity(df), 0.02)
+    bad = curation.bad_groups(similarity.tfidf_similarity(df), 0.05)
     lines = df.select(
         F.col("dataset").alias("split"), F.concat(F.lit(" "), F.col(S.GROUP), F.lit("\t")).alias("line")
     )
@@ -467,7 +490,7 @@ def curated_splits(spark, sf):
 def deletion_manifest(spark, sf):
     """Artefacts of bad groups; only conversations with a third turn have an animation."""
     df = tb.conversation_captions(spark, sf)
-    bad = curation.bad_groups(similarity.tfidf_similarity(df), 0.02)
+    bad = curation.bad_groups(similarity.tfidf_similarity(df), 0.1)
     artefacts = {"texts": ".txt", "animations": ".mp4"}
     listed = {"texts": F.col(S.LINE) == 0, "animations": F.col(S.LINE) == 2}
     files = reduce(
@@ -520,18 +543,27 @@ def global_extremes(spark, sf):
 
 @query
 def twin_status(spark, sf):
-    """Shapes of label arrays against shapes derived from the benchmark items."""
-    features = tb.table(spark, sf, "embeddings").select(
-        F.col("label").cast("string").alias(S.GROUP), F.lit(2).alias("ndim"),
-        (F.col("label") * 2).cast("bigint").alias("n_frames"),
+    """Label arrays against the same frames of vectors with an even id or a positive first value.
+
+    Frames are counted and widths taken from the arrays; dropping frames by their data makes files of other lengths, and
+    one width is cut where the first value of the frame is largest.
+    """
+    frames = tb.table(spark, sf, "embeddings").select(
+        F.col("label").cast("string").alias(S.GROUP), "embedding", F.get("embedding", F.lit(0)).alias("x")
+    )
+    counted = Window.partitionBy(S.GROUP)
+    features = frames.select(
+        S.GROUP, F.lit(2).alias("ndim"), F.count(F.lit(1)).over(counted).alias("n_frames"),
+        F.size(F.slice("embedding", 1, 59)).alias("width"),
     )
-    item = F.col("item_id")
-    joints = tb.table(spark, sf, "benchmark").select(
-        item.cast("string").alias(S.GROUP),
-        F.when(item % 5 == 4, F.lit(2)).otherwise(F.lit(3)).alias("ndim"),
-        (item * 2 + F.when(item % 3 == 1, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias("n_frames"),
+    kept = frames.filter((F.col(S.GROUP).cast("int") % 3 != 0) | (F.col("x") > 0))
+    short = (F.col(S.GROUP).cast("int") % 5 == 1) & (F.col("x") > 0)
+    joints = kept.select(
+        S.GROUP, F.when(F.col(S.GROUP).cast("int") % 7 == 5, F.lit(2)).otherwise(F.lit(3)).alias("ndim"),
+        F.count(F.lit(1)).over(counted).alias("n_frames"),
+        F.size(F.slice("embedding", F.lit(1), F.when(short, F.lit(14)).otherwise(F.lit(15)))).alias("width"),
     )
-    return rounded(motion.twin_status(features, joints))
+    return rounded(motion.twin_status(features, joints, tb.FRAME_JOINTS))
 
 
 # Clusters, topics, report
@@ -541,13 +573,20 @@ def twin_status(spark, sf):
 def kmeans_sizes(spark, sf):
     """E1."""
     vectors = tb.label_vectors(spark, sf)
-    return clustering.largest_clusters(clustering.cluster_captions(vectors, k=8))
+    return clustering.largest_clusters(clustering.cluster_captions(vectors))
+
+
+@query
+def kmeans_rows(spark, sf):
+    """Every vector is in a cluster."""
+    sizes = clustering.cluster_sizes(clustering.cluster_captions(tb.label_vectors(spark, sf)))
+    return sizes.agg(F.sum("cnt").alias("n_rows"))
 
 
 @query
 def topics(spark, sf):
     """E2."""
-    return clustering.topics(tb.document_captions(spark, sf), max_iter=5)
+    return clustering.topics(tb.document_captions(spark, sf))
 
 
 @query

@@ -199,7 +199,8 @@ c AS (SELECT {k}{_r('avg(len(list_filter(w, lambda x: length(x) % 6 = 1)))', 'me
 SELECT * FROM a {using('b')} {using('c')}"""
 
 
-BAD = "bad AS (SELECT motion_id FROM sims WHERE sim < 0.02)"
+BAD = "bad AS (SELECT motion_id FROM sims WHERE sim < 0.05)"
+WORSE = BAD.replace("0.05", "0.1")
 LIMITS = "limits AS (SELECT unnest([" + ", ".join(f"{t}::DOUBLE" for t in THRESHOLDS) + "]) AS threshold)"
 
 
@@ -347,7 +348,7 @@ e AS (SELECT g, id, list_transform(c, lambda x: CASE WHEN list_sum(c) = 0 THEN 0
     "most_consistent": _similarity(CONVS, "FROM (SELECT * FROM sims ORDER BY sim DESC NULLS LAST, motion_id LIMIT 10)"),
     "least_consistent": _similarity(CONVS, "FROM (SELECT * FROM sims ORDER BY sim NULLS LAST, motion_id LIMIT 10)"),
     "similarity_summary": f"WITH {CONVS}, {_tfidf()} {_summary('sims')}",
-    "backend_comparison": f"""WITH {DOCS}, {_tfidf()}, e AS (
+    "backend_comparison": f"""WITH {DOCS.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")}, {_tfidf()}, e AS (
     SELECT motion_id AS g, vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v
     FROM captions JOIN embeddings ON vec_id::VARCHAR = caption_id),
 {DENSE_PAIRS}, merged AS (
@@ -366,6 +367,8 @@ FROM (SELECT vec_id, n, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM u)
     SELECT {OCTET} AS motion_id, (embedding[1] > 0)::INT AS mask, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
 SELECT motion_id, dim, {_r('sum(mask * x) / greatest(sum(mask), 1e-6::DOUBLE)', 'value')} FROM e GROUP BY ALL""",
     "caption_distance": f"{DISTANCES} SELECT {DISTANCE_COLUMNS} FROM dist",
+    "caption_distance_blocks": DISTANCES.replace(OCTET, "label::VARCHAR") + f" SELECT {DISTANCE_COLUMNS} FROM dist",
+    "kmeans_rows": "SELECT count(*) AS n_rows FROM embeddings",
     "caption_distance_summary": f"{DISTANCES} SELECT "
     + ", ".join(
         _r(f"{f}({c})", f"{c}_{n}")
@@ -377,6 +380,10 @@ SELECT motion_id, dim, {_r('sum(mask * x) / greatest(sum(mask), 1e-6::DOUBLE)',
     "group_pairs": f"""WITH {CONVS}
 SELECT a.motion_id, a.caption_id AS caption_a, b.caption_id AS caption_b, a.description AS text_a, b.description AS text_b, 1.0::DOUBLE AS label
 FROM captions a JOIN captions b ON a.motion_id = b.motion_id AND a.caption_id < b.caption_id""",
+    "group_pairs_by_corpus": f"""WITH {CONVS}, grouped AS (
+    SELECT (motion_id::INT % 50)::VARCHAR AS motion_id, caption_id, dataset FROM captions)
+SELECT dataset, motion_id, a.caption_id AS caption_a, b.caption_id AS caption_b, 1.0::DOUBLE AS label
+FROM grouped a JOIN grouped b USING (dataset, motion_id) WHERE a.caption_id < b.caption_id""",
     "group_pairs_capped": _pairs(DOCS, "motion_id, caption_a, caption_b, label"),
     "threshold_ids": f"WITH {CONVS}, {_tfidf()}, {LIMITS} SELECT threshold, motion_id FROM sims JOIN limits ON sim < threshold",
     "threshold_counts": f"""WITH {CONVS}, {_tfidf()}, {LIMITS}
@@ -384,11 +391,14 @@ SELECT threshold, count(motion_id) AS num_bad FROM limits LEFT JOIN sims ON sim
     "group_lookup": _similarity(CONVS, "FROM sims WHERE motion_id = '7'"),
     "curated_anti": f"""WITH {CONVS}, {_tfidf()}, {BAD}
 SELECT motion_id, caption_id, description FROM captions WHERE motion_id NOT IN (SELECT motion_id FROM bad)""",
-    "pruned_semi": f"""WITH {CONVS}, {_tfidf()}, {BAD}
+    "curated_anti_by_lang": f"""WITH {DOCS}, {_tfidf("dataset")}
+SELECT dataset, motion_id, caption_id FROM captions
+WHERE (dataset, motion_id) NOT IN (SELECT (dataset, motion_id) FROM sims WHERE sim < 0.05)""",
+    "pruned_semi": f"""WITH {CONVS}, {_tfidf()}, {WORSE}
 SELECT motion_id, caption_id FROM captions WHERE motion_id IN (SELECT motion_id FROM bad)""",
     "curated_splits": f"""WITH {CONVS}, {_tfidf()}, {BAD}
 SELECT dataset AS split, ' ' || motion_id || chr(9) AS line FROM captions WHERE motion_id NOT IN (SELECT motion_id FROM bad)""",
-    "deletion_manifest": f"""WITH {CONVS}, {_tfidf()}, {BAD},
+    "deletion_manifest": f"""WITH {CONVS}, {_tfidf()}, {WORSE},
 wanted AS (
     SELECT motion_id, 'texts' AS artefact, motion_id || '.txt' AS file_name, 0 AS turn FROM bad
     UNION ALL SELECT motion_id, 'animations', motion_id || '.mp4', 2 FROM bad)
@@ -405,11 +415,14 @@ FROM embeddings, (SELECT part, first, unnest(range(first, last + 1)) AS i FROM p
     "global_extremes": f"""WITH {MSE}
 SELECT {_r('(SELECT max(hi) FROM ext)', 'max_mse', 9)}, (SELECT motion_id FROM ext ORDER BY hi DESC, motion_id LIMIT 1) AS max_file,
        {_r('(SELECT min(lo) FROM ext)', 'min_mse', 9)}, (SELECT motion_id FROM ext ORDER BY lo, motion_id LIMIT 1) AS min_file""",
-    "twin_status": """WITH a AS (SELECT DISTINCT label::VARCHAR AS motion_id, 2::BIGINT AS ndim_vec, (label * 2)::BIGINT AS n_frames_vec FROM embeddings),
+    "twin_status": """WITH f AS (SELECT label, embedding, embedding[1] AS x FROM embeddings),
+a AS (SELECT label::VARCHAR AS motion_id, 2::BIGINT AS ndim_vec, count(*) AS n_frames_vec FROM f GROUP BY label),
 b AS (
-    SELECT item_id::VARCHAR AS motion_id, CASE WHEN item_id % 5 = 4 THEN 2 ELSE 3 END::BIGINT AS ndim_joints,
-           (item_id * 2 + CASE WHEN item_id % 3 = 1 THEN 1 ELSE 0 END)::BIGINT AS n_frames_joints FROM benchmark)
-SELECT *, CASE WHEN ndim_vec IS NULL OR ndim_joints IS NULL THEN 'missing' WHEN ndim_vec <> 2 OR ndim_joints <> 3 THEN 'bad_rank'
-               WHEN n_frames_vec <> n_frames_joints THEN 'frame_mismatch' ELSE 'ok' END AS status
+    SELECT label::VARCHAR AS motion_id, CASE WHEN label % 7 = 5 THEN 2 ELSE 3 END::BIGINT AS ndim_joints, count(*) AS n_frames_joints,
+           bool_or(label % 5 = 1 AND x > 0) AS short
+    FROM f WHERE label % 3 <> 0 OR x > 0 GROUP BY label)
+SELECT motion_id, ndim_vec, n_frames_vec, ndim_joints, n_frames_joints,
+       CASE WHEN ndim_vec IS NULL OR ndim_joints IS NULL THEN 'missing' WHEN ndim_joints <> 3 THEN 'bad_rank'
+            WHEN n_frames_vec <> n_frames_joints THEN 'frame_mismatch' WHEN short THEN 'bad_width' ELSE 'ok' END AS status
 FROM a FULL JOIN b USING (motion_id)""",
 }

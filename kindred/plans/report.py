@@ -21,8 +21,7 @@ REPORT_GROUPS = 5
 def similarity_compare(df: DataFrame, backends: Mapping[str, Backend], by: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Group similarity under each backend, plus one summary row per backend as ``summary_table``."""
     tables = {name: backend.similarity(df, by) for name, backend in backends.items()}
-    stacked = similarity.stack_backends(tables)
-    return {**tables, "summary_table": similarity.similarity_summary(stacked, ["backend", *by])}
+    return {**tables, "summary_table": similarity.backend_comparison(tables, by=by)}
 
 
 def analyse(

@@ -23,6 +23,13 @@ def test_query(spark, con, name):
     assert compare(spark, con, SF_DIR, entry.queries()[name], entry.oracle_sql()[name]) == ""
 
 
+def test_curation_splits_the_groups(spark):
+    n = {k: entry.queries()[k](spark, SF_DIR).count() for k in ("curated_anti", "pruned_semi", "deletion_manifest")}
+    turns = spark.read.parquet(f"{SF_DIR}/conversations.parquet").count()
+    assert 0 < n["curated_anti"] < turns and 0 < n["pruned_semi"] < turns and n["deletion_manifest"] > 0
+    assert len({r.status for r in entry.queries()["twin_status"](spark, SF_DIR).collect()}) >= 3
+
+
 def test_every_query_but_the_iterative_ones_has_sql():
     assert set(QUERIES) - set(ORACLES) == {"kmeans_sizes", "topics", "full_report"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
