@@ -19,7 +19,7 @@ marks are small enough to be sent around, which Spark decides from their size. F
 rarer ones.
 
 Defined cases: null and empty texts have no window and no mark; an item of no words leaks nowhere; an item of fewer
-than five words is one shingle, and matches the same words in a row anywhere; equal items are reported each;
+than five words is one shingle and leaks only into documents of just these words; equal items are reported each;
 rows that share a doc_id are told apart by a hash of their text, and reported under their doc_id.
 """
 
