@@ -302,7 +302,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     )
     bands = sets.select("node", F.posexplode("sketch").alias("band", "key"))
     buckets = bands.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    members = materialise(bands.join(buckets.filter("pivot < last").drop("last"), ["band", "key"]), "members")
+    # read back from storage, so that the join can split a hot bucket instead of keeping the aggregation's partitioning
+    buckets = materialise(buckets.filter("pivot < last").drop("last"), "buckets")
+    members = materialise(bands.join(buckets, ["band", "key"]), "members")
     stars = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     near = materialise(estimated(stars, sets, threshold), "pairs")
     links = materialise(verified(docs, near, sets, k, threshold), "links")

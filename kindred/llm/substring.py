@@ -102,7 +102,9 @@ def anchor_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def live_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(anchor, doc_id, run, n): the runs whose anchor's n-gram is in the corpus n >= 2 times."""
     runs = anchor_runs(docs, window)
-    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Read back from storage, the counts are shuffled anew for the join, which lets Spark split a hot anchor's rows;
+    # straight from the aggregation they would keep its partitioning and pin each anchor to one task.
+    often = materialise(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchors")
     return runs.join(often, "anchor")
 
 
