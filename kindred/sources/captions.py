@@ -20,6 +20,7 @@ def raw_lines(spark: SparkSession, path: str, whole_files: bool = True) -> DataF
     files beyond a task's memory; ``line_no`` is then the line's position within its split plus the split
     number, unique but not consecutive.
     """
+    refuse_hidden(spark, path, ".txt")
     reader = spark.read.option("pathGlobFilter", "*.txt")
     key = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt", "").alias(S.GROUP)
     if whole_files:
@@ -32,6 +33,22 @@ def raw_lines(spark: SparkSession, path: str, whole_files: bool = True) -> DataF
     return lines.select(S.GROUP, S.LINE, strip(F.col("line")).alias("line"))
 
 
+def refuse_hidden(spark: SparkSession, path: str, suffix: str) -> None:
+    """Fail if the folder has files whose names start with ``_`` or ``.``, which Spark's scans leave out.
+
+    A listing of names; no file is read.
+    """
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if any(c in path for c in "*?[{") or not system.exists(folder):
+        return
+    names = [f.getPath().getName() for f in system.listStatus(folder) if f.isFile()]
+    hidden = sorted(n for n in names if n.endswith(suffix) and n.startswith(("_", ".")))
+    if hidden:
+        raise ValueError(f"{path} has {len(hidden)} files that scans skip, rename them: {hidden[:10]}")
+
+
 def _fields() -> Column:
     return F.split("line", "#", -1)
 

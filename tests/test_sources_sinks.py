@@ -71,6 +71,16 @@ def test_splits_round_trip(spark, tmp_path):
     for name in ["all", "val"]:
         parts = sorted((tmp_path / "curated" / f"split={name}").glob("*.txt"))
         assert "".join(p.read_text() for p in parts).split("\n") == ["000001", "000003", "000001", ""]
+    back = splits.read_splits(spark, out).orderBy("split", "line_no").collect()
+    assert [(r.line_no, r.line) for r in back if r.split == "train_val"] == [(0, "000001"), (1, "000003"), (2, "000001")]
+    assert len(back) == 15
+
+
+def test_hidden_caption_files_fail(spark, tmp_path):
+    for name in ("a.txt", "_b.txt", ".c.txt", "_d.md"):
+        (tmp_path / name).write_text("x#y/NOUN#0#0\n")
+    with pytest.raises(ValueError, match="_b.txt"):
+        captions.read_captions(spark, str(tmp_path))
 
 
 def test_manifest(spark, tmp_path):
