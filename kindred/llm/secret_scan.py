@@ -196,8 +196,8 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 
 
 def scan_secrets(docs: DataFrame, mask: str = "[SECRET]", max_layer: int = MAX_LAYER) -> DataFrame:
-    """For rows (doc_id, text): doc_id, spans (array of kind, start, end, layer; layer "" in the text itself),
-    redacted text, layers, oversized. Row-local: no shuffle."""
+    """For rows (doc_id, text): doc_id, spans (array of kind, start, end, layer; layer "" in the text itself) by start and
+    then kind, redacted text, layers, oversized. Row-local: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,10 +207,10 @@ def scan_secrets(docs: DataFrame, mask: str = "[SECRET]", max_layer: int = MAX_L
                 for text in part.column(1).to_pylist():
                     text = text or ""
                     base, extra, taken, too_long = scan(text, max_layer)
-                    spans.append(
-                        [{"kind": k, "start": s, "end": e, "layer": ""} for s, e, k in base]
-                        + [{"kind": k, "start": s, "end": e, "layer": p} for s, e, k, p in extra]
+                    found = sorted(
+                        [*((*x, "") for x in base), *extra], key=lambda x: (x[0], _KINDS.index(x[2]), x[3] != "", x[1], x[3])
                     )
+                    spans.append([{"kind": k, "start": s, "end": e, "layer": p} for s, e, k, p in found])
                     texts.append(redact(text, [(x["start"], x["end"]) for x in spans[-1]], mask))
                     layers.append(taken)
                     over.append(too_long)

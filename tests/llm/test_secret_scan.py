@@ -63,6 +63,14 @@ def test_fixpoint_and_bounds():
     assert ss.scan("prose without anything " * 2000) == ([], [], 1, 0)
 
 
+def test_spans_are_sorted_and_base_ones_stay(make):
+    coded = base64.b64encode(f"password={KEY}abc".encode()).decode()
+    text = f"{coded} then secret=abcdefgh {KEY}"
+    spans = ss.scan_secrets(two_columns(make([(1, text)]))).first().spans
+    assert [x.start for x in spans] == sorted(x.start for x in spans) and {x.layer for x in spans} == {"", "base64"}
+    assert [(x.start, x.end, x.kind) for x in spans if x.layer == ""] == plain_base(text)
+
+
 def test_operator(make):
     rows = [(1, f'a token = "{HEX}" b'), (2, ""), (3, None), (None, KEY), (1, f'a token = "{HEX}" b'), (9, "x" * 300_000)]
     got = ss.scan_secrets(two_columns(make(rows))).collect()
