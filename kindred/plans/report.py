@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kindred import schema as S
 from kindred.lexicons import QUANTILES
@@ -49,9 +49,10 @@ def analyse(
 
 
 def report(sections: Mapping[str, Mapping[str, DataFrame]], by: Sequence[str] = ()) -> DataFrame:
-    """``(by, section, metric, value)`` with one row per scalar and per listed top entry.
+    """``(by, section, place, metric, value)`` with one row per scalar and per listed top entry.
 
-    Top lists are cut to the rows a reader sees; the full frames stay in ``sections``.
+    ``place`` counts the entries of a list from 1 in its order and is 1 for scalars. Top lists are cut to the rows a
+    reader sees; the full frames stay in ``sections``. Each backend lists its most and least consistent groups.
     """
     parts = [
         *_scalars("corpus_stats", sections["corpus_stats"]["scalars"], by),
@@ -65,11 +66,23 @@ def report(sections: Mapping[str, Mapping[str, DataFrame]], by: Sequence[str] =
         *_scalars("redundancy", sections["redundancy"]["duplicate_rate"], by, digits=4),
         *_scalars("redundancy", sections["redundancy"]["top_ngrams"].withColumn("n", F.col("n").cast("string")), by, ["n", "ngram"], REPORT_ROWS),
         *_scalars("similarity", _flat_summary(sections["similarity"]["summary_table"]), by, ["backend"]),
+        *_consistency(sections["similarity"], by),
         *_scalars("richness", sections["richness"]["richness"], by, digits=4),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _consistency(tables: Mapping[str, DataFrame], by: Sequence[str]) -> list[DataFrame]:
+    def listed(backend: str, table: DataFrame, kind: str) -> DataFrame:
+        name = f"{backend}_{kind}_consistent"
+        order = F.col(f"`{name}`")
+        order = order.desc_nulls_last() if kind == "most" else order.asc_nulls_last()
+        return _rows("similarity", table.select(*by, S.GROUP, F.col(S.SIM).alias(name)), by, [S.GROUP], order, REPORT_ROWS)
+
+    backends = {b: t for b, t in tables.items() if b != "summary_table"}
+    return [listed(b, t, kind) for b, t in backends.items() for kind in ("most", "least")]
+
+
 def _flat_summary(summary: DataFrame) -> DataFrame:
     return summary.select(
         *[c for c in summary.columns if c != "quantiles"],
@@ -87,8 +100,21 @@ def _scalars(
 ) -> list[DataFrame]:
     """Unpivot the value columns of ``df``; ``keys`` become part of the metric name."""
     values = [c for c in df.columns if c not in {*by, *keys}]
+    order = F.col(f"`{values[0]}`").desc_nulls_last() if keys else None
+    return [_rows(section, df, by, keys, order, limit, digits)]
+
+
+def _rows(section, df, by, keys, order, limit=None, digits=None) -> DataFrame:
+    """The rows of one list; its entries are placed within all keys but the last, which names them."""
+    values = [c for c in df.columns if c not in {*by, *keys}]
+    within = [*by, *keys[:-1]]
     if limit is not None:
-        df = top_k(df, limit, values[0], [keys[-1]], [*by, *keys[:-1]])
+        df = top_k(df, limit, order, [keys[-1]], within)
+    if order is None:
+        place = F.lit(1)
+    else:
+        # after the cut, or over as many rows as there are labels, tags or backends: never a large partition
+        place = F.row_number().over(Window.partitionBy(*within).orderBy(order, F.col(keys[-1])))
     label = [F.col(k).cast("string") for k in keys]
 
     def value(name: str):
@@ -101,4 +127,5 @@ def _scalars(
             for c in values
         ]
     )
-    return [df.select(*by, F.lit(section).alias("section"), F.inline(cells))]
+    placed = df.withColumn("place", place)
+    return placed.select(*by, F.lit(section).alias("section"), "place", F.inline(cells))

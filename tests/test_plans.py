@@ -2,6 +2,7 @@
 
 import pytest
 
+from kindred.plans.catalog import QUERIES
 from kindred.operators import actors, cues, pairs, similarity, stats
 from kindred.plans import tables as tb
 from kindred.plans.report import analyse, report
@@ -104,3 +105,9 @@ def test_report_per_corpus(spark, micro):
 def test_missing_columns(spark):
     with pytest.raises(ValueError, match="pos_tags"):
         analyse(spark.range(1))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_join_without_a_key(spark, name):
+    text = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
