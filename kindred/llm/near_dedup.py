@@ -4,11 +4,12 @@
    variables over the set, truncated on the scale of powers of ``BASE``. Sketches of unions are elementwise maxima of the
    registers, and equal registers at one place are about as likely as the sets are alike.
 2. Equal sets collapse to the smallest doc_id, with sums before the shuffle, so exact copies cost one row.
-3. Bands of four registers are buckets. At a likeness of 0.8 a pair misses all 32 bands with probability 4.7e-8. In a
-   bucket every member is paired with the smallest one: as many pairs as members.
+3. Bands of four registers are buckets. At a likeness of 0.8 a pair misses all 32 bands with probability 4.7e-8. In the
+   buckets of the first ``FIRST_BANDS`` bands every member is paired with the smallest one: as many pairs as members. That
+   connects most of a group of copies (at 0.95 all but one pair in a thousand meets there).
 4. The likeness of a pair is estimated jointly from both sketches and sizes by maximum likelihood; pairs far below the
    threshold (4.5 standard deviations) go. The rest is verified exactly: |A and B| / |A or B| on the full sets.
-5. Verified links give components. Buckets that still hold several components are compared pair by pair, but only
+5. Verified links give components. Buckets of any band that still hold several components are compared pair by pair, but only
    between different components, by sketches in memory and in blocks of ``BLOCK`` members; what passes the estimate is
    verified like before. Members of the first component meet the others only, so a large group of near copies with
    few strangers costs its size and not its square. No link between bucket members stays untested unless its ends are
@@ -40,6 +41,7 @@ TOP = (1 << 16) - 1
 MARGIN = 0.16
 BLOCK = 512
 GRID_ROWS = 1000
+FIRST_BANDS = 4
 SHINGLE_SEED, REGISTER_SEED = 21, 22
 
 
@@ -201,7 +203,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, thresho
 
 
 def _stranger_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that pass the estimate; (pivot, member) pairs are known."""
+    """Pairs (a, b) of different components in one bucket that pass the estimate; pairs that were stars are left out."""
     labelled = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = (
         labelled.groupBy("band", "key")
@@ -264,8 +266,11 @@ def _stranger_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, thre
             x, y = a[at : at + GRID_ROWS], b[at : at + GRID_ROWS]
             near[at : at + GRID_ROWS] = joint_likeness(sketch[x], sketch[y], size[x], size[y]) >= threshold / 100 - MARGIN
         a, b = a[near], b[near]
-        left, right, known = node.take(pa.array(a)), node.take(pa.array(b)), pivot.take(pa.array(a))
-        rows = [(min(p, q), max(p, q)) for p, q, r in zip(left.to_pylist(), right.to_pylist(), known.to_pylist()) if r not in (p, q)]
+        left, right = node.take(pa.array(a)).to_pylist(), node.take(pa.array(b)).to_pylist()
+        known, early = pivot.take(pa.array(a)).to_pylist(), (keys[a, 0] < FIRST_BANDS).tolist()
+        rows = [
+            (min(p, q), max(p, q)) for p, q, r, was in zip(left, right, known, early) if not (was and r in (p, q))
+        ]
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], node.type), pa.array([r[1] for r in rows], node.type)], names=["a", "b"]
         )
@@ -305,7 +310,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     # read back from storage, so that the join can split a hot bucket instead of keeping the aggregation's partitioning
     buckets = materialise(buckets.filter("pivot < last").drop("last"), "buckets")
     members = materialise(bands.join(buckets, ["band", "key"]), "members")
-    stars = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.filter((F.col("band") < FIRST_BANDS) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     near = materialise(estimated(stars, sets, threshold), "pairs")
     links = materialise(verified(docs, near, sets, k, threshold), "links")
     labels = components(links)
