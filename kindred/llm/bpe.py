@@ -15,10 +15,13 @@ Null and empty texts have no ids and decode to the empty string. Rows that share
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,9 +142,12 @@ def blocks(docs: DataFrame, specials: list[str], of_words: bool, block_words: in
                 if block.docs and block.words + len(words) > block_words:
                     yield from block.rows(kind, of_words)
                     block = _Block()
+                    _give_back()
                 block.add(doc_id, text, words)
         if block.docs:
             yield from block.rows(kind, of_words)
+        del block
+        _give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
@@ -149,6 +155,27 @@ def blocks(docs: DataFrame, specials: list[str], of_words: bool, block_words: in
     )
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(vocabulary: str):
+    """Loaded once in a worker process and not for every task."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(vocabulary)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: worker processes live on, and what they keep counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
     """(block, rank, ids) for rows (block, word, rank); ids are little-endian 32-bit integers.
 
@@ -156,15 +183,11 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(vocabulary)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = _tokenizer(vocabulary)
         last, last_ids = None, b""
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
+            for at in range(0, batch.num_rows, 5_000):
+                part = batch.slice(at, 5_000)
                 column = part.column(1)
                 fresh = [w for w in column.unique().to_pylist() if w != last]
                 encoded = tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
@@ -175,6 +198,7 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
                 last, last_ids = words[-1], known[words[-1]]
                 ids = pa.array([known[w] for w in words], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), ids], names=["block", "rank", "ids"])
+        _give_back()
 
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return words.select("block", "word", "rank").repartition(n, "word").sortWithinPartitions("word").mapInArrow(
@@ -282,6 +306,7 @@ def encode(docs: DataFrame, vocabulary: str, digests: bool = False, block_words:
             else:
                 ids.append(own.astype(np.int32))
                 texts.append(text)
+        _give_back()
         return pa.table({
             "doc_id": left.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()),
             "ids": pa.array(ids, pa.string() if digests else pa.list_(pa.int32())),
