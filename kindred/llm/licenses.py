@@ -108,14 +108,10 @@ class TemplateIndex:
             self.strides[1 << int(max(len(codes), 8) - 1).bit_length()].append(len(self.names))
             self.names.append((name, i))
             self.sets.append(np.unique(_shingles(codes)))
-        self.bands = {}
-        for stride, members in self.strides.items():
-            self.bands[stride] = [defaultdict(list) for _ in range(BANDS)]
-            for t in members:
-                for band, value in enumerate(_band_values(self.sets[t]).min(axis=1).tolist()):
-                    self.bands[stride][band][value].append(t)
-        self.values = {
-            stride: [np.array(sorted(table), np.uint32) for table in bands] for stride, bands in self.bands.items()
+        # (BANDS, templates of the class): their signatures
+        self.bands = {
+            stride: np.stack([_band_values(self.sets[t]).min(axis=1) for t in members], 1)
+            for stride, members in self.strides.items()
         }
 
 
@@ -129,11 +125,11 @@ def scan(codes: np.ndarray, index: TemplateIndex, least: float) -> dict[int, tup
     for stride, bands in index.bands.items():
         starts = np.arange(0, len(hashes), stride)
         blocks = np.minimum.reduceat(values, starts, axis=1)
+        tests: list[tuple[int, int]] = []
         windows = np.minimum(blocks, np.concatenate((blocks[:, 1:], blocks[:, -1:]), axis=1))
-        tests = set()
-        for band in range(BANDS):
-            for w in np.flatnonzero(np.isin(windows[band], index.values[stride][band])).tolist():
-                tests.update((w, t) for t in bands[band][int(windows[band][w])])
+        for i, t in enumerate(index.strides[stride]):
+            near = np.flatnonzero((windows == bands[:, i : i + 1]).any(axis=0)).tolist()
+            tests += [(w, t) for w in near]
         for w, t in tests:
             begin = int(starts[w])
             inside = np.isin(index.sets[t], hashes[begin : begin + 2 * stride])
