@@ -2,8 +2,9 @@
 
 A worklist holds layers of a text. The first layer is the text; each layer is scanned, then unwrapped: percent
 escapes and Unicode escapes are undone over the whole layer, runs that are base64 of text or of compressed text
-become layers of their own. This goes on until no new layer appears (the fixpoint). A layer whose text was seen before in
-the same document is not taken again, so cycles end; unwrapping never lengthens a text except by decompression.
+become layers of their own. This goes on until no new layer appears (the fixpoint). A layer whose text was seen before at
+the same place of the document is not taken again, so cycles end: places do not grow inwards, and unwrapping never
+lengthens a text except by decompression. The same text at another place is a layer of its own.
 
 Every layer knows for each of its characters the span of the original text it came from, so that what is found in an
 inner layer is reported by code points of the original text.
@@ -157,7 +158,7 @@ def scan(text: str, limit: int = MAX_LAYER) -> tuple[list[Span], list[tuple[int,
     """Base spans; spans (start, end, kind, layer) that only inner layers show; layers taken; oversized layers."""
     base = base_spans(text)
     known, added = set(base), {}
-    seen, work, taken, oversized = {text}, [Layer(text, ())], 0, 0
+    seen, work, taken, oversized = {(text, 0, len(text))}, [Layer(text, ())], 0, 0
     while work:
         layer = work.pop()
         taken += 1
@@ -169,8 +170,9 @@ def scan(text: str, limit: int = MAX_LAYER) -> tuple[list[Span], list[tuple[int,
         inner, too_long = unwrapped(layer, limit)
         oversized += too_long
         for new in inner:
-            if new.text not in seen:
-                seen.add(new.text)
+            place = (new.text, *new.origin(0, len(new.text))) if new.text else None
+            if place and place not in seen:
+                seen.add(place)
                 work.append(new)
     order = {k: i for i, k in enumerate(_KINDS)}
     extra = sorted(((*k, v) for k, v in added.items()), key=lambda x: (x[0], order[x[2]], x[1], x[3]))

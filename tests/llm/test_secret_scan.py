@@ -55,6 +55,16 @@ def test_nested_layers_map_to_the_text():
     assert any(">" in x[3] for x in ss.scan(cases["twice"])[1])
 
 
+def test_a_repeated_encoded_secret_is_found_at_each_place(make):
+    once = base64.b64encode(f"password={KEY}abc".encode()).decode()
+    for coded in (once, base64.b64encode(once.encode()).decode(), once.replace("c", "%63")):
+        text = f"first {coded} then {coded} and {coded}."
+        spans = {x[:2] for x in ss.scan(text)[1]}
+        places = [m.start() for m in re.finditer(re.escape(coded), text)]
+        assert all(any(a <= s < e <= a + len(coded) for s, e in spans) for a in places), coded
+        assert coded not in ss.redacted_documents(make([(1, text)])).first().text
+
+
 def test_fixpoint_and_bounds():
     assert ss.scan("%2525252541")[2] >= 3  # peeled step by step until nothing changes
     assert ss.scan("%25" * 50)[2] == 2  # a layer of bare signs has nothing to undo
