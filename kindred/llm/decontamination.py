@@ -6,8 +6,10 @@ shingle weighs as much as it has characters. A document window is as long as the
 1. *Where windows lie.* A window that is ``threshold`` like an item shares shingles of at least ``threshold`` of the
    item's weight, so it has one of any subset of the item's shingles that weighs more than the rest of
    ``1 - threshold``. The rarest shingles of each item that weigh so much are its marks (prefix filtering). An equality
-   join of the documents' shingles with the marks finds every place, and the mark's place in the item says where the
-   item-sized window begins.
+   join of the documents' shingles with the marks finds every place. The place of the mark in the item says nothing, since
+   the passage may be reordered, longer or shorter: every window that covers a mark is looked at. The starts of these
+   windows are dealt into stretches as long as the item, in which hits next to each other meet; in a stretch all starts
+   are tried where the shared shingles of the window, repeats counted, weigh at least ``threshold`` of the item.
 2. *SimHash.* Each bit of a fingerprint is the sign of the weighted sum of the shingles' hash bits. Windows and items
    are cut into ``RADIUS + 1`` blocks of bits; two fingerprints at most RADIUS bits apart agree in one block at least, so
    an equality join on (item, block number, block) finds all of them. At a likeness of 0.8 the expected
@@ -147,25 +149,66 @@ def leaks(
     places = docs.select("doc_id", F.xxhash64("text").alias("of"), words(F.col("text")).alias("ws")).select(
         "doc_id", "of", place_hashes(F.col("ws"), k).alias("hashes")
     ).select("doc_id", "of", F.posexplode_outer("hashes").alias("place", "s"))
-    starts = (
+    span = F.greatest(F.col("size") - F.lit(k), F.lit(0))
+    first = F.greatest(F.col("place") - span, F.lit(0))
+    stretches = (
         places.join(marks(items, threshold), "s")
-        .select("doc_id", "of", "item_id", "size", F.greatest(F.col("place") - F.col("at"), F.lit(0)).alias("start"))
+        .select("doc_id", "of", "item_id", "size", F.explode_outer(F.sequence(
+            F.floor(first / F.col("size")).cast("int"), F.floor(F.col("place") / F.col("size")).cast("int")
+        )).alias("stretch"))
         .distinct()
     )
     key = ["doc_id", "of"]
     spelled = docs.withColumn("of", F.xxhash64("text")).join(
-        starts.groupBy(*key).agg(F.collect_set(F.struct("item_id", "start", "size")).alias("windows")), key
+        stretches.groupBy(*key).agg(F.collect_set(F.struct("item_id", "stretch", "size")).alias("stretches")), key
     )
-    windows = (
-        spelled.select(*key, words(F.col("text")).alias("ws"), "windows")
-        .select(*key, "ws", F.explode_outer("windows").alias("w"))
-        .select(*key, "w.*", F.slice("ws", F.col("w.start") + 1, F.col("w.size")).alias("ws"))
-        .select(*key, "item_id", "start", shingles(F.col("ws"), k).alias("parts"))
-        .withColumn("fingerprint", simhash(F.col("parts")))
+    cut = (
+        spelled.select(*key, words(F.col("text")).alias("ws"), "stretches")
+        .select(*key, "ws", F.explode_outer("stretches").alias("w"))
+        .select(*key, "w.item_id", "w.size", (F.col("w.stretch") * F.col("w.size")).alias("base"),
+                F.slice("ws", F.col("w.stretch") * F.col("w.size") + 1, F.col("w.size") * 2 - 1).alias("ws"))
     )
+    windows = _windows(cut, items, key, k, threshold)
     return _matched(windows, items, key, threshold, radius)
 
 
+def _windows(cut: DataFrame, items: DataFrame, key: list[str], k: int, threshold: float) -> DataFrame:
+    """key, item_id, start, parts, fingerprint of the windows in stretches of words that can be ``threshold`` like the item.
+
+    The shingles of a stretch that are the item's too are flagged once; a window in which they weigh less than ``threshold``
+    of the item, repeats counted, cannot be that much like it.
+    """
+    sets = items.select(
+        "item_id", F.array_distinct(F.transform("parts", lambda p: p["s"])).alias("own"),
+        F.aggregate(
+            F.array_distinct(F.transform("parts", lambda p: F.struct(p["s"], p["weight"]))), F.lit(0), lambda t, p: t + p["weight"]
+        ).alias("total"),
+    ).distinct()
+    flagged = cut.join(sets, "item_id").select(
+        *key, "item_id", "size", "base", "total",
+        F.transform(shingles(F.col("ws"), k), lambda p: F.struct(
+            p["s"].alias("s"), p["weight"].alias("weight"),
+            F.when(F.array_contains("own", p["s"]), p["weight"]).otherwise(F.lit(0)).alias("shared"),
+        )).alias("parts"),
+    )
+    n = F.greatest(F.col("size") - F.lit(k - 1), F.lit(1))
+    enough = lambda parts: (
+        F.aggregate(parts, F.lit(0), lambda t, p: t + p["shared"]) >= F.col("total") * threshold - 1e-6
+    )
+    local = F.sequence(F.lit(0), F.least(F.col("size"), F.size("parts")) - 1)
+    fit = F.when(
+        (F.size("parts") > 0) & enough(F.col("parts")),
+        F.filter(local, lambda i: enough(F.slice("parts", i + 1, n))),
+    )
+    # Generators keep the lists above them from being computed again for each start.
+    return (
+        flagged.select("*", F.explode_outer(fit).alias("i"))
+        .filter(F.col("i").isNotNull())
+        .select(*key, "item_id", (F.col("base") + F.col("i")).alias("start"), F.slice("parts", F.col("i") + 1, n).alias("parts"))
+        .withColumn("fingerprint", simhash(F.col("parts")))
+    )
+
+
 def _matched(windows: DataFrame, items: DataFrame, key: list[str], threshold: float, radius: int) -> DataFrame:
     print_of = items.select(
         "item_id", F.col("fingerprint").alias("item_print"), F.col("parts").alias("item_parts"),

@@ -50,6 +50,27 @@ def test_equals_brute_force(make, prose, spark):
     assert all(r.likeness >= 0.8 and 0 <= r.distance <= dc.RADIUS for r in out)
 
 
+def test_changed_passages_equal_brute_force(make, prose, spark):
+    items = [(i, prose(4000 + i, n)) for i, n in enumerate([20, 30, 45, 60, 90])]
+    docs, n = [], 0
+    for _, text in items:
+        w = text.split()
+        k, h = len(w) // 6, len(w) // 2
+        forms = [
+            w[k:] + w[:k], w[h:] + w[:h], w[2 * h // 3 :] + w[: 2 * h // 3], w[:h] + ["new", "words"] + w[h:],
+            w[:h] + w[h + 2 :], w[:k] + w[k + 1 :], w[1:] + ["put", "in"], w[:h] + w[:3] + w[h:], w[k : 2 * k] + w[:k] + w[2 * k :],
+            w[:h] + prose(70, 2 * h).split() + w[h:],
+        ]
+        for form in forms:
+            docs.append((n, " ".join([prose(5000 + n, 7 * (n % 9)), *form, prose(6000 + n, 5 * (n % 8))])))
+            n += 1
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    out = dc.leaks(two_columns(make(docs)), benchmark).collect()
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in out} == want
+    assert {(30, 3), (31, 3)} <= want  # the first words moved to the end, and halves swapped
+
+
 def test_empty_tables(make, spark):
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
