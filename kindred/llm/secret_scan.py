@@ -10,8 +10,10 @@ Every layer knows for each of its characters the span of the original text it ca
 inner layer is reported by code points of the original text.
 
 Defined cases: null texts are empty; empty texts have no spans; a text is scanned whole, whatever its length; equal
-rows give equal results. A compressed layer of more than ``max_layer`` bytes is not unpacked but counted in
-``oversized`` (a bound against decompression bombs; the text itself has no such bound).
+rows give equal results. Base64 goes on over line ends between full lines; bytes that are not UTF-8 are scanned as
+Latin-1; members that follow each other in a compressed file are one layer. A compressed layer of more than ``max_layer``
+bytes is scanned in pieces of that size that overlap by a quarter, and counted in ``oversized``; only an encoded run inside it
+that is longer than the overlap can be cut.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import bz2
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 # The patterns of the three kinds, in their order, and the least length of what they must match.
@@ -41,6 +44,10 @@ _HEX = re.compile(HEX[:-1] + "{24,}")  # a run is maximal, so runs that are too
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\u[0-9A-Fa-f]{4})+|\\x([0-9A-Fa-f]{2})|&#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}"
+)
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _KINDS = ("assign", "access", "hex")
 
 Span = tuple[int, int, str]
@@ -81,34 +88,112 @@ class Layer:
             at = end
         return Layer("".join(out), (*self.path, step), low, high)
 
-    def inner(self, start: int, end: int, text: str, step: str) -> Layer:
-        a, b = self.origin(start, end)
-        return Layer(text, (*self.path, step), [a] * len(text), [b] * len(text))
 
-
-def _readable(data: bytes) -> str | None:
+def _text(data: bytes) -> tuple[str, bool]:
+    """Bytes as text (Latin-1 if they are not UTF-8: the patterns are ASCII), and whether it reads as text."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    good = sum(c.isprintable() or c in "\t\n\r" for c in text)
-    return text if len(text) >= 8 and good >= 0.95 * len(text) else None
+        return data.decode("latin-1"), False
+    head = text[:65536]
+    return text, len(text) >= 8 and sum(c.isprintable() or c in "\t\n\r" for c in head) >= 0.95 * len(head)
 
 
-def _unpacked(data: bytes, limit: int) -> tuple[bytes | None, str, bool]:
-    """Decompressed data, the name of the format, and whether it was too long."""
-    makers = (
-        (b"\x1f\x8b", "gzip", lambda: zlib.decompressobj(31)), (b"\x78", "zlib", zlib.decompressobj),
-        (b"BZh", "bzip2", bz2.BZ2Decompressor), (b"\xfd7zXZ", "xz", lzma.LZMADecompressor),
-    )
-    for magic, name, make in makers:
-        if data.startswith(magic):
-            try:
-                out = make().decompress(data, limit + 1)
-            except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
-                return None, "", False
-            return (None, name, True) if len(out) > limit else (out, name, False)
-    return None, "", False
+_PACKED = (
+    (b"\x1f\x8b", "gzip", lambda: zlib.decompressobj(31)), (b"\x78", "zlib", zlib.decompressobj),
+    (b"BZh", "bzip2", bz2.BZ2Decompressor), (b"\xfd7zXZ", "xz", lzma.LZMADecompressor),
+)
+_STEP = 1 << 16
+
+
+def _unpacked(data: bytes, make: Callable, rest: list[bytes]) -> Iterator[bytes]:
+    """The decompressed chunks of one member; ``rest`` gets what follows it, or all data if they are no such member."""
+    engine, at = make(), 0
+    try:
+        while at < len(data) and not engine.eof:
+            todo = data[at : at + _STEP]
+            at += len(todo)
+            while True:
+                out = engine.decompress(todo, _STEP)
+                if out:
+                    yield out
+                todo = getattr(engine, "unconsumed_tail", b"")
+                if engine.eof or not out and not todo:
+                    break
+    except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
+        rest.append(data)
+        return
+    rest.append(data[at - len(engine.unused_data):] if engine.eof else b"")
+
+
+def _pieces(chunks: Iterator[bytes], limit: int, over: list[int]) -> Iterator[bytes]:
+    """The chunks as one layer or, beyond ``limit`` bytes, as pieces of that size that overlap by a quarter."""
+    held, long = bytearray(), False
+    for chunk in chunks:
+        held += chunk
+        while len(held) > limit:
+            over[0] += not long
+            long = True
+            yield bytes(held[:limit])
+            del held[: max(limit - limit // 4, 1)]
+    if held:
+        yield bytes(held)
+
+
+Inner = tuple[str, tuple[str, ...], bool]
+
+
+def _decoded(run: str, path: tuple[str, ...], limit: int, over: list[int]) -> Iterator[Inner]:
+    """The layers in a base64 run: text, path, whether it reads as text. Members of a compressed file are one layer."""
+    body = run.rstrip("=")
+    if len(body) % 4 == 1 or body.islower() or body.isalpha() and body[1:].islower():
+        return  # words of prose
+    try:
+        data = base64.urlsafe_b64decode((body + "=" * (-len(body) % 4)).replace("+", "-").replace("/", "_"))
+    except (binascii.Error, ValueError):
+        return
+    while packed := next((x for x in _PACKED if data.startswith(x[0])), None):
+        magic, name, make = packed
+        rest = [data]
+
+        def members() -> Iterator[bytes]:
+            while rest[-1].startswith(magic):
+                before = rest.pop()
+                yield from _unpacked(before, make, rest)
+                if rest[-1] is before:
+                    return
+
+        for piece in _pieces(members(), limit, over):
+            yield (t := _text(piece))[0], (*path, f"base64+{name}"), t[1]
+        if rest[-1] and rest[-1].startswith(magic):
+            data = rest[-1]
+            break
+        data = rest[-1]
+    if len(data) >= 8:
+        yield (t := _text(data))[0], (*path, "base64"), t[1]
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run) of the base64 runs: those inside a line, and those that go on over full lines of equal length
+    and, perhaps, a shorter last one. The first line may have something before the run."""
+    for m in _BASE64.finditer(text):
+        yield m.start(), m.end(), m.group()
+    for m in _WRAPPED.finditer(text) if "\n" in text else ():
+        lines = [(x.start() + m.start(), x.end() + m.start()) for x in _LINE.finditer(m.group())]
+        wide = [len(text[a:b].rstrip("=")) for a, b in lines]
+        i = 0
+        while i < len(lines):
+            j = i
+            while j + 1 < len(lines) and wide[j + 1] == wide[i]:
+                j += 1
+            ends = [j] + [j + 1] * (j + 1 < len(lines) and wide[j + 1] < wide[i])
+            head = m.start() > 0 and text[m.start() - 1] != "\n" and "-----" not in text[slice(*lines[0])]
+            for first in [i] + [0] * (i == 1 and head):
+                for last in ends:
+                    if last > first and wide[i] >= 16:
+                        a, b = lines[first][0], lines[last][1]
+                        yield a, b, "".join(text[s:e] for s, e in lines[first : last + 1])
+            i = j + 1
 
 
 def _escape_text(m: re.Match) -> str:
@@ -123,35 +208,57 @@ def _escape_text(m: re.Match) -> str:
         return whole
 
 
-def unwrapped(layer: Layer, limit: int) -> tuple[list[Layer], int]:
-    """The layers one step further in, and the number of those that were too long."""
-    text, out, oversized = layer.text, [], 0
-    if "%" in text:
-        pieces = []
-        for m in _PERCENT.finditer(text):
-            decoded = bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "replace")
-            pieces.append((m.start(), m.end(), decoded))
-        if pieces:
-            out.append(layer.replaced(pieces, "url"))
-    if "\\" in text or "&#" in text:
-        pieces = [(m.start(), m.end(), d) for m in _ESCAPE.finditer(text) if (d := _escape_text(m)) != m.group()]
-        if pieces:
-            out.append(layer.replaced(pieces, "unicode"))
-    for m in _BASE64.finditer(text):
-        run = m.group()
-        body = run.rstrip("=")
-        if len(body) % 4 == 1 or body.islower() or body.isalpha() and body[1:].islower():
-            continue  # words of prose
-        try:
-            data = base64.urlsafe_b64decode((body + "=" * (-len(body) % 4)).replace("+", "-").replace("/", "_"))
-        except (binascii.Error, ValueError):
+def _percent_text(m: re.Match) -> str:
+    return bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "replace")
+
+
+_WHOLE = (("url", ("%",), _PERCENT, _percent_text), ("unicode", ("\\", "&#"), _ESCAPE, _escape_text))
+
+
+def unwrapped(layer: Layer) -> list[Layer]:
+    """The whole layer one step further in."""
+    text, out = layer.text, []
+    for step, signs, rule, undo in _WHOLE:
+        if any(x in text for x in signs):
+            pieces = [(m.start(), m.end(), d) for m in rule.finditer(text) if (d := undo(m)) != m.group()]
+            if pieces:
+                out.append(layer.replaced(pieces, step))
+    return out
+
+
+def _inside(text: str, path: tuple[str, ...], limit: int, over: list[int]) -> Iterator[Inner]:
+    """The layers one step further in where all characters have the same place, the last ones first."""
+    for _, _, run in reversed(list(_runs(text))):
+        yield from _decoded(run, path, limit, over)
+    for step, signs, rule, undo in reversed(_WHOLE):
+        if any(x in text for x in signs) and (inner := rule.sub(undo, text)) != text:
+            yield inner, (*path, step), True
+
+
+def _run_hits(run: str, limit: int) -> tuple[dict[str, tuple[str, ...]], int, int]:
+    """What is anywhere in a base64 run: kinds with their path, layers taken, oversized layers.
+
+    A layer that does not read as text counts as taken only if something is found in it. Long layers are kept as
+    digests, so that memory holds a chain of layers, not all of them.
+    """
+    hits, seen, taken, over = {}, set(), 0, [0]
+    stack = [_decoded(run, (), limit, over)]
+    while stack:
+        new = next(stack[-1], None)
+        if new is None:
+            stack.pop()
+            continue
+        text, path, readable = new
+        key = text if len(text) < 4096 else xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+        if key in seen:
             continue
-        plain, name, too_long = _unpacked(data, limit)
-        oversized += too_long
-        inner = _readable(data if plain is None else plain)
-        if inner is not None:
-            out.append(layer.inner(m.start(), m.end(), inner, f"base64+{name}" if plain is not None else "base64"))
-    return out, oversized
+        seen.add(key)
+        kinds = {x[2] for x in base_spans(text)}
+        taken += bool(readable or kinds)
+        for kind in kinds:
+            hits.setdefault(kind, path)
+        stack.append(_inside(text, path, limit, over))
+    return hits, taken, over[0]
 
 
 def scan(text: str, limit: int = MAX_LAYER) -> tuple[list[Span], list[tuple[int, int, str, str]], int, int]:
@@ -159,6 +266,8 @@ def scan(text: str, limit: int = MAX_LAYER) -> tuple[list[Span], list[tuple[int,
     base = base_spans(text)
     known, added = set(base), {}
     seen, work, taken, oversized = {(text, 0, len(text))}, [Layer(text, ())], 0, 0
+    runs: dict[str, tuple] = {}  # equal runs are decoded once
+    places = set()
     while work:
         layer = work.pop()
         taken += 1
@@ -167,9 +276,19 @@ def scan(text: str, limit: int = MAX_LAYER) -> tuple[list[Span], list[tuple[int,
                 a, b = layer.origin(s, e)
                 if (a, b, kind) not in known:
                     added.setdefault((a, b, kind), ">".join(layer.path))
-        inner, too_long = unwrapped(layer, limit)
-        oversized += too_long
-        for new in inner:
+        for s, e, run in _runs(layer.text):
+            place = (run, *layer.origin(s, e))
+            if place in places:
+                continue
+            places.add(place)
+            if run not in runs:
+                runs[run] = _run_hits(run, limit)
+            hits, layers, too_long = runs[run]
+            taken, oversized = taken + layers, oversized + too_long
+            for kind, path in hits.items():
+                if (*place[1:], kind) not in known:
+                    added.setdefault((*place[1:], kind), ">".join((*layer.path, *path)))
+        for new in unwrapped(layer):
             place = (new.text, *new.origin(0, len(new.text))) if new.text else None
             if place and place not in seen:
                 seen.add(place)

@@ -1,5 +1,7 @@
 import base64
+import bz2
 import gzip
+import lzma
 import re
 import urllib.parse
 
@@ -65,6 +67,31 @@ def test_a_repeated_encoded_secret_is_found_at_each_place(make):
         assert coded not in ss.redacted_documents(make([(1, text)])).first().text
 
 
+def test_wrapped_binary_and_long_layers():
+    noise = " ".join(f"{i * 7919 % 10007:x}Q{i}" for i in range(200))
+    secret = f"{noise[:71]} password={KEY}abc {noise}"
+    b64 = lambda data: base64.encodebytes(data).decode()
+    line = lambda data: base64.b64encode(data).decode()
+    packed = gzip.compress(secret.encode())
+    cases = {
+        "mime": b64(f"{'a ' * 24}password={KEY}".encode()), "mime gzip": b64(packed), "mime bzip2": b64(bz2.compress(secret.encode())),
+        "mime xz": b64(lzma.compress(secret.encode())), "after a name": "data: " + b64(packed), "crlf": b64(packed).replace("\n", "\r\n"),
+        "pem": "-----BEGIN CERTIFICATE-----\n" + "\n".join(re.findall(".{1,64}", line(packed))) + "\n-----END CERTIFICATE-----\n",
+        "indented": b64(packed).replace("\n", "\n  ") + "and prose", "latin-1": line(f"é {secret}".encode("latin-1")),
+        "tar.gz": line(gzip.compress(bytes(range(256)) * 40 + secret.encode() + b"\0" * 900)),
+        "members": line(gzip.compress(b"nothing in here") + packed), "after a member": line(gzip.compress(b"nothing") + secret.encode()),
+        "starts like zlib": line(b"x" + secret.encode()),
+    }
+    for name, coded in cases.items():
+        extra = ss.scan(f"é before: {coded}", limit=100_000)[1]
+        assert extra and all(10 <= s < e <= 10 + len(coded) for s, e, _, _ in extra), name
+        assert "access" in {x[2] for x in extra}, name
+    for at in range(2400, 3600, 97):
+        big = line(gzip.compress(b"- " * (at // 2) + secret.encode() + b" -" * 3000))
+        _, extra, _, oversized = ss.scan(big, limit=3000)
+        assert oversized == 1 and "access" in {x[2] for x in extra}, at
+
+
 def test_fixpoint_and_bounds():
     assert ss.scan("%2525252541")[2] >= 3  # peeled step by step until nothing changes
     assert ss.scan("%25" * 50)[2] == 2  # a layer of bare signs has nothing to undo
