@@ -22,7 +22,8 @@ rarer ones.
 
 Defined cases: null and empty texts have no window and no mark; an item of no words leaks nowhere; an item of fewer
 than five words is one shingle and leaks only into documents of just these words; equal items are reported each;
-rows that share a doc_id are told apart by a hash of their text, and reported under their doc_id.
+rows that share a doc_id are told apart by a hash of their text, and reported under their doc_id; a null doc_id or item_id
+is an id like any other.
 """
 
 from __future__ import annotations
@@ -136,6 +137,11 @@ def marks(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
+def _never_null(df: DataFrame, name: str) -> DataFrame:
+    """The id in a struct that is itself never null, so that equality joins keep a null id."""
+    return df.select(F.struct(F.col(name).alias("id")).alias(name), "text")
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS
 ) -> DataFrame:
@@ -143,6 +149,8 @@ def leaks(
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text.
     """
+    ids = [(n, f.schema[f"{n}_id"].dataType) for n, f in (("doc", docs), ("item", benchmark))]
+    docs, benchmark = _never_null(docs, "doc_id"), _never_null(benchmark, "item_id")
     items = item_table(benchmark, k)
     # The outer explode keeps the optimizer from filtering on the list's size below it, which would compute the words
     # again for every shingle; the join drops its nulls.
@@ -169,7 +177,8 @@ def leaks(
                 F.slice("ws", F.col("w.stretch") * F.col("w.size") + 1, F.col("w.size") * 2 - 1).alias("ws"))
     )
     windows = _windows(cut, items, key, k, threshold)
-    return _matched(windows, items, key, threshold, radius)
+    found = _matched(windows, items, key, threshold, radius)
+    return found.select(*[F.col(f"{n}_id.id").cast(kind).alias(f"{n}_id") for n, kind in ids], "start", "distance", "likeness")
 
 
 def _windows(cut: DataFrame, items: DataFrame, key: list[str], k: int, threshold: float) -> DataFrame:

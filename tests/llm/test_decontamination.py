@@ -71,6 +71,15 @@ def test_changed_passages_equal_brute_force(make, prose, spark):
     assert {(30, 3), (31, 3)} <= want  # the first words moved to the end, and halves swapped
 
 
+def test_null_ids_are_reported(make, prose, spark):
+    a, b = prose(1, 30), prose(2, 30)
+    benchmark = spark.createDataFrame([(None, a), (2, b)], "item_id bigint, text string")
+    docs = two_columns(make([(None, b), (None, f"x {a}"), (5, a), (6, prose(3, 50))]))
+    out = dc.leaks(docs, benchmark)
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(None, 2), (None, None), (5, None)}
+    assert {r.doc_id for r in dc.contaminated(docs, benchmark).collect()} == {None, 5}
+
+
 def test_empty_tables(make, spark):
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
