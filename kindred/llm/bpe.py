@@ -4,7 +4,8 @@ The text is split into words by the tokenizer's own pattern (its special tokens
 blocks of documents: a block lists its distinct words, by falling frequency, and writes each document as the list of
 their ranks. Only (word, block, rank) rows are grouped by word, so every distinct word of the corpus is encoded
 once, and no word is a hot key: the most frequent word has one row per block. The ids go back to the blocks and are
-put in place by rank. Words are decoded by a join of their ids with the table of pieces.
+put in place by rank. Both paths decode words by looking ids up in an array of
+pieces; only :func:`decode` joins the ids with the table of pieces.
 
 Blocks are bounded by ``block_words`` words (a document is never cut; a longer one is a block alone). A block is named
 by a hash of its documents and not by its task, so that a rerun of a lost task names it alike; the join back fails
