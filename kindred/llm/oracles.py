@@ -71,3 +71,34 @@ WITH turns AS (
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, CAST(copies AS BIGINT) AS copies, rendered
 FROM one WHERE parts NOT IN (SELECT parts FROM inner_prefixes)
 """
+
+ORACLES["op11_ranked_search"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), items AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+), wanted AS (
+  SELECT item_id, t, count(*) AS times FROM items GROUP BY ALL
+), totals AS (
+  SELECT count(*) FILTER (len(ts) > 0) AS big_n, sum(len(ts)) AS big_l FROM split
+), tf AS (
+  SELECT doc_id, len(ts) AS n, t, count(*) AS tf
+  FROM (SELECT doc_id, ts, unnest(ts) AS t FROM split) WHERE t IN (SELECT t FROM wanted) GROUP BY doc_id, len(ts), t
+), weight AS (
+  SELECT t, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, totals GROUP BY t, big_n
+), scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS score
+  FROM wanted JOIN tf USING (t) JOIN weight USING (t), totals GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score::BIGINT AS score FROM ranked WHERE rank <= 20
+"""

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm import bpe, chat, decontamination, fingerprint, licenses, near_dedup, quality, secret_scan, sharding, substring
+from kindred.llm import (
+    ball_search, bpe, chat, conversation_repair, decontamination, fingerprint, licenses, near_dedup, quality, secret_scan,
+    sharding, simhash_dedup, substring,
+)
 from kindred.llm.common import table, two_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +108,20 @@ def op10_sharding(spark, sf):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op11_ranked_search(spark, sf):
+    return ball_search.ranked_search(documents(spark, sf), table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+@query
+def op12_conversation_repair(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair_report(conversation_repair.damaged(turns), turns)
+
+
+@query
+def op13_simhash_dedup(spark, sf):
+    out = simhash_dedup.simhash_classes(documents(spark, sf))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
