@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.functions.tags import hits, lexicon_tokens
 from kindred.lexicons import ACTOR_NOUNS, PRONOUNS
-from kindred.operators.frames import top_k, unnest
+from kindred.operators.frames import item_counts, top_counts, top_k
 from kindred.operators.parsing import ensure_parsed
 from kindred import schema as S
 
@@ -82,24 +82,25 @@ def top_group_shares(shares: DataFrame, k: int = 5, group_col: str = S.GROUP, by
     return top_k(shares, k, "share_gendered_captions", [group_col], by)
 
 
-def actor_noun_counts(df: DataFrame, nouns: Lexicon = ACTOR_NOUNS, by: Sequence[str] = ()) -> DataFrame:
-    """Frequency and category of every NOUN token found in the actor lexicon."""
+def actor_noun_counts(
+    df: DataFrame, nouns: Lexicon = ACTOR_NOUNS, by: Sequence[str] = (), order: Sequence[str] = ()
+) -> DataFrame:
+    """Frequency and category of every NOUN token found in the actor lexicon; with ``order`` also ``first_seen``."""
     category = F.create_map(
         *[F.lit(x) for cat, bag in nouns.items() for word in bag for x in (word, cat)]
     )
     words = [w for bag in nouns.values() for w in bag]
-    found = unnest(ensure_parsed(df), by, lexicon_tokens(F.col("parsed_pos"), ("NOUN",), words))
-    return (
-        found.groupBy(*by, F.col("tok").alias("token"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("category", F.try_element_at(category, F.col("token")))
-    )
+    found = lexicon_tokens(F.col("parsed_pos"), ("NOUN",), words)
+    counts = item_counts(ensure_parsed(df), by, found, {"token": F.col("tok")}, order)
+    return counts.withColumn("category", F.try_element_at(category, F.col("token")))
 
 
 def top_actor_nouns(
-    df: DataFrame, k: int = 20, nouns: Lexicon = ACTOR_NOUNS, by: Sequence[str] = ()
+    df: DataFrame, k: int = 20, nouns: Lexicon = ACTOR_NOUNS, by: Sequence[str] = (), tie: str = "key",
+    order: Sequence[str] = (S.CAPTION,),
 ) -> DataFrame:
-    return top_k(actor_noun_counts(df, nouns, by), k, "cnt", ["token"], by)
+    """``tie="first_seen"`` lists equal counts in the order in which the nouns first occur."""
+    return top_counts(actor_noun_counts(df, nouns, by, order if tie == "first_seen" else ()), k, ["token"], by, tie)
 
 
 def actor_analysis(

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from kindred import schema as S
 from kindred.functions.vectors import l2_normalise, squared_norm
+from kindred.operators import metric
 from kindred.operators.frames import top_k
 from kindred.operators.quantiles import exact_quantiles
 from kindred.operators.similarity import vector_sums
@@ -181,7 +182,8 @@ def raw_similarity(
 
     Clipping can only matter for pairs whose norms multiply to more than 1, so the linear form covers all
     pairs and only vectors with ``norm * (largest norm of the group) > 1`` go through cells, for the
-    difference. Vectors meant to be of length 1 belong to :func:`dense_similarity`; a ``tolerance`` keeps those whose
+    difference. Of groups with more than one block of these, the cells whose lengths and angles keep every dot product
+    within [-1, 1] are skipped (see :mod:`kindred.operators.metric`). Vectors meant to be of length 1 belong to :func:`dense_similarity`; a ``tolerance`` keeps those whose
     norms multiply to a little more than 1 on the linear path here too, unclipped.
     """
     keys = [*by, group_col]
@@ -189,7 +191,12 @@ def raw_similarity(
     linear = _unclipped_sums(ready, keys, dim)
     longest = ready.groupBy(*keys).agg(F.max("_norm").alias("_max")).filter(F.col("_max") > 1.0)
     long = ready.join(longest, keys).filter(F.col("_norm") * F.col("_max") > 1.0 + tolerance)
-    stats = _summaries(pair_cells(long, keys, "_id", "_vec", block), keys)
+    small, large = split_by_size(long, keys, block)
+    stats = _summaries(pair_cells(small, keys, "_id", "_vec", block), keys).select(*keys, "clipped", "raw")
+    if large is not None:
+        placed = metric.place(_doubles(large, keys), keys, block)
+        wanted = metric.clipped_cells(metric.bounded_cells(metric.block_table(placed, keys), keys), keys, tolerance)
+        stats = stats.unionByName(_summaries(metric.cell_vectors(placed, wanted, keys), keys).select(*keys, "clipped", "raw"))
     cut = stats.groupBy(*keys).agg(F.sum(F.col("clipped") - F.col("raw")).alias("_cut"))
     pairs = F.col("num").cast("double") * (F.col("num") - F.lit(1)) / F.lit(2.0)
     mean = (F.col("_total") + F.coalesce("_cut", F.lit(0.0))) / pairs
@@ -206,6 +213,18 @@ def _unclipped_sums(ready: DataFrame, keys: list[str], dim: int | None) -> DataF
     return sums.select(*keys, "num", total.alias("_total"))
 
 
+def split_by_size(ready: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups that fit one block, and those of the others (None if there are no such groups)."""
+    large = ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block).select(*keys)
+    if not large.limit(1).count():
+        return ready, None
+    return ready.join(large, keys, "left_anti"), ready.join(large, keys, "left_semi")
+
+
+def _doubles(ready: DataFrame, keys: list[str]) -> DataFrame:
+    return ready.select(*keys, "_id", F.transform("_vec", lambda x: x.cast("double")).alias("_vec"))
+
+
 def caption_distances(
     vectors: DataFrame,
     by: Sequence[str] = (),
@@ -217,38 +236,52 @@ def caption_distances(
 ) -> DataFrame:
     """Per group of two or more: mean, median, largest and smallest ``1 - cosine`` over all pairs.
 
-    The median is exact for groups of any size. In groups of one block the cell has all distances. Beyond that the
-    cells return histograms that narrow the two middle ranks down to bins of 2 / 1024^3, and then the distances of
-    those bins with their counts, among which the ranks are found. Without such groups these rounds have no rows.
+    In groups of one block a cell has all distances. Larger groups go through a metric index
+    (:mod:`kindred.operators.metric`): the mean is linear; the extremes and the median look only into the cells whose bounds can
+    hold them. The median is exact for groups of any size: histograms of those cells narrow the two middle ranks
+    down to bins of 2 / 1024^3, and then the distances of those bins are ranked.
     """
     keys = [*by, group_col]
     ready = _ready(vectors, keys, id_col, vec_col, normalise)
-    cells = pair_cells(ready, keys, "_id", "_vec", block)
-    stats = _summaries(cells, keys)
+    small, large = split_by_size(ready, keys, block)
     one = F.lit(1.0)
+    stats = _summaries(pair_cells(small, keys, "_id", "_vec", block), keys)
     merged = stats.groupBy(*keys).agg(
-        (one - F.sum("clipped") / F.sum("pairs")).alias("dist_mean"),
-        (one - F.min("low")).alias("dist_max"),
-        (one - F.max("high")).alias("dist_min"),
-        F.sum("pairs").alias("_pairs"),
-        F.max("hi").alias("_hi"),
-        (one - F.max("middle")).alias("_median"),
+        (one - F.sum("clipped") / F.sum("pairs")).alias("dist_mean"), (one - F.max("middle")).alias("dist_median"),
+        (one - F.min("low")).alias("dist_max"), (one - F.max("high")).alias("dist_min"),
     )
+    if large is not None:
+        merged = merged.unionByName(_large_distances(large, keys, block))
     sizes = ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_captions"))
-    large = merged.filter(F.col("_hi") > 0).select(*keys, "_pairs")
-    joined = sizes.join(merged, keys).join(_refined_medians(cells, large, keys), keys, "left")
-    median = F.when(F.col("_hi") > 0, F.col("_refined")).otherwise(F.col("_median"))
-    return joined.select(*keys, "n_captions", "dist_mean", median.alias("dist_median"), "dist_max", "dist_min")
+    return sizes.join(merged, keys).select(*keys, "n_captions", "dist_mean", "dist_median", "dist_max", "dist_min")
+
+
+def _large_distances(ready: DataFrame, keys: list[str], block: int) -> DataFrame:
+    one = F.lit(1.0)
+    placed = metric.place(_doubles(ready, keys), keys, block)
+    cells = metric.bounded_cells(metric.block_table(placed, keys), keys)
+    ends = _summaries(metric.cell_vectors(placed, metric.extreme_cells(cells, keys), keys), keys).groupBy(*keys).agg(
+        (one - F.min("low")).alias("dist_max"), (one - F.max("high")).alias("dist_min")
+    )
+    middle = metric.median_cells(cells, keys)
+    targets = middle.select(*keys, "_pairs", "_below").distinct()
+    medians = _refined_medians(metric.cell_vectors(placed, middle, keys), targets, keys)
+    mean = raw_similarity(
+        ready, None, keys[:-1], keys[-1], "_id", "_vec", block, tolerance=1e-9
+    ).select(*keys, (one - F.col(S.SIM)).alias("dist_mean"))
+    return ends.join(medians, keys).join(mean, keys).select(
+        *keys, "dist_mean", F.col("_refined").alias("dist_median"), "dist_max", "dist_min"
+    )
 
 
 def _refined_medians(cells: DataFrame, large: DataFrame, keys: list[str]) -> DataFrame:
-    """Medians of the groups in ``large`` by repeated histograms; ``(keys, _refined)``.
+    """Medians of the groups in ``large`` by repeated histograms of the cells that can hold them; ``(keys, _refined)``.
 
-    The two middle ranks are followed separately: each level finds the bin a rank falls into and the next
-    level counts only inside that bin.
+    Of a group's ``_pairs`` pairs, ``_below`` are in cells below these. The two middle ranks are followed separately: each
+    level finds the bin a rank falls into and the next level counts only inside that bin.
     """
     ranks = F.array(
-        F.floor((F.col("_pairs") - F.lit(1)) / F.lit(2)), F.floor(F.col("_pairs") / F.lit(2))
+        F.floor((F.col("_pairs") - F.lit(1)) / F.lit(2)) - F.col("_below"), F.floor(F.col("_pairs") / F.lit(2)) - F.col("_below")
     )
     targets = large.select(
         *keys, F.posexplode(ranks).alias("_which", "_rank"), F.lit(0).cast("bigint").alias("_prefix")

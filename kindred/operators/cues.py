@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from kindred import lexicons as L
+from kindred import lexicons as L, schema as S
 from kindred.functions.tags import hits, lexicon_tokens, tokens_tagged
-from kindred.operators.frames import top_k, unnest
+from kindred.operators.frames import item_counts, top_counts, top_k, unnest
 from kindred.operators.parsing import ensure_parsed
 
 # Output column of each tag list.
@@ -61,9 +61,17 @@ def cue_rates(df: DataFrame, by: Sequence[str] = (), **lexicons: Sequence[str])
 
 
 def top_by_tag(
-    df: DataFrame, k: int = 30, tags: Sequence[str] = tuple(TAG_COLUMNS), by: Sequence[str] = ()
+    df: DataFrame, k: int = 30, tags: Sequence[str] = tuple(TAG_COLUMNS), by: Sequence[str] = (), tie: str = "key",
+    order: Sequence[str] = (S.CAPTION,),
 ) -> DataFrame:
-    """The k most frequent lower-cased tokens of each tag, from one explode and one aggregation."""
+    """The k most frequent lower-cased tokens of each tag, from one explode and one aggregation.
+
+    ``tie="first_seen"`` lists equal counts in the order in which the words first occur with that tag.
+    """
+    if tie != "key":
+        kept = F.filter(F.arrays_zip(F.col("pos_list").alias("pos"), F.col("tokens").alias("tok")), lambda x: x["pos"].isin(list(tags)))
+        keys = {"pos": F.col("pos"), "token": F.lower("tok")}
+        return top_counts(item_counts(ensure_parsed(df), by, kept, keys, order), k, ["token"], [*by, "pos"], tie)
     tagged = F.arrays_zip(F.col("tokens").alias("tok"), F.col("pos_list").alias("pos"))
     counts = (
         unnest(ensure_parsed(df), by, tagged)

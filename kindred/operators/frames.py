@@ -26,6 +26,39 @@ def unnest(df: DataFrame, keep: Sequence[str], array: Column, name: str | None =
     return out.filter(F.col(f"`{first}`").isNotNull())
 
 
+def item_counts(
+    df: DataFrame, by: Sequence[str], items: Column, keys: dict[str, Column] | None = None, order: Sequence[str] = ()
+) -> DataFrame:
+    """``(by, keys, cnt)`` of the structs in the array ``items``; ``keys`` are expressions over their fields (default: the fields).
+
+    With ``order`` each key also has ``first_seen``: the least (order columns, place in the array) it occurs at. It is a
+    minimum beside the count, so it combines map-side with it.
+    """
+    if not order:
+        rows = unnest(df, by, items)
+        names = {c: F.col(f"`{c}`") for c in rows.columns[len(by):]} if keys is None else keys
+        return rows.groupBy(*by, *[c.alias(n) for n, c in names.items()]).agg(F.count(F.lit(1)).alias("cnt"))
+    seen = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    placed = F.transform(items, lambda x, i: F.struct(x.alias("_item"), i.alias("_place")))
+    flat = unnest(df.select(*by, *seen, placed.alias("_placed")), [*by, *[f"_o{i}" for i in range(len(order))]], F.col("_placed"))
+    rows = flat.select(*by, "_item.*", F.struct(*[f"_o{i}" for i in range(len(order))], "_place").alias("_seen"))
+    names = {c: F.col(f"`{c}`") for c in rows.columns[len(by):-1]} if keys is None else keys
+    return rows.groupBy(*by, *[c.alias(n) for n, c in names.items()]).agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("_seen").alias("first_seen")
+    )
+
+
+def top_counts(
+    counts: DataFrame, k: int, keys: Sequence[str], by: Sequence[str] = (), tie: str = "key"
+) -> DataFrame:
+    """The k most frequent rows. Equal counts: the smaller key first, or with ``tie="first_seen"`` the one seen earlier."""
+    if tie not in ("key", "first_seen"):
+        raise ValueError(f"tie must be 'key' or 'first_seen', not {tie!r}")
+    if tie == "key":
+        return top_k(counts, k, "cnt", keys, by)
+    return top_k(counts, k, "cnt", ["first_seen", *keys], by).drop("first_seen")
+
+
 def attach(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add the columns of ``right`` to ``left``: one row per ``by`` key, or a single row without keys.
 

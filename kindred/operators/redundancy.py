@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kindred import schema as S
 from kindred.functions.text import normalised, normalised_words, sized_ngrams, text_key
-from kindred.operators.frames import top_k, unnest
+from kindred.operators.frames import item_counts, top_counts, top_k, unnest
 
 
 def with_normalised(df: DataFrame, text_col: str = S.TEXT) -> DataFrame:
@@ -48,7 +48,14 @@ def top_ngrams(
     k: int = 30,
     by: Sequence[str] = (),
     text_col: str = S.TEXT,
+    tie: str = "key",
+    order: Sequence[str] = (S.CAPTION,),
 ) -> DataFrame:
+    """``tie="first_seen"`` lists equal counts in the order in which the n-grams first occur."""
+    if tie != "key":
+        prepared = df.select(*by, *order, normalised_words(F.col(text_col)).alias("_words"))
+        grams = F.concat(*[sized_ngrams(F.col("_words"), n) for n in n_values])
+        return top_counts(item_counts(prepared, by, grams, order=order), k, ["ngram"], [*by, "n"], tie)
     return top_k(ngram_counts(df, n_values, by, text_col), k, "cnt", ["ngram"], [*by, "n"])
 
 

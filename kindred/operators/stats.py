@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from kindred import schema as S
 from kindred.functions.tags import tag_count
 from kindred.lexicons import KEPT_TAGS
-from kindred.operators.frames import attach_all, top_k, unnest
+from kindred.operators.frames import attach_all, item_counts, top_counts, top_k, unnest
 from kindred.operators.parsing import ensure_parsed
 
 
@@ -80,8 +80,14 @@ def vocab_size(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return vocab_table(df, by).groupBy(*by).agg(F.count(F.lit(1)).alias("vocab_size"))
 
 
-def top_words(df: DataFrame, k: int = 20, by: Sequence[str] = ()) -> DataFrame:
-    return top_k(vocab_table(df, by), k, "cnt", ["token"], by)
+def top_words(
+    df: DataFrame, k: int = 20, by: Sequence[str] = (), tie: str = "key", order: Sequence[str] = (S.CAPTION,)
+) -> DataFrame:
+    """``tie="first_seen"`` lists equal counts in the order in which the words first occur: by ``order``, then place."""
+    if tie == "key":
+        return top_k(vocab_table(df, by), k, "cnt", ["token"], by)
+    words = F.transform("tokens", lambda t: F.struct(F.lower(t).alias("token")))
+    return top_counts(item_counts(ensure_parsed(df), by, words, order=order), k, ["token"], by, tie)
 
 
 def pos_distribution(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

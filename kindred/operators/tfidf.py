@@ -23,9 +23,13 @@ def caption_terms(
     id_col: str = S.CAPTION,
     text_col: str = S.TEXT,
 ) -> DataFrame:
-    """``(by, group, caption, term, tf)``: counted inside the row, so the explode is one row per distinct term."""
+    """``(by, group, caption, term, tf)``: counted inside the row, so the explode is one row per distinct term.
+
+    A column ``term_words`` of words that are cut already is used instead of the text.
+    """
     low, high = ngram_range
-    tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM_PATTERN), F.lit(0))
+    cut = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM_PATTERN), F.lit(0))
+    tokens = F.col("term_words") if "term_words" in df.columns else cut
     terms = let(tokens, lambda t: F.concat(*[ngrams(t, n) for n in range(low, high + 1)]))
     return unnest(df, [*by, group_col, id_col], term_counts(terms))
 

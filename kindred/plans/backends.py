@@ -34,8 +34,9 @@ class Tfidf:
 class Precomputed:
     """Vectors from a table keyed by corpus (the ``by`` columns, which it must have) and caption.
 
-    ``normalise=False`` when they are unit vectors already. A caption without a vector, or a key with two, fails the
-    query: a similarity of part of the captions would pass for one of all.
+    ``normalise=False`` when they are unit vectors already. A key with two vectors fails the query. So does a caption without
+    one, since a similarity of part of the captions would pass for one of all; with ``missing="count"`` the groups are
+    those of the captions that have one, their size says how many that are, and :meth:`coverage` how many have none.
     """
 
     vectors: DataFrame
@@ -43,18 +44,31 @@ class Precomputed:
     id_col: str = S.CAPTION
     vec_col: str = "vec"
     normalise: bool = True
+    missing: str = "fail"
+
+    def _table(self, by: Sequence[str]) -> DataFrame:
+        lacking = set(by) - set(self.vectors.columns)
+        if lacking:
+            raise ValueError(f"the vectors have no column {sorted(lacking)}, so corpora would share them")
+        table = self.vectors.select(*by, F.col(self.id_col).alias(S.CAPTION), F.col(self.vec_col).alias("vec"))
+        return table.groupBy(*by, S.CAPTION).agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("_copies"))
+
+    def coverage(self, captions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """``(by, num_with_vector, num_missing)``."""
+        known = self._table(by).select(*by, S.CAPTION, F.lit(1).alias("_known"))
+        return captions.select(*by, S.CAPTION).join(known, [*by, S.CAPTION], "left").groupBy(*by).agg(
+            F.count("_known").alias("num_with_vector"), F.count_if(F.col("_known").isNull()).alias("num_missing")
+        )
 
     def similarity(self, captions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-        missing = set(by) - set(self.vectors.columns)
-        if missing:
-            raise ValueError(f"the vectors have no column {sorted(missing)}, so corpora would share them")
         key = [*by, S.CAPTION]
-        table = self.vectors.select(*by, F.col(self.id_col).alias(S.CAPTION), F.col(self.vec_col).alias("vec"))
-        table = table.groupBy(*key).agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("_copies"))
+        if self.missing not in ("fail", "count"):
+            raise ValueError(f"missing must be 'fail' or 'count', not {self.missing!r}")
         checked = F.when(F.col("_copies") == 1, F.col("vec")).otherwise(F.raise_error(F.concat_ws(
             " ", F.lit("not exactly one vector for caption"), *[F.col(c).cast("string") for c in key]
         )))
-        joined = captions.select(*by, S.GROUP, S.CAPTION).join(table, key, "left").withColumn("vec", checked)
+        how = "left" if self.missing == "fail" else "inner"
+        joined = captions.select(*by, S.GROUP, S.CAPTION).join(self._table(by), key, how).withColumn("vec", checked)
         return dense_similarity(joined, self.dim, by, normalise=self.normalise)
 
 

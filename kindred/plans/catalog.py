@@ -16,7 +16,7 @@ from kindred.operators import (
 )
 from kindred.plans import tables as tb
 from kindred.plans.backends import Encoder, Precomputed, Tfidf
-from kindred.plans.report import analyse, report, similarity_compare
+from kindred.plans.report import analyse_once, report, similarity_compare
 from kindred.sources.captions import parse_lines, rejected_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +154,12 @@ def top_words(spark, sf):
     return stats.top_words(tb.document_captions(spark, sf))
 
 
+@query
+def top_words_first_seen(spark, sf):
+    """A6 with ties in the order of first occurrence."""
+    return stats.top_words(tb.document_captions(spark, sf), 200, tie="first_seen")
+
+
 @query
 def pos_distribution(spark, sf):
     return stats.pos_distribution(tb.document_captions(spark, sf))
@@ -193,6 +199,12 @@ def top_by_pos(spark, sf):
     return cues.top_by_tag(tb.document_captions(spark, sf))
 
 
+@query
+def top_by_pos_first_seen(spark, sf):
+    """A11 with ties in the order of first occurrence."""
+    return cues.top_by_tag(tb.conversation_captions(spark, sf), 100, tie="first_seen")
+
+
 @query
 def actor_features(spark, sf):
     """P9-P12."""
@@ -229,6 +241,12 @@ def top_actor_nouns(spark, sf):
     return actors.top_actor_nouns(tb.document_captions(spark, sf), nouns=tb.PROXY_ACTORS)
 
 
+@query
+def top_actor_nouns_first_seen(spark, sf):
+    """A23 with ties in the order of first occurrence, per corpus."""
+    return actors.top_actor_nouns(tb.document_captions(spark, sf), nouns=tb.PROXY_ACTORS, by=["dataset"], tie="first_seen")
+
+
 # Redundancy and richness
 
 
@@ -242,6 +260,12 @@ def top_ngrams(spark, sf):
     return rounded(redundancy.top_ngrams(tb.document_captions(spark, sf)))
 
 
+@query
+def top_ngrams_first_seen(spark, sf):
+    """A14 with ties in the order of first occurrence."""
+    return rounded(redundancy.top_ngrams(tb.conversation_captions(spark, sf), k=100, tie="first_seen"))
+
+
 @query
 def top_ngrams_by_lang(spark, sf):
     return rounded(redundancy.top_ngrams(tb.document_captions(spark, sf), by=["dataset"]))
@@ -353,14 +377,22 @@ def similarity_summary(spark, sf):
 
 @query
 def backend_comparison(spark, sf):
-    """Both backends over the documents that have a vector."""
+    """TF-IDF over all documents beside vectors over those that have one, with the number of both."""
     vectors = tb.table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias(S.CAPTION), F.col("embedding").alias("vec")
     )
-    backends = {"tfidf": Tfidf(), "embeddings": Precomputed(vectors, DIM)}
-    captions = tb.document_captions(spark, sf).join(vectors.select(S.CAPTION), S.CAPTION, "left_semi")
-    compared = similarity_compare(captions, backends)
-    return rounded(flat_quantiles(compared["summary_table"]))
+    captions = tb.document_captions(spark, sf)
+    dense = Precomputed(vectors, DIM, missing="count")
+    compared = similarity_compare(captions, {"tfidf": Tfidf(), "embeddings": dense})
+    found = dense.coverage(captions)
+    counts = found.select(F.inline(F.array(*[
+        F.struct(F.lit(b).alias("backend"), n.alias("num_captions"), m.alias("num_missing"))
+        for b, n, m in (
+            ("tfidf", F.col("num_with_vector") + F.col("num_missing"), F.lit(0).cast("bigint")),
+            ("embeddings", F.col("num_with_vector"), F.col("num_missing")),
+        )
+    ])))
+    return rounded(flat_quantiles(compared["summary_table"]).join(counts, "backend"))
 
 
 @query
@@ -592,5 +624,4 @@ def topics(spark, sf):
 @query
 def full_report(spark, sf):
     """Every section as one tidy table."""
-    df = tb.conversation_captions(spark, sf)
-    return rounded(report(analyse(df)))
+    return rounded(report(analyse_once(tb.conversation_captions(spark, sf))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kindred import lexicons as L
 from kindred.plans import tables as tb
 from kindred.plans.catalog import THRESHOLDS
 
@@ -265,6 +266,88 @@ TOKEN_LISTS = ", ".join(
     for t, c in (("VERB", "verbs"), ("ADJ", "adjs"), ("ADV", "advs"), ("NOUN", "nouns"))
 )
 
+def _report() -> str:
+    """The report over the conversations with the default lexicons: a SELECT for each list."""
+    rows = []
+
+    def scalars(section: str, source: str, names: list[str], digits: int = 6) -> None:
+        rows.extend(f"SELECT '{section}' AS section, 1 AS place, '{n}' AS metric, round({source}.\"{n}\"::DOUBLE, {digits}) AS value FROM {source}" for n in names)
+
+    def listed(section, source, metric, value, order, limit=None, within="", digits=6):
+        over = f"row_number() OVER ({f'PARTITION BY {within} ' if within else ''}ORDER BY {order})"
+        cut = f" QUALIFY {over} <= {limit}" if limit else ""
+        rows.append(f"SELECT '{section}', {over}, {metric}, round(({value})::DOUBLE, {digits}) FROM {source}{cut}")
+
+    means = [f"mean_{t}" for t in tb.PROXY_TAGS]
+    tags = _quoted(["VERB", "ADJ", "ADV", "NOUN"])
+    hits = {
+        "direction": (L.DIRECTION_WORDS, ["ADJ", "ADV", "NOUN"]), "speed": (L.SPEED_WORDS, ["ADJ", "ADV"]), "body_part": (L.BODY_PARTS, ["NOUN"]),
+    }
+    rates = ", ".join(f"{_in(words, _quoted(kinds))} > 0 AS {name}" for name, (words, kinds) in hits.items())
+    labels = [(f"{c}_{kind}", tag, bag[c]) for kind, tag, bag in (("noun", "NOUN", L.ACTOR_NOUNS), ("pron", "PRON", L.PRONOUNS)) for c in ("male", "female", "neutral")]
+    case = " ".join(f"WHEN {_in(words, _quoted([tag]))} > 0 THEN '{name}'" for name, tag, words in labels)
+    nouns = [w for bag in L.ACTOR_NOUNS.values() for w in bag]
+    scalars("corpus_stats", "scalars", ["num_captions", "avg_tokens", "std_tokens", "median_tokens", *means, "num_motions", "captions_per_motion_mean", "captions_per_motion_median", "vocab_size"])
+    listed("corpus_stats", "vocab_counts", "'cnt: ' || token", "cnt", "cnt DESC, token", 10)
+    listed("corpus_stats", "pos_counts", "'cnt: ' || pos", "cnt", "cnt DESC, pos")
+    scalars("cues", "rates", [f"caption_rate_with_{n}" for n in ("direction_cues", "speed_cues", "body_part_mentions")], 3)
+    listed("cues", "tag_counts", "'cnt: ' || pos || ': ' || token", "cnt", "cnt DESC, token", 10, "pos")
+    listed("actors", "label_counts", "'rate: ' || label", "rate", "rate DESC, label", digits=3)
+    listed("actors", "noun_counts", "'cnt: ' || token", "cnt", "cnt DESC, token", 10)
+    for kind in ("gendered", "neutral"):
+        listed("actors", "shares", f"'share_{kind}_captions: ' || motion_id", kind, "gendered DESC, motion_id", 5)
+    scalars("redundancy", "duplicates", ["duplicate_rate"], 4)
+    listed("redundancy", "gram_counts", "'cnt: ' || n || ': ' || ngram", "cnt", "cnt DESC, ngram", 10, "n")
+    summary = {"mean_of_means": "avg(sim)", "median_of_means": "median(sim)"} | {
+        f"q{round(p * 100)}": f"quantile_cont(sim, {p}::DOUBLE)" for p in L.QUANTILES
+    }
+    rows.extend(f"SELECT 'similarity', 1, '{n}: tfidf', round(({e})::DOUBLE, 6) FROM sims" for n, e in summary.items())
+    listed("similarity", "sims", "'tfidf_most_consistent: ' || motion_id", "sim", "sim DESC NULLS LAST, motion_id", 10)
+    listed("similarity", "sims", "'tfidf_least_consistent: ' || motion_id", "sim", "sim NULLS LAST, motion_id", 10)
+    scalars("richness", "richness", ["TTR", "distinct-1", "distinct-2", "distinct-3", "mean_verbs_per_caption", "conj_rate"], 4)
+    ratios = ", ".join(f"coalesce(count(DISTINCT gram) FILTER (n = {n}) / count(gram) FILTER (n = {n}), 0) AS \"distinct-{n}\"" for n in (1, 2, 3))
+    counted = ", ".join(f"avg(len(list_filter(w, lambda x: length(x) % 6 = {i}))) AS mean_{t}" for i, t in enumerate(tb.PROXY_TAGS))
+
+    def gram(words: str, n: int, separator: str) -> str:
+        return f"list_transform(range(1, len({words}) - {n - 2}), lambda i: {f' || {separator} || '.join(f'{words}[i + {j}]' for j in range(n))})"
+
+    return f"""WITH {CONVS}, {TOKENS}, {_tfidf()},
+raw_grams AS (
+    SELECT 1 AS n, unnest(w) AS gram FROM words UNION ALL SELECT 2, unnest({gram("w", 2, "chr(31)")}) FROM words
+    UNION ALL SELECT 3, unnest({gram("w", 3, "chr(31)")}) FROM words),
+norm AS (SELECT regexp_extract_all({_norm()}, '[^ ]+') AS t FROM captions),
+norm_grams AS (
+    SELECT 2 AS n, unnest({gram("t", 2, "' '")}) AS ngram FROM norm UNION ALL SELECT 3, unnest({gram("t", 3, "' '")}) FROM norm),
+scalars AS (
+    SELECT * FROM (SELECT count(*) AS num_captions, avg(len(w)) AS avg_tokens, stddev_samp(len(w)) AS std_tokens,
+                          median(len(w)) AS median_tokens, {counted} FROM words)
+    CROSS JOIN (SELECT count(*) AS num_motions, avg(n) AS captions_per_motion_mean, median(n) AS captions_per_motion_median
+                FROM (SELECT count(*) AS n FROM captions GROUP BY motion_id))
+    CROSS JOIN (SELECT count(DISTINCT lower(tok)) AS vocab_size FROM tokens)),
+vocab_counts AS (SELECT lower(tok) AS token, count(*) AS cnt FROM tokens GROUP BY 1),
+pos_counts AS (SELECT pos, count(*) AS cnt FROM tokens GROUP BY 1),
+tag_counts AS (SELECT pos, lower(tok) AS token, count(*) AS cnt FROM tokens WHERE pos IN ({tags}) GROUP BY ALL),
+noun_counts AS (SELECT lower(tok) AS token, count(*) AS cnt FROM tokens WHERE pos = 'NOUN' AND lower(tok) IN ({_quoted(nouns)}) GROUP BY 1),
+said AS (
+    SELECT motion_id, caption_id, {rates}, CASE {case} ELSE 'none' END AS label
+    FROM captions LEFT JOIN tokens USING (motion_id, caption_id) GROUP BY ALL),
+rates AS (
+    SELECT avg(direction::INT) AS caption_rate_with_direction_cues, avg(speed::INT) AS caption_rate_with_speed_cues,
+           avg(body_part::INT) AS caption_rate_with_body_part_mentions FROM said),
+label_counts AS (SELECT label, count(*) / (SELECT count(*) FROM said) AS rate FROM said GROUP BY 1),
+shares AS (
+    SELECT motion_id, avg((label IN ('male_noun', 'female_noun', 'male_pron', 'female_pron'))::INT) AS gendered,
+           avg((label IN ('neutral_noun', 'neutral_pron'))::INT) AS neutral FROM said GROUP BY 1),
+duplicates AS (SELECT 1 - count(DISTINCT {_norm()}) / count(*) AS duplicate_rate FROM captions),
+gram_counts AS (SELECT n, ngram, count(*) AS cnt FROM norm_grams GROUP BY ALL),
+richness AS (
+    SELECT * FROM (SELECT count(DISTINCT lower(tok)) / count(*) AS "TTR", count(*) FILTER (lower(tok) IN ({_quoted(L.CONNECTIVES)})) / count(*) AS conj_rate FROM tokens)
+    CROSS JOIN (SELECT {ratios} FROM raw_grams)
+    CROSS JOIN (SELECT avg(len(list_filter(w, lambda x: length(x) % 6 = 1))) AS mean_verbs_per_caption FROM words)),
+report AS ({" UNION ALL ".join(f"({r})" for r in rows)})
+SELECT section, place::BIGINT AS place, metric, value FROM report"""
+
+
 LETTERS = ", ".join(
     f"length(description) - length(replace(description, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz"
 )
@@ -297,6 +380,23 @@ FROM fields WHERE fields = 4""",
     "vocab_size": f"WITH {DOCS}, {TOKENS} SELECT count(DISTINCT lower(tok)) AS vocab_size FROM tokens",
     "top_words": f"""WITH {DOCS}, {TOKENS}
 SELECT lower(tok) AS token, count(*) AS cnt FROM tokens GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
+    "top_words_first_seen": f"""WITH {DOCS}, {TOKENS}
+SELECT lower(tok) AS token, count(*) AS cnt FROM tokens GROUP BY 1 ORDER BY 2 DESC, min(ROW(caption_id, i)) LIMIT 200""",
+    "top_by_pos_first_seen": f"""WITH {CONVS}, {TOKENS}, c AS (
+    SELECT pos, lower(tok) AS token, count(*) AS cnt, min(ROW(caption_id, i)) AS seen FROM tokens
+    WHERE pos IN ('VERB', 'ADJ', 'ADV', 'NOUN') GROUP BY ALL)
+SELECT pos, token, cnt FROM c QUALIFY row_number() OVER (PARTITION BY pos ORDER BY cnt DESC, seen) <= 100""",
+    "top_actor_nouns_first_seen": f"""WITH {DOCS}, {TOKENS}, lex(token, category) AS (VALUES {", ".join(f"('{w}', '{c}')" for c, bag in tb.PROXY_ACTORS.items() for w in bag)}),
+c AS (SELECT dataset, token, count(*) AS cnt, category, min(ROW(caption_id, i)) AS seen FROM tokens JOIN lex ON lower(tok) = token WHERE pos = 'NOUN' GROUP BY ALL)
+SELECT dataset, token, cnt, category FROM c QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY cnt DESC, seen) <= 20""",
+    "top_ngrams_first_seen": f"""WITH {CONVS},
+norm AS (SELECT caption_id, regexp_extract_all({_norm()}, '[^ ]+') AS t FROM captions),
+grams AS (
+    SELECT caption_id, 2 AS n, t[i] || ' ' || t[i + 1] AS ngram, i FROM (SELECT caption_id, t, unnest(range(1, len(t))) AS i FROM norm)
+    UNION ALL
+    SELECT caption_id, 3, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2], i FROM (SELECT caption_id, t, unnest(range(1, len(t) - 1)) AS i FROM norm)),
+counts AS (SELECT n, ngram, count(*) AS cnt, min(ROW(caption_id, i)) AS seen FROM grams GROUP BY ALL)
+SELECT n::BIGINT AS n, ngram, cnt FROM counts QUALIFY row_number() OVER (PARTITION BY n ORDER BY cnt DESC, seen) <= 100""",
     "pos_distribution": f"WITH {DOCS}, {TOKENS} SELECT pos, count(*) AS cnt FROM tokens GROUP BY 1",
     "pos_means": f"WITH {DOCS}, {TOKENS} SELECT "
     + ", ".join(
@@ -348,13 +448,15 @@ e AS (SELECT g, id, list_transform(c, lambda x: CASE WHEN list_sum(c) = 0 THEN 0
     "most_consistent": _similarity(CONVS, "FROM (SELECT * FROM sims ORDER BY sim DESC NULLS LAST, motion_id LIMIT 10)"),
     "least_consistent": _similarity(CONVS, "FROM (SELECT * FROM sims ORDER BY sim NULLS LAST, motion_id LIMIT 10)"),
     "similarity_summary": f"WITH {CONVS}, {_tfidf()} {_summary('sims')}",
-    "backend_comparison": f"""WITH {DOCS.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")}, {_tfidf()}, e AS (
+    "backend_comparison": f"""WITH {DOCS}, {_tfidf()}, e AS (
     SELECT motion_id AS g, vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v
     FROM captions JOIN embeddings ON vec_id::VARCHAR = caption_id),
 {DENSE_PAIRS}, merged AS (
     SELECT 'tfidf' AS backend, sim FROM sims
-    UNION ALL SELECT 'embeddings', avg(d) FROM sizes LEFT JOIN pairs USING (g) GROUP BY g)
-{_summary('merged', 'backend')}""",
+    UNION ALL SELECT 'embeddings', avg(d) FROM sizes LEFT JOIN pairs USING (g) GROUP BY g),
+found AS (SELECT count(*) AS n, count(*) FILTER (caption_id IN (SELECT vec_id::VARCHAR FROM embeddings)) AS known FROM captions)
+SELECT s.*, CASE backend WHEN 'tfidf' THEN n ELSE known END AS num_captions, CASE backend WHEN 'tfidf' THEN 0 ELSE n - known END AS num_missing
+FROM ({_summary('merged', 'backend')}) s CROSS JOIN found""",
     "length_quantiles": "SELECT lang, count(*) AS n, "
     + ", ".join(_r(f"quantile_cont(n_chars::DOUBLE, {p}::DOUBLE)", n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9)))
     + " FROM documents GROUP BY lang",
@@ -425,4 +527,5 @@ SELECT motion_id, ndim_vec, n_frames_vec, ndim_joints, n_frames_joints,
        CASE WHEN ndim_vec IS NULL OR ndim_joints IS NULL THEN 'missing' WHEN ndim_joints <> 3 THEN 'bad_rank'
             WHEN n_frames_vec <> n_frames_joints THEN 'frame_mismatch' WHEN short THEN 'bad_width' ELSE 'ok' END AS status
 FROM a FULL JOIN b USING (motion_id)""",
+    "full_report": _report(),
 }

@@ -13,6 +13,8 @@ from kindred.operators import actors, cues, redundancy, richness, similarity, st
 from kindred.operators.frames import top_k
 from kindred.operators.parsing import ensure_parsed
 from kindred.plans.backends import Backend, Tfidf
+from kindred.plans.facts import Lexicons, parsed_captions, sections, stored_facts
+from kindred.storage import materialise
 
 REPORT_ROWS = 10
 REPORT_GROUPS = 5
@@ -29,8 +31,7 @@ def analyse(
 ) -> dict[str, dict[str, DataFrame]]:
     """``{section: {name: DataFrame}}``, all lazy.
 
-    Tags are parsed once in the plan. To read the sources once for all sections, write the parsed table to
-    Parquet first and pass that.
+    Tags are parsed once in the plan, but each section reads the source; :func:`analyse_once` reads it once.
     """
     missing = {S.GROUP, S.TEXT, S.TAGS} - set(df.columns)
     if missing:
@@ -48,6 +49,27 @@ def analyse(
     }
 
 
+def analyse_once(
+    df: DataFrame, backends: Mapping[str, Backend] | None = None, by: Sequence[str] = (), lexicons: Lexicons = Lexicons()
+) -> dict[str, dict[str, DataFrame]]:
+    """The same sections from one scan of the captions.
+
+    The parsed captions, the facts of all sections (see :mod:`kindred.plans.facts`) and each backend's groups are written
+    to the shared folder; the frames that come back read those. Use :func:`analyse` where nothing may be written.
+    """
+    missing = {S.GROUP, S.TEXT, S.TAGS} - set(df.columns)
+    if missing:
+        raise ValueError(f"captions need the columns motion_id, description and pos_tags; missing {sorted(missing)}")
+    parsed = materialise(parsed_captions(df), "captions")
+    facts = stored_facts(parsed, by, lexicons)
+    tables = {
+        name: materialise(backend.similarity(parsed, by), "similarity")
+        for name, backend in (backends or {"tfidf": Tfidf()}).items()
+    }
+    similar = {**tables, "summary_table": similarity.backend_comparison(tables, by=by)}
+    return {**sections(facts, by, lexicons), "similarity": similar}
+
+
 def report(sections: Mapping[str, Mapping[str, DataFrame]], by: Sequence[str] = ()) -> DataFrame:
     """``(by, section, place, metric, value)`` with one row per scalar and per listed top entry.
 

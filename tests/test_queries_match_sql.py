@@ -31,7 +31,7 @@ def test_curation_splits_the_groups(spark):
 
 
 def test_every_query_but_the_iterative_ones_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"kmeans_sizes", "topics", "full_report"}
+    assert set(QUERIES) - set(ORACLES) == {"kmeans_sizes", "topics"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
