@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.common import materialise
@@ -33,3 +34,21 @@ def components(edges: DataFrame) -> DataFrame:
         if not labels.filter("was != comp").limit(1).count():
             return labels.select("node", "comp")
         labels = labels.select("node", "comp")
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the links (a, b) connect, one for each node but the smallest of its component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    rest = label != np.arange(len(nodes))
+    return nodes[label[rest]], nodes[rest]

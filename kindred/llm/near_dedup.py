@@ -9,11 +9,13 @@
    connects most of a group of copies (at 0.95 all but one pair in a thousand meets there).
 4. The likeness of a pair is estimated jointly from both sketches and sizes by maximum likelihood; pairs far below the
    threshold (4.5 standard deviations) go. The rest is verified exactly: |A and B| / |A or B| on the full sets.
-5. Verified links give components. Buckets of any band that still hold several components are compared pair by pair, but only
-   between different components, by sketches in memory and in blocks of ``BLOCK`` members; what passes the estimate is
-   verified like before. Members of the first component meet the others only, so a large group of near copies with
-   few strangers costs its size and not its square. No link between bucket members stays untested unless its ends are
-   already connected.
+5. Verified links give components. Buckets of any band that still hold several components are compared again, but only
+   between different components and in cells of at most two blocks of ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles:
+   first by sketches; then the full sets of the members with a likely partner are multiplied as an incidence matrix,
+   which gives every intersection of the cell exactly. A task returns nodes, then a star of links for each
+   component of the cell, and never a pair for each two members: a family of texts that are nearly, but not quite, alike
+   costs rows in proportion to its size. Members of the first component meet the others only. No link between bucket
+   members stays untested unless its ends are already connected.
 
 Defined cases: null and empty texts have the empty set, which is linked with nothing; with fewer than k words the whole
 sequence is the one shingle; rows that share a doc_id form one document as far as links go; a null doc_id is linked
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.common import WordCodes, materialise, mix, odd_constants, rolling, split_words
-from kindred.llm.components import components
+from kindred.llm.components import components, stars
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -40,8 +42,12 @@ RATE = 20.0
 TOP = (1 << 16) - 1
 MARGIN = 0.16
 BLOCK = 512
+#: shingles of a block, with repeats; a block of longer texts has fewer members
+BLOCK_SHINGLES = 1_000_000
 GRID_ROWS = 1000
+COLUMNS = 4096
 FIRST_BANDS = 4
+CELL = ["band", "key", "kind", "x", "y"]
 SHINGLE_SEED, REGISTER_SEED = 21, 22
 
 
@@ -154,10 +160,9 @@ def estimated(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def shingles_of(docs: DataFrame, ids: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """node and its full set, as the bytes of sorted 64-bit hashes, for the nodes of ``ids``."""
     kind = sets.schema["node"].dataType.simpleString()
-    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = sets.select("node", "h1", "h2").join(ids, "node")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,11 +181,18 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, thresho
                     names=["node", "shingles"],
                 )
 
-    full = (
-        docs.join(wanted, docs.doc_id == wanted.node).select("node", "text", "h1", "h2")
+    return (
+        docs.join(wanted, docs.doc_id == wanted.node).select("node", "text", "h1", "h2").dropDuplicates(["node", "text"])
         .mapInArrow(spell, f"node {kind}, shingles binary")
     )
 
+
+def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    kind = sets.schema["node"].dataType.simpleString()
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    full = shingles_of(docs, ids, sets, k)
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -202,18 +214,48 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, thresho
     )
 
 
-def _stranger_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that pass the estimate; pairs that were stars are left out."""
+def _cell_edges(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]))
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], key: list[str], least: int) -> Iterator[pa.Table]:
+    """Tables of whole cells, from batches in the order of the key, of ``least`` rows if there are as many."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < least:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in key], 1)
+        end = int(np.flatnonzero((keys != keys[-1]).any(1)).max(initial=-1)) + 1
+        if end:
+            yield table.slice(0, end)
+        held, size = table.slice(end).to_batches(), len(keys) - end
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def stranger_cells(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Cells (band, key, kind, x, y) with their nodes that have a likely partner of another component there.
+
+    A cell holds one block of a bucket, or two blocks that meet. Each pair counts in the first bucket it shares only, and
+    not if it was a star. What leaves the task is a row for each such node and never a pair.
+    """
     labelled = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = (
         labelled.groupBy("band", "key")
         .agg(F.min_by("comp", "node").alias("home"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         .filter("low < high").select("band", "key", "home")
     )
-    open_members = labelled.join(mixed, ["band", "key"]).withColumn("at_home", F.col("comp") == F.col("home"))
+    open_members = labelled.join(mixed, ["band", "key"]).join(sets.select("node", "n_shingles"), "node").withColumn(
+        "at_home", F.col("comp") == F.col("home")
+    )
+    blocks = lambda side: F.ceil(F.greatest(
+        F.count_if(side) / BLOCK, F.sum(F.when(side, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES
+    )).cast("int")
     sizes = open_members.groupBy("band", "key").agg(
-        F.ceil(F.sum(F.col("at_home").cast("int")) / BLOCK).cast("int").alias("homes"),
-        F.ceil(F.sum((~F.col("at_home")).cast("int")) / BLOCK).cast("int").alias("guests"),
+        blocks(F.col("at_home")).alias("homes"), blocks(~F.col("at_home")).alias("guests")
     )
     hashed = F.xxhash64("node")
     block = F.when(F.col("at_home"), F.pmod(hashed, "homes")).otherwise(F.pmod(hashed, "guests")).cast("int")
@@ -227,22 +269,25 @@ def _stranger_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, thre
         )
     )
     rows = (
-        open_members.join(sizes, ["band", "key"]).withColumn("block", block)
-        .select("band", "key", "node", "comp", "at_home", "pivot", "block", F.inline(cells))
-        .join(sets.select("node", "n_shingles", "sketch"), "node")
+        open_members.drop("n_shingles").join(sizes, ["band", "key"]).withColumn("block", block)
+        .select(
+            "band", "key", "node", "comp", "at_home", (F.col("node") == F.col("pivot")).alias("at_pivot"), "block",
+            F.inline(cells),
+        ).join(sets.select("node", "n_shingles", "sketch"), "node")
     )
     kind = sets.schema["node"].dataType.simpleString()
-    cell_key = ["band", "key", "kind", "x", "y"]
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in cell_key], 1)
-        edges = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]))
+    def compare(table: pa.Table) -> pa.Table:
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in CELL], 1)
+        edges = _cell_edges(keys)
         sketch, size = _matrix(table.column("sketch")), table.column("n_shingles").to_numpy()
+        bands = np.ascontiguousarray(sketch).view(np.int64)
         comp = np.unique(np.array(table.column("comp").to_pylist()), return_inverse=True)[1]
+        at_pivot = np.array(table.column("at_pivot").to_pylist(), bool)
         home = np.array(table.column("at_home").to_pylist(), bool)
         block = table.column("block").to_numpy()
-        first, second = [], []
+        likely = np.zeros(len(keys), bool)
         for lo, hi in zip(edges[:-1], edges[1:]):
             across = keys[lo, 2] == 1
             apart = keys[lo, 3] != keys[lo, 4]
@@ -253,47 +298,80 @@ def _stranger_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, thre
                     ok &= home[rest] != home[i]
                 elif apart:
                     ok &= block[rest] != block[i]
+                if keys[lo, 0] < FIRST_BANDS:
+                    ok &= ~(at_pivot[rest] | at_pivot[i])
                 ok &= 100 * np.minimum(size[rest], size[i]) >= threshold * np.maximum(size[rest], size[i])
                 rest = rest[ok]
-                if len(rest):
-                    rest = rest[(sketch[rest] == sketch[i]).mean(1) >= threshold / 100 - MARGIN - 0.05]
-                    first += [i] * len(rest)
-                    second += rest.tolist()
-        node, pivot = table.column("node"), table.column("pivot")
-        a, b = np.array(first, np.int64), np.array(second, np.int64)
-        near = np.zeros(len(a), bool)
-        for at in range(0, len(a), GRID_ROWS):
-            x, y = a[at : at + GRID_ROWS], b[at : at + GRID_ROWS]
-            near[at : at + GRID_ROWS] = joint_likeness(sketch[x], sketch[y], size[x], size[y]) >= threshold / 100 - MARGIN
-        a, b = a[near], b[near]
-        left, right = node.take(pa.array(a)).to_pylist(), node.take(pa.array(b)).to_pylist()
-        known, early = pivot.take(pa.array(a)).to_pylist(), (keys[a, 0] < FIRST_BANDS).tolist()
-        rows = [
-            (min(p, q), max(p, q)) for p, q, r, was in zip(left, right, known, early) if not (was and r in (p, q))
-        ]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], node.type), pa.array([r[1] for r in rows], node.type)], names=["a", "b"]
-        )
+                if not len(rest):
+                    continue
+                rest = rest[(bands[rest] == bands[i]).argmax(1) == keys[lo, 0]]
+                rest = rest[(sketch[rest] == sketch[i]).mean(1) >= threshold / 100 - MARGIN - 0.05]
+                if not len(rest) or likely[i] and likely[rest].all():
+                    continue
+                near = joint_likeness(
+                    np.broadcast_to(sketch[i], (len(rest), sketch.shape[1])), sketch[rest],
+                    np.full(len(rest), size[i]), size[rest],
+                ) >= threshold / 100 - MARGIN
+                likely[rest[near]] = True
+                likely[i] |= near.any()
+        keep = pa.array(likely)
+        return table.select([*CELL, "node"]).filter(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole cells at a time; the last one of a batch may go on in the next."""
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < 5000:
-                continue
-            table = pa.Table.from_batches(held)
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in cell_key], 1)
-            end = int(np.flatnonzero((keys != keys[-1]).any(1)).max(initial=-1)) + 1
-            if end:
-                yield compare(table.slice(0, end))
-            held, size = table.slice(end).to_batches(), len(keys) - end
-        if size:
-            yield compare(pa.Table.from_batches(held))
+        for table in _whole_cells(batches, CELL, 5000):
+            yield from compare(table).to_batches()
 
     return (
-        rows.repartition(n, *cell_key).sortWithinPartitions(*cell_key).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+        rows.repartition(n, *CELL).sortWithinPartitions(*CELL)
+        .mapInArrow(run, f"band int, key bigint, kind int, x int, y int, node {kind}")
+    )
+
+
+def links_within(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of sorted sets whose likeness reaches the threshold, from the product of their incidence matrix."""
+    size = np.array([len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # the others are in one set and in no intersection
+    column = np.cumsum(shared) - 1
+    owner = np.repeat(np.arange(len(sets)), size)[shared[at]]
+    column = column[at[shared[at]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (begin, begin + COLUMNS)))
+        there = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - begin)), np.float32)
+        there[owner[part], column[part] - begin] = 1
+        common += (there @ there.T).astype(np.int64)
+    return np.nonzero(np.triu(100 * common >= threshold * (size[:, None] + size[None, :] - common), 1))
+
+
+def stranger_links(docs: DataFrame, cells: DataFrame, sets: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links (a, b) between nodes of a cell, exact on the full sets and thinned to a star for each component in the cell."""
+    kind = sets.schema["node"].dataType.simpleString()
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = shingles_of(docs, cells.select("node").distinct(), sets, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_cells(batches, CELL, 1000):
+            edges = _cell_edges(np.stack([table.column(c).to_numpy().astype(np.int64) for c in CELL], 1))
+            node, spelled = table.column("node").combine_chunks(), table.column("shingles").combine_chunks()
+            first, second = [], []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if hi - lo > 1:
+                    a, b = links_within([np.frombuffer(spelled[i].as_buffer(), np.uint64) for i in range(lo, hi)], threshold)
+                    if len(a):
+                        a, b = stars(a, b)
+                        first.append(a + lo)
+                        second.append(b + lo)
+            if first:
+                yield pa.RecordBatch.from_arrays(
+                    [node.take(pa.array(np.concatenate(first))), node.take(pa.array(np.concatenate(second)))], names=["a", "b"]
+                )
+
+    return (
+        cells.join(full, "node").repartition(n, *CELL).sortWithinPartitions(*CELL).select(*CELL, "node", "shingles")
+        .mapInArrow(run, f"a {kind}, b {kind}")
     )
 
 
@@ -314,9 +392,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     near = materialise(estimated(stars, sets, threshold), "pairs")
     links = materialise(verified(docs, near, sets, k, threshold), "links")
     labels = components(links)
-    more = materialise(_stranger_pairs(members, labels, sets, threshold), "pairs")
-    if more.limit(1).count():
-        late = materialise(verified(docs, more, sets, k, threshold), "links")
+    cells = materialise(stranger_cells(members, labels, sets, threshold), "cells")
+    if cells.limit(1).count():
+        late = materialise(stranger_links(docs, cells, sets, k, threshold), "links")
         labels = components(links.unionByName(late))
     by_set = sets.select("h1", "h2", "n_shingles", "node").join(labels, "node", "left").select(
         "h1", "h2", "n_shingles", F.coalesce("comp", "node").alias("_comp")

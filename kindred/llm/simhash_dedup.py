@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.llm.common import materialise
-from kindred.llm.components import components
+from kindred.llm.components import components, stars
 
 SHINGLE = 3
 RADIUS = 3
@@ -111,24 +111,6 @@ def next_variants(members: DataFrame, width: int) -> DataFrame:
     return members.select(F.inline(F.concat(_next_half(0, half), _next_half(1, half))), "fp")
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the links (a, b) connect, one for each node but the smallest of its component."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    rest = label != np.arange(len(nodes))
-    return nodes[label[rest]], nodes[rest]
-
-
 def linked(key: np.ndarray, pos: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of fingerprints of one run (equal keys stand together) within the radius, each in one of its runs only."""
     firsts, seconds = [], []
@@ -183,7 +165,7 @@ def compare_variants(variants: DataFrame, last: bool, run: int = RUN) -> DataFra
             k, p, _, x = (c[small] for c in rows)
             a, b = linked(k, p, x.view(np.uint64))
             if len(a):
-                yield out(*_stars(a, b), None, None, None)
+                yield out(*stars(a, b), None, None, None)
 
         for batch in batches:
             rows = [

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from kindred.llm.components import components
 
 
 def shingles(text, k):
-    words = [w.lower() for w in (text or "").split()]
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     return {tuple(words[i : i + k]) for i in range(max(len(words) - k + 1, 1))} if words else set()
 
 
@@ -53,12 +54,15 @@ def corpus(prose):
         rows[i] = " ".join(words)
     rows[400], rows[401], rows[402], rows[403] = "", None, rows[0].upper(), "a b"
     rows[404], rows[405] = "a b", prose(77, 9000)
+    rows[406], rows[407] = "a\x1cb c\x85d e f g", "É é A a B b"
     return list(rows.items())
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_components_equal_brute_force(make, prose, monkeypatch, block):
+@pytest.mark.parametrize("block, block_shingles, columns", [(512, 1_000_000, 4096), (3, 1_000_000, 7), (512, 400, 50)])
+def test_components_equal_brute_force(make, prose, monkeypatch, block, block_shingles, columns):
     monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", block_shingles)
+    monkeypatch.setattr(nd, "COLUMNS", columns)
     rows = corpus(prose)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(two_columns(make(rows)), k=4).collect()}
     assert got == brute(rows, 4)
@@ -100,3 +104,44 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(200, 200)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 150)}, 200: 200}
+
+
+def test_links_within_a_cell():
+    rng = np.random.default_rng(3)
+    pool = np.arange(1, 400, dtype=np.uint64)
+    sets = [np.sort(rng.choice(pool[i % 5 * 60 : i % 5 * 60 + 70], rng.integers(1, 70), replace=False)) for i in range(80)]
+    sets += [sets[0], pool, np.array([9_999], np.uint64)]
+    want = []
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            n = len(np.intersect1d(x, sets[j]))
+            if 100 * n >= 80 * (len(x) + len(sets[j]) - n):
+                want.append((i, j))
+    assert sorted(zip(*(a.tolist() for a in nd.links_within(sets, 80)))) == want
+    assert len(nd.links_within([np.array([1], np.uint64), np.array([2], np.uint64)], 80)[0]) == 0
+
+
+def test_family_of_strangers_costs_its_size(spark, make, prose, monkeypatch):
+    """Texts with five private edits each: all of them alike, none of them linked."""
+    written = {}
+    plain = nd.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(nd, "materialise", counted)
+    made = []
+    for n in (150, 300):
+        base, rng, rows = prose(1, 200).split(), random.Random(n), []
+        for i in range(n):
+            words = list(base)
+            for at in rng.sample(range(200), 5):
+                words[at] = f"w{i}x{at}"
+            rows.append((i, " ".join(words)))
+        written.clear()
+        got = {r.doc_id: r.component_id for r in nd.near_duplicates(two_columns(make(rows)), k=4).collect()}
+        assert got == {i: c for i, (_, c) in brute(rows, 4).items()}
+        made.append(sum(sum(written.get(x, [])) for x in ("pairs", "cells", "links")))
+    assert made[1] < 2.4 * made[0]
