@@ -1,17 +1,21 @@
 """Byte-level BPE over a table of distinct words.
 
-The text is split into words by the tokenizer's own pattern (its special tokens are words too). Each map task works in
-blocks of documents: a block lists its distinct words, by falling frequency, and writes each document as the list of
-their ranks. Only (word, block, rank) rows are grouped by word, so every distinct word of the corpus is encoded
-once, and no word is a hot key: the most frequent word has one row per block. The ids go back to the blocks and are
-put in place by rank. Both paths decode words by looking ids up in an array of
-pieces; only :func:`decode` joins the ids with the table of pieces.
+1. The text is split into words by the tokenizer's own pattern (its special tokens are words too), once. Each map task works
+   in blocks of documents: a block has a dictionary of its distinct words, by falling frequency, and a document is
+   the list of their ranks. One shuffle takes the documents to their block's task and the dictionaries, cut by a hash of
+   the word into buckets, to their bucket's task. No word is a hot key: the most frequent one has one entry per block.
+2. A bucket's task gives each distinct word a number and encodes it once. The (number, id) rows of the distinct words are
+   joined with the table of pieces by id, which decodes each distinct word once. The table's size is that of the vocabulary;
+   up to ``BROADCAST`` bytes of it are broadcast, beyond that the join shuffles.
+3. Ids and decoded pieces of the dictionaries go back to the blocks and are put in place by rank.
 
 Blocks are bounded by ``block_words`` words (a document is never cut; a longer one is a block alone). A block is named
 by a hash of its documents and not by its task, so that a rerun of a lost task names it alike; the join back fails
-loudly if a word of a block has no ids.
+loudly if a word of a block has no ids. Equal blocks share a name and have equal dictionaries.
 
-Null and empty texts have no ids and decode to the empty string. Rows that share a doc_id are encoded separately.
+Defined cases: null and empty texts have no ids and decode to the empty string; a null doc_id is carried along; repeated rows
+and rows that share a doc_id are encoded separately; very long texts are whole; columns other than doc_id and text are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +30,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Fixed value: the pattern that byte-level vocabularies of this kind split text by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
+#: bytes of pieces that may be broadcast
+BROADCAST = 16 << 20
 
 
 def special_tokens(vocabulary: str) -> list[str]:
@@ -81,13 +89,29 @@ def from_varints(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(sizes: np.ndarray, data: bytes) -> bytes:
+    """Byte strings of these sizes, one after the other in ``data``, as one compressed value."""
+    lengths = to_varints(sizes)
+    return zstandard.ZstdCompressor(level=1).compress(len(lengths).to_bytes(8, "little") + lengths + data)
+
+
+def unpacked(value: bytes) -> tuple[np.ndarray, bytes]:
+    whole = zstandard.ZstdDecompressor().decompress(value)
+    end = 8 + int.from_bytes(whole[:8], "little")
+    return from_varints(np.frombuffer(whole, np.uint8)[8:end]), whole[end:]
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 class _Block:
     def __init__(self):
         self.index: dict[str, int] = defaultdict()
         self.index.default_factory = self.index.__len__
         self.docs: list[tuple[object, np.ndarray]] = []
         self.words = 0
-        self.name = xxhash.xxh3_128()
+        self.name = xxhash.xxh3_64()
 
     def add(self, doc_id, text: str, words: list[str]) -> None:
         at = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
@@ -95,43 +119,55 @@ class _Block:
         self.words += len(words)
         self.name.update(repr(doc_id).encode() + b"\0" + text.encode() + b"\0")
 
-    def rows(self, kind: pa.DataType, of_words: bool) -> Iterator[pa.RecordBatch]:
+    def rows(self, kind: pa.DataType, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The dictionary by bucket, then the documents."""
         counts = np.zeros(len(self.index), np.int64)
         for _, at in self.docs:
             counts += np.bincount(at, minlength=len(counts))
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        name = self.name.hexdigest()[:22]
-        if of_words:
-            words = list(self.index)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(part)), pa.array(part, pa.string()), pa.array(rank[i : i + len(part)])],
-                    names=["block", "word", "rank"],
-                )
-            return
+        name = _signed(self.name.intdigest())
+        words = [w.encode() for w in self.index]
+        words = [words[i] for i in order.tolist()]
+        of = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
+        by_bucket = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[by_bucket], np.arange(buckets + 1))
         some, size = [], 0
+        for bucket in np.flatnonzero(np.diff(edges)).tolist():
+            ranks = by_bucket[edges[bucket] : edges[bucket + 1]]
+            own = [words[i] for i in ranks.tolist()]
+            data = packed(np.fromiter(map(len, own), np.int64, len(own)), b"".join(own))
+            # the key of a bucket; block names are its equals only by chance, which does no harm
+            some.append((_signed(xxhash.xxh3_64_intdigest(bucket.to_bytes(4, "little"))), bucket, None, data, to_varints(np.diff(ranks, prepend=0))))
+            size += len(data)
+            if size > 4 << 20:
+                yield _rows(kind, name, some)
+                some, size = [], 0
         for doc_id, at in self.docs:
-            some.append((doc_id, to_varints(rank[at])))
-            size += len(some[-1][1])
+            some.append((name, -1, doc_id, to_varints(rank[at]), None))
+            size += len(some[-1][3])
             if size > 4 << 20:
-                yield _documents(kind, name, some)
+                yield _rows(kind, name, some)
                 some, size = [], 0
         if some:
-            yield _documents(kind, name, some)
+            yield _rows(kind, name, some)
 
 
-def _documents(kind: pa.DataType, name: str, rows: list) -> pa.RecordBatch:
+def _rows(kind: pa.DataType, name: int, rows: list) -> pa.RecordBatch:
+    key, bucket, doc_id, data, ranks = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array([name] * len(rows)), pa.array([d for d, _ in rows], kind), pa.array([r for _, r in rows], pa.binary())],
-        names=["block", "doc_id", "ranks"],
+        [pa.array(key, pa.int64()), pa.array([name] * len(rows), pa.int64()), pa.array(bucket, pa.int32()),
+         pa.array(doc_id, kind), pa.array(data, pa.binary()), pa.array(ranks, pa.binary())],
+        names=["key", "block", "bucket", "doc_id", "data", "ranks"],
     )
 
 
-def blocks(docs: DataFrame, specials: list[str], of_words: bool, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(block, word, rank) for the words of the blocks, or (block, doc_id, ranks) for their documents."""
+def blocks(docs: DataFrame, specials: list[str], buckets: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows of two kinds, by key and block in their partitions. Key is the block of a document and the bucket of words.
+
+    Documents: bucket -1, doc_id, data (ranks of its words). Words: bucket, data (packed words), ranks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, block, kind = Splitter(specials), _Block(), None
@@ -141,18 +177,21 @@ def blocks(docs: DataFrame, specials: list[str], of_words: bool, block_words: in
                 text = text.as_py() or ""
                 words = split(text)
                 if block.docs and block.words + len(words) > block_words:
-                    yield from block.rows(kind, of_words)
+                    yield from block.rows(kind, buckets)
                     block = _Block()
                     _give_back()
                 block.add(doc_id, text, words)
         if block.docs:
-            yield from block.rows(kind, of_words)
+            yield from block.rows(kind, buckets)
         del block
         _give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "block string, word string, rank int" if of_words else f"block string, doc_id {kind}, ranks binary"
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        docs.select("doc_id", "text")
+        .mapInArrow(run, f"key bigint, block bigint, bucket int, doc_id {kind}, data binary, ranks binary")
+        .repartition(n, "key")
     )
 
 
@@ -177,33 +216,121 @@ def _give_back() -> None:
         pass  # another C library
 
 
-def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(block, rank, ids) for rows (block, word, rank); ids are little-endian 32-bit integers.
-
-    All rows of a word meet in one task, sorted, so that each distinct word is encoded once.
-    """
+def encode_words(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """The distinct words of each bucket as (bucket, seq, no, id) rows, one for each of a word's ids, and between them
+    the dictionaries as (bucket, seq, block, ranks, numbers) rows, each after the words it names for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary)
-        last, last_ids = None, b""
+        current, number, seq = None, {}, 0
+
+        def out(size, no=None, ids=None, block=None, ranks=None, numbers=None):
+            nonlocal seq
+            columns = [
+                pa.array(np.full(size, current, np.int32)), pa.array(np.arange(seq, seq + size)),
+                *(pa.nulls(size, t) if x is None else pa.array(x, t) for x, t in (
+                    (no, pa.int32()), (ids, pa.int32()), (block, pa.int64()), (ranks, pa.binary()), (numbers, pa.binary())
+                )),
+            ]
+            seq += size
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "seq", "no", "id", "block", "ranks", "numbers"])
+
+        for batch in batches:
+            for at in np.flatnonzero(batch.column("bucket").to_numpy() >= 0).tolist():
+                bucket = batch.column("bucket")[at].as_py()
+                if bucket != current:
+                    current, number, seq = bucket, {}, 0
+                sizes, data = unpacked(batch.column("data")[at].as_py())
+                ends = np.cumsum(sizes)
+                words = [data[a:b].decode() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+                fresh = [w for w in words if w not in number]
+                for begin in range(0, len(fresh), 5_000):
+                    part = fresh[begin : begin + 5_000]
+                    ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                    first = len(number)
+                    number.update(zip(part, range(first, first + len(part))))
+                    no = np.repeat(np.arange(first, first + len(part), dtype=np.int32), [len(i) for i in ids])
+                    if len(no):
+                        yield out(len(no), no, np.concatenate([np.array(i, np.int32) for i in ids]))
+                numbers = np.fromiter(map(number.__getitem__, words), "<i4", len(words)).tobytes()
+                yield out(1, None, None, [batch.column("block")[at].as_py()], [batch.column("ranks")[at].as_py()], [numbers])
+        _give_back()
+
+    return rows.sortWithinPartitions("key", "block").mapInArrow(
+        run, "bucket int, seq bigint, no int, id int, block bigint, ranks binary, numbers binary"
+    )
+
+
+def with_pieces(encoded: DataFrame, vocabulary: str, broadcast: int = BROADCAST) -> DataFrame:
+    """The rows of :func:`encode_words`, in their order, with the piece of each id."""
+    table = pieces(encoded.sparkSession, vocabulary)
+    if sum(map(len, piece_bytes(vocabulary).values())) <= broadcast:
+        return encoded.join(F.broadcast(table), "id", "left")
+    n = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return encoded.join(table, "id", "left").repartition(n, "bucket").sortWithinPartitions("bucket", "seq")
+
+
+def dictionaries(joined: DataFrame, wide: bool) -> DataFrame:
+    """(key, ranks, ids, texts) for each dictionary: its block, and the ids and decoded words in the order of its ranks."""
+    form = "<u4" if wide else "<u2"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ids, texts = None, [], []  # of the words of the bucket, by number
+        held: list[pa.RecordBatch] = []  # (no, id, piece) rows that are not yet in the lists
+
+        def take() -> None:
+            """Put held rows into the lists; a word without ids has no row."""
+            table = pa.Table.from_batches(held)
+            held.clear()
+            no = table.column("no").to_numpy()
+            id_ = table.column("id").to_numpy().astype(form)
+            offsets, data = _binary(table.column("piece"))
+            edges = np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1], [True])))
+            blob = data.tobytes()
+            for a, b, at, to in zip(edges[:-1].tolist(), edges[1:].tolist(), offsets[edges[:-1]].tolist(), offsets[edges[1:]].tolist()):
+                while len(ids) < no[a]:
+                    ids.append(b"")
+                    texts.append(b"")
+                ids.append(id_[a:b].tobytes())
+                texts.append(blob[at:to])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 5_000):
-                part = batch.slice(at, 5_000)
-                column = part.column(1)
-                fresh = [w for w in column.unique().to_pylist() if w != last]
-                encoded = tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-                known = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, encoded)}
-                if last is not None:
-                    known.setdefault(last, last_ids)
-                words = column.to_pylist()
-                last, last_ids = words[-1], known[words[-1]]
-                ids = pa.array([known[w] for w in words], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), ids], names=["block", "rank", "ids"])
+            bucket, named = batch.column("bucket").to_numpy(), np.flatnonzero(batch.column("numbers").is_valid().to_numpy(False))
+            words = batch.select(["no", "id", "piece"])
+            out, at = [], 0
+            for stop in [*named.tolist(), batch.num_rows]:
+                if stop > at or stop < batch.num_rows:
+                    here = int(bucket[at] if stop > at else bucket[stop])
+                    if here != current:
+                        current, ids, texts = here, [], []
+                if stop > at:
+                    held.append(words.slice(at, stop - at))
+                if stop == batch.num_rows:
+                    break
+                numbers = np.frombuffer(batch.column("numbers")[stop].as_py(), "<i4")
+                if held:
+                    take()
+                while len(ids) <= numbers.max():
+                    ids.append(b"")
+                    texts.append(b"")
+                own, said = [ids[i] for i in numbers.tolist()], [texts[i] for i in numbers.tolist()]
+                width = np.dtype(form).itemsize
+                out.append((
+                    batch.column("block")[stop].as_py(), batch.column("ranks")[stop].as_py(),
+                    packed(np.fromiter(map(len, own), np.int64, len(own)) // width, b"".join(own)),
+                    packed(np.fromiter(map(len, said), np.int64, len(said)), b"".join(said)),
+                ))
+                at = stop + 1
+            if out:
+                key, ranks, packs, spoken = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key, pa.int64()), *(pa.array(c, pa.binary()) for c in (ranks, packs, spoken))],
+                    names=["key", "ranks", "ids", "texts"],
+                )
         _give_back()
 
-    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return words.select("block", "word", "rank").repartition(n, "word").sortWithinPartitions("word").mapInArrow(
-        run, "block string, rank int, ids binary"
+    return joined.select("bucket", "no", "id", "block", "ranks", "numbers", "piece").mapInArrow(
+        run, "key bigint, ranks binary, ids binary, texts binary"
     )
 
 
@@ -257,7 +384,7 @@ def _gather(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 
 def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of a column without nulls."""
+    """Offsets and bytes of a column; nulls have no bytes."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     array = array.cast(pa.large_binary())
     offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
@@ -271,35 +398,37 @@ def encode(docs: DataFrame, vocabulary: str, digests: bool = False, block_words:
     ``vocabulary`` is the text of a tokenizer file. With ``digests`` the last two are SHA-256 digests instead, of the
     ids as little-endian 32-bit integers and of the decoded text, so that long lists need not travel.
     """
-    spark = docs.sparkSession
-    specials = special_tokens(vocabulary)
-    places = encode_words(blocks(docs, specials, True, block_words), vocabulary)
-    streams = blocks(docs, specials, False, block_words)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = piece_bytes(vocabulary)
-    piece_size = np.zeros(max(table) + 1, np.int64)
-    for i, piece in table.items():
-        piece_size[i] = len(piece)
-    piece_at = np.cumsum(piece_size) - piece_size
-    piece_values = np.frombuffer(b"".join(table.get(i, b"") for i in range(len(piece_size))), np.uint8)
+    wide = max(piece_bytes(vocabulary)) >= 1 << 16
+    rows = blocks(docs, special_tokens(vocabulary), 4 * n, block_words)
+    words = dictionaries(with_pieces(encode_words(rows, vocabulary), vocabulary), wide)
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        ranks = right.column("rank").to_numpy()
-        order = np.argsort(ranks)
-        if not np.array_equal(ranks[order], np.arange(len(ranks))):
-            raise ValueError("a block's words and documents do not belong together; was the input read differently?")
-        id_offsets, id_bytes = _binary(right.column("ids"))
-        id_values = id_bytes[id_offsets[0] : id_offsets[-1]].view("<u4")
-        id_offsets = (id_offsets - id_offsets[0]) // 4
-        id_at, id_size = id_offsets[:-1][order], np.diff(id_offsets)[order]
-        offsets, data = _binary(left.column("ranks"))
+        left = left.filter(pc.equal(left.column("bucket"), -1))
+        ranks, id_sizes, id_values, text_sizes, text_values = [], [], [], [], []
+        for rank, packs, said in zip(*(right.column(c).to_pylist() for c in ("ranks", "ids", "texts"))):
+            ranks.append(np.cumsum(from_varints(np.frombuffer(rank, np.uint8))))
+            for value, form, sizes, values in ((packs, "<u4" if wide else "<u2", id_sizes, id_values), (said, np.uint8, text_sizes, text_values)):
+                size, data = unpacked(value)
+                sizes.append(size)
+                values.append(np.frombuffer(data, form))
+        order = np.zeros(0, np.int64)
+        if ranks and left.num_rows:
+            found, order = np.unique(np.concatenate(ranks), return_index=True)  # equal blocks come more than once
+            if not np.array_equal(found, np.arange(len(found))):
+                raise ValueError("a block's words and documents do not belong together; was the input read differently?")
+            id_sizes, text_sizes = np.concatenate(id_sizes), np.concatenate(text_sizes)
+            id_at, text_at = np.cumsum(id_sizes) - id_sizes, np.cumsum(text_sizes) - text_sizes
+            id_at, id_sizes, text_at, text_sizes = (x[order] for x in (id_at, id_sizes, text_at, text_sizes))
+            id_values, text_values = np.concatenate(id_values), np.concatenate(text_values)
         counts, ids, texts = [], [], []
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            r = from_varints(data[a:b])
+        for value in left.column("data").to_pylist():
+            r = from_varints(np.frombuffer(value, np.uint8))
             if len(r) and r.max() >= len(order):
                 raise ValueError("a document names a word that its block does not have")
-            own = _gather(id_values, id_at[r], id_size[r])
-            text = _gather(piece_values, piece_at[own], piece_size[own]).tobytes().decode("utf-8", "replace")
+            own = _gather(id_values, id_at[r], id_sizes[r]).astype("<u4") if len(r) else np.zeros(0, "<u4")
+            text = _gather(text_values, text_at[r], text_sizes[r]).tobytes().decode("utf-8", "replace") if len(r) else ""
             counts.append(len(own))
             if digests:
                 ids.append(hashlib.sha256(own.tobytes()).hexdigest())
@@ -315,7 +444,7 @@ def encode(docs: DataFrame, vocabulary: str, digests: bool = False, block_words:
         })
 
     return (
-        streams.groupBy("block").cogroup(places.groupBy("block"))
+        rows.groupBy("key").cogroup(words.groupBy("key"))
         .applyInArrow(
             place, f"doc_id {kind}, n_tokens bigint, ids {'string' if digests else 'array<int>'}, decoded string"
         )
