@@ -57,13 +57,10 @@ def op5_secret_scan(spark, sf):
     out = secret_scan.scan_secrets(documents(spark, sf))
     base = F.filter("spans", lambda x: x["layer"] == "")
     count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("bigint")
-    named = F.transform("spans", lambda x: F.struct(
-        F.concat(x["kind"], F.when(x["layer"] == "", F.lit("")).otherwise(F.concat(F.lit("@"), x["layer"]))).alias("kind"),
-        x["start"].alias("start"), x["end"].alias("end"),
-    ))
     return out.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
-        F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(named).alias("spans"),
+        F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda x: x["layer"]), ",").alias("span_layers"),
         F.col("layers").cast("bigint").alias("n_layers"), F.col("oversized").cast("bigint").alias("n_oversized"),
     )
 

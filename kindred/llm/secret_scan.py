@@ -1,29 +1,37 @@
 """Secrets in texts, also inside nested encodings.
 
 A worklist holds layers of a text. The first layer is the text; each layer is scanned, then unwrapped: percent
-escapes and Unicode escapes are undone over the whole layer, runs that are base64 of text or of compressed text
-become layers of their own. This goes on until no new layer appears (the fixpoint). A layer whose text was seen before at
+escapes and Unicode, octal and character escapes are undone over the whole layer, runs that are base64 of text or of compressed
+text become layers of their own. This goes on until no new layer appears (the fixpoint). A layer whose text was seen before at
 the same place of the document is not taken again, so cycles end: places do not grow inwards, and unwrapping never
 lengthens a text except by decompression. The same text at another place is a layer of its own.
 
-Every layer knows for each of its characters the span of the original text it came from, so that what is found in an
-inner layer is reported by code points of the original text.
+Base64 is decoded at all four offsets of a run, since a run may begin with a path or a name that is glued to the code, and
+compressed members are looked for anywhere in the bytes. A decoded layer goes on only if it has the beginnings of a
+secret or of another layer.
+
+Every layer knows from which span of the original text its stretches come, so that what is found in an
+inner layer is reported by code points of the original text: for base64 the whole run. The map has an entry for each
+escape that was undone, not for each character.
 
 Defined cases: null texts are empty; empty texts have no spans; a text is scanned whole, whatever its length; equal
-rows give equal results. Base64 goes on over line ends between full lines; bytes that are not UTF-8 are scanned as
+rows give equal results; a null doc_id is carried along; columns other than doc_id and text are ignored, whatever their names
+(``redacted_documents`` keeps them); an empty table gives an empty result. Base64 goes on over line ends between full lines;
+bytes that are not UTF-8 are scanned as
 Latin-1; members that follow each other in a compressed file are one layer. A compressed layer of more than ``max_layer``
 bytes is scanned in pieces of that size that overlap by a quarter, and counted in ``oversized``; only an encoded run inside it
-that is longer than the overlap can be cut.
+that is longer than the overlap can be cut. ``layers`` counts layers that read as text (by their first 65,536 characters) or
+have a secret; it decides nothing.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import lzma
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,13 +50,17 @@ _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(HEX[:-1] + "{24,}")  # a run is maximal, so runs that are too short need not be found
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\u[0-9A-Fa-f]{4})+|\\x([0-9A-Fa-f]{2})|&#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
+_ESCAPE = re.compile(
+    r"(?P<units>(?:\\u[0-9A-Fa-f]{4})+|(?:%u[0-9A-Fa-f]{4})+)|\\(?:u\{(?P<braced>[0-9A-Fa-f]{1,6})\}|U(?P<wide>[0-9A-Fa-f]{8})"
+    r"|x(?P<byte>[0-9A-Fa-f]{2})|(?P<octal>[0-3][0-7]{2}))|&#(?:x(?P<hex>[0-9A-Fa-f]{1,6})|(?P<decimal>[0-9]{1,7}));"
+)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(
     r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}"
 )
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _KINDS = ("assign", "access", "hex")
+_STANDARD = str.maketrans("-_", "+/")
 
 Span = tuple[int, int, str]
 
@@ -63,30 +75,48 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Layer:
-    """A text and, for each of its characters, the span of the original text it came from."""
+    """A text and the spans of the original text that its stretches come from.
+
+    Stretch i begins at ``starts[i]`` of the text and at ``lows[i]`` of the original; it is a copy if ``highs[i]`` is None, else
+    all its characters come from the whole span up to ``highs[i]``. Stretches are in the order of the original.
+    """
 
-    def __init__(self, text: str, path: tuple[str, ...], low: list[int] | None = None, high: list[int] | None = None):
-        self.text, self.path, self.low, self.high = text, path, low, high
+    def __init__(
+        self, text: str, path: tuple[str, ...], starts: list[int] | None = None, lows: list[int] | None = None,
+        highs: list[int | None] | None = None,
+    ):
+        self.text, self.path = text, path
+        self.starts, self.lows, self.highs = starts or [0], lows or [0], highs or [None]
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        if self.low is None:
-            return start, end
-        return min(self.low[start:end]), max(self.high[start:end])
+        i, j = bisect_right(self.starts, start) - 1, bisect_left(self.starts, end) - 1
+        low = self.lows[i] + (start - self.starts[i] if self.highs[i] is None else 0)
+        high = self.highs[j]
+        return low, self.lows[j] + end - self.starts[j] if high is None else high
 
     def replaced(self, pieces: list[tuple[int, int, str]], step: str) -> Layer:
         """The layer with each span (start, end) replaced by a text; its characters come from the whole span."""
-        out, low, high, at = [], [], [], 0
+        out, starts, lows, highs, size, at = [], [], [], [], 0, 0
         for start, end, text in [*pieces, (len(self.text), len(self.text), "")]:
-            out.append(self.text[at:start])
-            low += range(at, start) if self.low is None else self.low[at:start]
-            high += range(at + 1, start + 1) if self.low is None else self.high[at:start]
+            if at < start:
+                i = bisect_right(self.starts, at) - 1
+                while i < len(self.starts) and self.starts[i] < start:
+                    skip = max(at - self.starts[i], 0)
+                    starts.append(size + self.starts[i] + skip - at)
+                    lows.append(self.lows[i] + (skip if self.highs[i] is None else 0))
+                    highs.append(self.highs[i])
+                    i += 1
+                out.append(self.text[at:start])
+                size += start - at
             if text:
-                a, b = self.origin(start, end)
+                low, high = self.origin(start, end)
+                starts.append(size)
+                lows.append(low)
+                highs.append(high)
                 out.append(text)
-                low += [a] * len(text)
-                high += [b] * len(text)
+                size += len(text)
             at = end
-        return Layer("".join(out), (*self.path, step), low, high)
+        return Layer("".join(out), (*self.path, step), starts, lows, highs)
 
 
 def _text(data: bytes) -> tuple[str, bool]:
@@ -99,9 +129,14 @@ def _text(data: bytes) -> tuple[str, bool]:
     return text, len(text) >= 8 and sum(c.isprintable() or c in "\t\n\r" for c in head) >= 0.95 * len(head)
 
 
-_PACKED = (
-    (b"\x1f\x8b", "gzip", lambda: zlib.decompressobj(31)), (b"\x78", "zlib", zlib.decompressobj),
-    (b"BZh", "bzip2", bz2.BZ2Decompressor), (b"\xfd7zXZ", "xz", lzma.LZMADecompressor),
+_PACKED = {
+    b"\x1f\x8b": ("gzip", lambda: zlib.decompressobj(31)), b"x": ("zlib", zlib.decompressobj),
+    b"BZh": ("bzip2", bz2.BZ2Decompressor), b"\xfd7zXZ": ("xz", lzma.LZMADecompressor),
+}
+_MAGIC = re.compile(rb"\x1f\x8b(?=\x08)|x(?=[\x01\x5e\x9c\xda])|BZh(?=[1-9](?:1AY&SY|\x17rE8P\x90))|\xfd7zXZ(?=\x00)")
+#: the beginnings of a secret or of a layer further in
+_LIVE = re.compile(
+    rb"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-fu]|\\[uUx0-3]|&#"
 )
 _STEP = 1 << 16
 
@@ -145,32 +180,28 @@ Inner = tuple[str, tuple[str, ...], bool]
 
 def _decoded(run: str, path: tuple[str, ...], limit: int, over: list[int]) -> Iterator[Inner]:
     """The layers in a base64 run: text, path, whether it reads as text. Members of a compressed file are one layer."""
-    body = run.rstrip("=")
-    if len(body) % 4 == 1 or body.islower() or body.isalpha() and body[1:].islower():
-        return  # words of prose
-    try:
-        data = base64.urlsafe_b64decode((body + "=" * (-len(body) % 4)).replace("+", "-").replace("/", "_"))
-    except (binascii.Error, ValueError):
-        return
-    while packed := next((x for x in _PACKED if data.startswith(x[0])), None):
-        magic, name, make = packed
-        rest = [data]
-
-        def members() -> Iterator[bytes]:
-            while rest[-1].startswith(magic):
-                before = rest.pop()
-                yield from _unpacked(before, make, rest)
-                if rest[-1] is before:
-                    return
-
-        for piece in _pieces(members(), limit, over):
-            yield (t := _text(piece))[0], (*path, f"base64+{name}"), t[1]
-        if rest[-1] and rest[-1].startswith(magic):
-            data = rest[-1]
-            break
-        data = rest[-1]
-    if len(data) >= 8:
-        yield (t := _text(data))[0], (*path, "base64"), t[1]
+    body = run.rstrip("=").translate(_STANDARD)
+    for offset in range(4):
+        code = body[offset:]
+        code = code[: len(code) - (len(code) % 4 == 1)]
+        data = binascii.a2b_base64(code + "=" * (-len(code) % 4))
+        at = 0
+        while m := _MAGIC.search(data, at):
+            magic, (name, make) = m.group(), _PACKED[m.group()]
+            rest = [data[m.start():]]
+
+            def members() -> Iterator[bytes]:
+                while rest[-1].startswith(magic):
+                    before = rest.pop()
+                    yield from _unpacked(before, make, rest)
+                    if rest[-1] is before:
+                        return
+
+            for piece in _pieces(members(), limit, over):
+                yield (t := _text(piece))[0], (*path, f"base64+{name}"), t[1]
+            at = max(len(data) - len(rest[-1]), m.start() + 1)
+        if len(data) >= 8 and _LIVE.search(data):
+            yield (t := _text(data))[0], (*path, "base64"), t[1]
 
 
 def _runs(text: str) -> Iterator[tuple[int, int, str]]:
@@ -199,10 +230,11 @@ def _runs(text: str) -> Iterator[tuple[int, int, str]]:
 def _escape_text(m: re.Match) -> str:
     whole = m.group()
     try:
-        if whole.startswith("\\u") and m.group(1) is None:
-            units = bytes.fromhex(whole.replace("\\u", ""))
-            return units.decode("utf-16-be")
-        code = int(m.group(1) or m.group(2) or m.group(3) or "0", 16) or int(m.group(4) or 0)
+        if units := m["units"]:
+            return bytes.fromhex(units.replace(units[:2], "")).decode("utf-16-be")
+        code = next(
+            int(m[name], base) for name, base in (("braced", 16), ("wide", 16), ("byte", 16), ("octal", 8), ("hex", 16), ("decimal", 10)) if m[name]
+        )
         return chr(code) if not 0xD800 <= code < 0xE000 else whole
     except (UnicodeDecodeError, ValueError, OverflowError):
         return whole
@@ -212,7 +244,7 @@ def _percent_text(m: re.Match) -> str:
     return bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "replace")
 
 
-_WHOLE = (("url", ("%",), _PERCENT, _percent_text), ("unicode", ("\\", "&#"), _ESCAPE, _escape_text))
+_WHOLE = (("url", ("%",), _PERCENT, _percent_text), ("unicode", ("\\", "&#", "%u"), _ESCAPE, _escape_text))
 
 
 def unwrapped(layer: Layer) -> list[Layer]:

@@ -118,3 +118,91 @@ def test_operator(make):
     assert ss.scan_secrets(two_columns(make([]))).collect() == []
     again = ss.redacted_documents(make(rows)).collect()
     assert {(r.text, r.n_chars, r.key) for r in again if r.doc_id in (1, 3)} == {('a [SECRET]" b', 13, "x"), (None, None, "x")}
+
+
+def test_encoded_secrets_glued_to_paths_and_names():
+    coded = base64.b64encode(f"password={KEY}abc".encode()).decode()
+    packed = base64.b64encode(gzip.compress(f"some words, password={KEY}abc and others".encode())).decode()
+    heads = ["https://x.org/cfg/", ".../c/", ".../cf/", ".../cfgs/", "id_", "a-", "tok/", "aa", "abc/de/", "jwt_header/"]
+    heads += ["abcdefg"[:i] for i in range(8)]
+    for head in heads:
+        for code in (coded, packed, coded.rstrip("="), base64.b64encode(f"x {coded} y".encode()).decode()):
+            text = f"see {head}{code}, please"
+            spans = ss.scan(text)[1]
+            assert {"access", "assign"} <= {x[2] for x in spans}, (head, code)
+            assert all(4 <= s < e <= 4 + len(head) + len(code) for s, e, _, _ in spans)
+            assert KEY not in (masked := ss.redact(text, [x[:2] for x in spans], "*")) and code[8:-8] not in masked
+
+
+def test_runs_of_any_length_and_letters():
+    """No run is taken for prose, and none is left out for its length."""
+    code = base64.b64encode(b"token=abcdefgh1").decode().rstrip("=")
+    for tail in ("", "a", "ab", "abc", "abcd"):
+        assert "assign" in {x[2] for x in ss.scan(f"({code}{tail})")[1]}, tail
+
+
+def test_every_escape_is_undone():
+    for sign in ("\\u003d", "\\U0000003d", "\\075", "\\x3d", "%u003d", "%3D", "&#61;", "&#x3d;", "\\u{3d}", "%u0020%u003d", "%253D"):
+        text = f"é the token{sign}qwertyuiop here"
+        spans = ss.scan(text)[1]
+        assert [(x[0], x[2]) for x in spans] == [(6, "assign")], sign
+        assert spans[0][1] == text.index(" here")
+    assert ss.scan("\\U0011ffff \\ud800 &#9999999; \\400 %u")[0:2] == ([], [])
+
+
+def test_layers_know_their_origin():
+    """The map of stretches against a list with an entry for each character."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        text = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 40)))
+        layer, plain = ss.Layer(text, ()), [(i, i + 1) for i in range(len(text))]
+        for _ in range(3):
+            cuts = sorted(rng.sample(range(len(layer.text) + 1), min(len(layer.text) // 2 * 2, 6)))
+            pieces = [(a, b, "XYZ"[: rng.randint(0, 3)]) for a, b in zip(cuts[::2], cuts[1::2]) if a < b]
+            new, at = [], 0
+            for a, b, t in [*pieces, (len(plain), len(plain), "")]:
+                new += plain[at:a] + [(plain[a][0], plain[b - 1][1])] * len(t) if t else plain[at:a]
+                at = b
+            layer, plain = layer.replaced(pieces, "x"), new
+            assert len(plain) == len(layer.text)
+            for _ in range(5 if plain else 0):
+                a = rng.randrange(len(plain))
+                b = rng.randint(a + 1, len(plain))
+                assert layer.origin(a, b) == (min(x for x, _ in plain[a:b]), max(y for _, y in plain[a:b]))
+            if not plain:
+                break
+
+
+def test_a_long_text_with_an_escape_stays_small():
+    import tracemalloc
+
+    text = "some words of prose " * 500_000 + "token%3Dqwertyuiop " + "and more " * 1_000_000
+    tracemalloc.start()
+    spans = ss.scan(text)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[2] for x in spans] == ["assign"] and peak < 8 * len(text)
+
+
+def test_query_columns(spark, make, tmp_path):
+    import hashlib
+
+    from kindred.llm import queries
+
+    coded = base64.b64encode(f"password={KEY}abc".encode()).decode()
+    rows = [(1, f"{coded} secret=abcdefgh {KEY} {HEX}"), (2, None), (3, "é token%3Dqwertyuiop"), (4, f"passwd: {HEX}")]
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op5_secret_scan(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        base = plain_base(text or "")
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, _, k in base) for x in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert all(len(x) == 3 and x[0] in ("assign", "access", "hex") for x in spans)
+        assert {(int(s), int(e), k) for k, s, e in spans} >= set(base) and len(r.span_layers.split(",")) == max(len(spans), 1)
+        assert [int(s) for _, s, _ in spans] == sorted(int(s) for _, s, _ in spans)
+    assert got[1].spans.startswith(f"assign:0:{len(coded)},access:0:{len(coded)},assign:{len(coded) + 1}:")
+    assert got[3].spans == f"assign:2:{len(rows[2][1])}" and got[3].span_layers == "url" and got[3].n_assign == 0
