@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, functions as F
 
 from kindred import schema as S
-from kindred.operators.embedding import encode
+from kindred.operators.embedding import encode_distinct
 from kindred.operators.similarity import dense_similarity, tfidf_similarity
 
 
@@ -74,13 +75,14 @@ class Precomputed:
 
 @dataclass(frozen=True)
 class Encoder:
-    """Vectors from a user encoder, loaded once per task."""
+    """Vectors from a user encoder, loaded once per task, which sees every different text once."""
 
     make_encoder: Callable[[], Callable[[list[str]], np.ndarray]]
     dim: int | None = None
     batch_size: int = 128
+    profile: ResourceProfile | None = None
 
     def similarity(self, captions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         named = captions.select(*by, S.GROUP, S.TEXT)
-        vectors = encode(named, self.make_encoder, S.TEXT, "vec", self.batch_size)
+        vectors = encode_distinct(named, self.make_encoder, batch_size=self.batch_size, profile=self.profile)
         return dense_similarity(vectors, self.dim, by)

@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kindred import schema as S
 from kindred.functions.text import normalised
 from kindred.functions.vectors import l2_normalise
 from kindred.operators import (
-    actors, blocks, clustering, cues, curation, embedding, motion, pairs, parsing, quantiles, redundancy,
-    richness, similarity, stats, tfidf,
+    actors, blocks, clustering, cues, curation, distinct, embedding, factors, lexicon, lloyd, motion, pairs, parsing,
+    quantiles, redundancy, richness, similarity, stats, tfidf,
 )
 from kindred.plans import tables as tb
 from kindred.plans.backends import Encoder, Precomputed, Tfidf
 from kindred.plans.report import analyse_once, report, similarity_compare
-from kindred.sources.captions import parse_lines, rejected_lines
+from kindred.sinks.split_lists import write_split_lists
+from kindred.sources.captions import parse_lines, read_captions, rejected_lines
+from kindred.sources.npy import file_system, scan_arrays
+from kindred.sources.splits import read_splits
+from kindred.storage import materialise, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 DIM = 64
 THRESHOLDS = (10.0, 0.0, 0.02, 0.05, 0.1, 0.6)
+LLOYD_K, LLOYD_ROUNDS = 8, 4
+TOPICS, TOPIC_ROUNDS = 3, 2
 CUES = {"direction": tb.PROXY_DIRECTION, "speed": tb.PROXY_SPEED, "body": tb.PROXY_BODY}
 
 
@@ -175,9 +184,46 @@ def captions_per_group(spark, sf):
     return rounded(stats.captions_per_group(tb.conversation_captions(spark, sf)))
 
 
+@query
+def approximate_groups(spark, sf):
+    """A2, opt-in: the estimate from stored states per corpus, united, is within 3 % of the exact count."""
+    words = tb.document_captions(spark, sf).select("dataset", F.explode(F.split("description", " ")).alias("word"))
+    state = materialise(distinct.distinct_state(words, "word", ["dataset"]), "distinct")
+    found = distinct.estimated_count(state, ["dataset"]).unionByName(
+        distinct.estimated_count(distinct.united([state])).select(F.lit("all").alias("dataset"), "estimate")
+    )
+    kept = words.select(F.inline(F.array(*[F.struct(c.alias("dataset"), F.col("word").alias("word")) for c in (F.col("dataset"), F.lit("all"))])))
+    exact = kept.groupBy("dataset").agg(F.count_distinct("word").alias("exact"))
+    return exact.join(found, "dataset").select(
+        "dataset", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.03 * F.col("exact")).alias("close")
+    )
+
+
 # Cues and actors
 
 
+@query
+def lexicon_table_hits(spark, sf):
+    """Captions against a lexicon table made of the benchmark's words."""
+    captions = tb.conversation_captions(spark, sf)
+    return rounded(lexicon.lexicon_hits(captions, _lexicon(spark, sf), [S.CAPTION], ["c0", "c1", "c2"]))
+
+
+@query
+def lexicon_table_counts(spark, sf):
+    """Frequency of lexicon words per corpus, by the shuffled join."""
+    return lexicon.lexicon_counts(tb.document_captions(spark, sf), _lexicon(spark, sf), ["dataset"], limit=0)
+
+
+def _lexicon(spark, sf):
+    """Every word of the benchmark items under one of three categories; c2 counts for nouns and verbs only."""
+    items = tb.table(spark, sf, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    entries = items.filter("word <> ''").groupBy("word").agg((F.min("item_id") % 3).alias("_c"))
+    tags = F.when(F.col("_c") == 2, F.array(F.lit("NOUN"), F.lit("VERB")))
+    return entries.select("word", F.concat(F.lit("c"), F.col("_c").cast("string")).alias("category"), tags.alias("tags"))
+
+
+
 @query
 def cue_features(spark, sf):
     """P4-P8."""
@@ -356,7 +402,7 @@ def encoder_similarity(spark, sf):
         letters = "abcdefghijklmnopqrstuvwxyz"
         return lambda texts: np.array([[t.count(c) for c in letters] for t in texts], dtype=float)
 
-    return rounded(Encoder(make_encoder, dim=26).similarity(tb.conversation_captions(spark, sf)), 4)
+    return rounded(Encoder(make_encoder, dim=26).similarity(tb.conversation_captions(spark, sf)))
 
 
 @query
@@ -598,6 +644,60 @@ def twin_status(spark, sf):
     return rounded(motion.twin_status(features, joints, tb.FRAME_JOINTS))
 
 
+@query
+def array_scan(spark, sf):
+    """The vectors as .npy files of 256 frames, read back by byte range."""
+    folder = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    vectors = tb.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    blocks_of = vectors.withColumn(S.GROUP, F.floor(F.col("vec_id") / 256).cast("string"))
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("vec_id")
+        system, inside = file_system(folder)
+        system.create_dir(inside, recursive=True)
+        with system.open_output_stream(f"{inside}/{key[0].as_py()}.npy") as out:
+            np.lib.format.write_array(out, np.array(rows.column("vec").to_pylist(), np.float32), allow_pickle=False)
+        return pa.table({"n": pa.array([rows.num_rows], pa.int64())})
+
+    blocks_of.groupBy(S.GROUP).applyInArrow(write, "n bigint").count()
+    read = scan_arrays(spark, folder, split_bytes=16_384)
+    return rounded(read.select(
+        S.GROUP, "ndim", "n_frames", "frame", F.size("vec").alias("width"), F.get("vec", F.lit(0)).alias("first"),
+        F.element_at("vec", -1).alias("last"),
+    ))
+
+
+@query
+def split_lists(spark, sf):
+    """Split lists written under their own names and read back."""
+    df = tb.conversation_captions(spark, sf)
+    order = Window.partitionBy("dataset").orderBy(S.CAPTION)
+    lines = df.select(
+        F.col("dataset").alias("split"), F.row_number().over(order).alias("line_no"), F.concat(F.lit(" "), S.CAPTION).alias("line")
+    )
+    folder = f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}"
+    write_split_lists(lines, folder)
+    return rounded(read_splits(spark, folder, ("system.txt", "user.txt", "assistant.txt")))
+
+
+@query
+def caption_files(spark, sf):
+    """Caption files, one per conversation, scanned as a directory."""
+    df = tb.conversation_captions(spark, sf)
+    folder = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    flat = F.concat_ws("#", F.translate(S.TEXT, "#\n\r", "   "), F.lit("x/X"), F.lit("1.5"), F.col(S.LINE).cast("string"))
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        system, inside = file_system(folder)
+        system.create_dir(inside, recursive=True)
+        with system.open_output_stream(f"{inside}/{key[0].as_py()}.txt") as out:
+            out.write("\n".join(rows.sort_by(S.LINE).column("line").to_pylist()).encode())
+        return pa.table({"n": pa.array([rows.num_rows], pa.int64())})
+
+    df.select(S.GROUP, S.LINE, flat.alias("line")).groupBy(S.GROUP).applyInArrow(write, "n bigint").count()
+    return read_captions(spark, folder).select(S.GROUP, S.CAPTION, S.TEXT, "num1", "num2")
+
+
 # Clusters, topics, report
 
 
@@ -615,6 +715,29 @@ def kmeans_rows(spark, sf):
     return sizes.agg(F.sum("cnt").alias("n_rows"))
 
 
+@query
+def lloyd_sizes(spark, sf):
+    """E1 with a fixed start and rounds: cluster sizes and the first value of each centre."""
+    return _sized(lloyd.lloyd(tb.label_vectors(spark, sf), LLOYD_K, LLOYD_ROUNDS))
+
+
+@query
+def lloyd_sizes_by_label(spark, sf):
+    """A model for each corpus."""
+    vectors = tb.label_vectors(spark, sf).withColumn("dataset", (F.col(S.GROUP).cast("int") % 3).cast("string"))
+    return _sized(lloyd.lloyd(vectors, LLOYD_K, LLOYD_ROUNDS, ["dataset"]))
+
+
+def _sized(model):
+    return rounded(model.withColumn("first", F.get("centre", F.lit(0))).drop("centre"))
+
+
+@query
+def factor_topics(spark, sf):
+    """E2 with a fixed start and rounds."""
+    return rounded(factors.factor_topics(tb.conversation_captions(spark, sf), TOPICS, rounds=TOPIC_ROUNDS))
+
+
 @query
 def topics(spark, sf):
     """E2."""

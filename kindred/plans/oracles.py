@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from kindred import lexicons as L
 from kindred.plans import tables as tb
-from kindred.plans.catalog import THRESHOLDS
+from kindred.plans.catalog import LLOYD_K, LLOYD_ROUNDS, THRESHOLDS, TOPIC_ROUNDS, TOPICS
 
 DOCS = """captions AS (
     SELECT source AS motion_id, doc_id::VARCHAR AS caption_id, lang AS dataset, text AS description FROM documents)"""
@@ -348,6 +348,69 @@ report AS ({" UNION ALL ".join(f"({r})" for r in rows)})
 SELECT section, place::BIGINT AS place, metric, value FROM report"""
 
 
+def _lloyd(key: str) -> str:
+    """Lloyd's rounds over the vectors, one CTE per step."""
+    ctes = [
+        f"e AS (SELECT {key} AS dataset, vec_id::VARCHAR AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)",
+        f"""c0 AS MATERIALIZED (
+    SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY md5(id), id) - 1 AS cluster, v AS centre, 0 AS cnt FROM e
+    QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY md5(id), id) <= {LLOYD_K})""",
+    ]
+    for r in range(1, LLOYD_ROUNDS + 1):
+        ctes.append(f"""a{r} AS (
+    SELECT dataset, cluster, v FROM (
+        SELECT dataset, id, cluster, v, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - centre[i]) ** 2)) AS d
+        FROM e JOIN c{r - 1} USING (dataset))
+    QUALIFY row_number() OVER (PARTITION BY dataset, id ORDER BY d, cluster) = 1),
+m{r} AS (
+    SELECT dataset, cluster, list(m ORDER BY i) AS mean, any_value(n) AS n FROM (
+        SELECT dataset, cluster, i, avg(x) AS m, count(*) AS n
+        FROM (SELECT dataset, cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY ALL)
+    GROUP BY dataset, cluster),
+c{r} AS MATERIALIZED (
+    SELECT dataset, cluster, coalesce(mean, centre) AS centre, coalesce(n, 0) AS cnt FROM c{r - 1} LEFT JOIN m{r} USING (dataset, cluster))""")
+    return "WITH " + ", ".join(ctes) + f" SELECT dataset, cluster, cnt, {_r('centre[1]', 'first')} FROM c{LLOYD_ROUNDS}"
+
+
+def _factors() -> str:
+    """Multiplicative updates of both factors, one CTE per step."""
+    k = TOPICS
+
+    def first(name: str, kind: str) -> str:
+        cells = ", ".join(f"0.5::DOUBLE + ('0x' || substr(md5('{kind}{j}:' || {name}), 1, 8))::BIGINT / 4294967296.0::DOUBLE" for j in range(k))
+        return f"{kind}0 AS MATERIALIZED (SELECT DISTINCT {name}, [{cells}] AS f FROM counts)"
+
+    ctes = [
+        CONVS, _tfidf(),
+        """counts AS MATERIALIZED (
+    SELECT caption_id AS doc, term, tf::DOUBLE AS x FROM terms
+    WHERE term IN (SELECT term FROM terms GROUP BY term HAVING count(*) >= 2))""",
+        first("doc", "w"), first("term", "h"),
+    ]
+    sums = ", ".join(f"sum(x * f[{j + 1}])" for j in range(k))
+    gram = ", ".join(f"sum(f[{i + 1}] * f[{j + 1}])" for i in range(k) for j in range(k))
+    cells = ", ".join(
+        f"f[{j + 1}] * s[{j + 1}] / ({' + '.join(f'f[{i + 1}] * g[{i * k + j + 1}]' for i in range(k))} + 1e-12::DOUBLE)" for j in range(k)
+    )
+    for r in range(1, TOPIC_ROUNDS + 1):
+        for mine, name, other, other_name in ((f"h{r}", "term", f"w{r - 1}", "doc"), (f"w{r}", "doc", f"h{r}", "term")):
+            old = f"{mine[0]}{r - 1}"
+            ctes.append(f"""s_{mine} AS MATERIALIZED (SELECT {name}, [{sums}] AS s FROM counts JOIN {other} USING ({other_name}) GROUP BY {name}),
+g_{mine} AS MATERIALIZED (SELECT [{gram}] AS g FROM {other}),
+{mine} AS MATERIALIZED (SELECT {name}, [{cells}] AS f FROM {old} JOIN s_{mine} USING ({name}) CROSS JOIN g_{mine})""")
+    return "WITH " + ", ".join(ctes) + f""",
+flat AS (SELECT term, unnest(f) AS v, generate_subscripts(f, 1) - 1 AS topic FROM h{TOPIC_ROUNDS}),
+topic_shares AS (SELECT topic, term, v / sum(v) OVER (PARTITION BY topic) AS weight FROM flat),
+placed AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) - 1 AS rank FROM topic_shares)
+SELECT topic, rank, term, {_r('weight', 'weight')} FROM placed WHERE rank < 12"""
+
+
+LEXICON = """lexicon AS (
+    SELECT word, 'c' || (min(item_id) % 3) AS category FROM (
+        SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark)
+    WHERE word <> '' GROUP BY word)"""
+LEXICON_ON = "lower(tok) = word AND (category <> 'c2' OR pos IN ('NOUN', 'VERB'))"
+
 LETTERS = ", ".join(
     f"length(description) - length(replace(description, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz"
 )
@@ -444,7 +507,7 @@ SELECT n::BIGINT AS n, count(DISTINCT gram) AS distinct_cnt, count(*) AS total_c
     "encoder_similarity": f"""WITH {CONVS}, counts AS (
     SELECT motion_id AS g, caption_id AS id, list_transform([{LETTERS}], lambda x: x::DOUBLE) AS c FROM captions),
 e AS (SELECT g, id, list_transform(c, lambda x: CASE WHEN list_sum(c) = 0 THEN 0 ELSE x / sqrt(list_sum(list_transform(c, lambda y: y * y))) END) AS v FROM counts),
-{DENSE_PAIRS} {DENSE_SIM.replace(", 6)", ", 4)")}""",
+{DENSE_PAIRS} {DENSE_SIM}""",
     "most_consistent": _similarity(CONVS, "FROM (SELECT * FROM sims ORDER BY sim DESC NULLS LAST, motion_id LIMIT 10)"),
     "least_consistent": _similarity(CONVS, "FROM (SELECT * FROM sims ORDER BY sim NULLS LAST, motion_id LIMIT 10)"),
     "similarity_summary": f"WITH {CONVS}, {_tfidf()} {_summary('sims')}",
@@ -528,4 +591,25 @@ SELECT motion_id, ndim_vec, n_frames_vec, ndim_joints, n_frames_joints,
             WHEN n_frames_vec <> n_frames_joints THEN 'frame_mismatch' WHEN short THEN 'bad_width' ELSE 'ok' END AS status
 FROM a FULL JOIN b USING (motion_id)""",
     "full_report": _report(),
+    "lloyd_sizes": _lloyd("'all'").replace("SELECT dataset, cluster, cnt,", "SELECT cluster, cnt,"),
+    "lloyd_sizes_by_label": _lloyd("(label % 3)::VARCHAR"),
+    "factor_topics": _factors(),
+    "approximate_groups": """WITH words AS (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents)
+SELECT lang AS dataset, count(DISTINCT word) AS exact, TRUE AS close FROM words GROUP BY lang
+UNION ALL SELECT 'all', count(DISTINCT word), TRUE FROM words""",
+    "lexicon_table_hits": f"""WITH {CONVS}, {TOKENS}, {LEXICON}
+SELECT caption_id, count(*) FILTER (category = 'c0') AS c0, count(*) FILTER (category = 'c1') AS c1, count(*) FILTER (category = 'c2') AS c2
+FROM captions LEFT JOIN (SELECT caption_id, category FROM tokens JOIN lexicon ON {LEXICON_ON}) USING (caption_id) GROUP BY caption_id""",
+    "lexicon_table_counts": f"""WITH {DOCS}, {TOKENS}, {LEXICON}
+SELECT dataset, word AS token, category, count(*) AS cnt FROM tokens JOIN lexicon ON {LEXICON_ON} GROUP BY ALL""",
+    "array_scan": f"""SELECT (vec_id // 256)::VARCHAR AS motion_id, 2 AS ndim, count(*) OVER g AS n_frames,
+       row_number() OVER (g ORDER BY vec_id) - 1 AS frame, len(embedding) AS width, {_r('embedding[1]', 'first')}, {_r('embedding[len(embedding)]', 'last')}
+FROM embeddings WINDOW g AS (PARTITION BY vec_id // 256)""",
+    "split_lists": f"""WITH {CONVS}
+SELECT dataset AS split, row_number() OVER (PARTITION BY dataset ORDER BY caption_id) - 1 AS line_no, ' ' || caption_id AS line FROM captions""",
+    "caption_files": f"""WITH {CONVS}, placed AS (
+    SELECT motion_id, line_no, description, row_number() OVER (PARTITION BY motion_id ORDER BY line_no) - 1 AS place FROM captions)
+SELECT motion_id, motion_id || ':' || place AS caption_id,
+       regexp_replace(translate(description, '#' || chr(10) || chr(13), '   '), '^\\s+', '') AS description, 1.5::DOUBLE AS num1, line_no::DOUBLE AS num2
+FROM placed""",
 }
