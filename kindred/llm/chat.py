@@ -11,8 +11,9 @@ Kept conversations are rendered with a template per turn. A conversation is one
 in one place; nothing larger than a conversation is.
 
 Defined cases: turns are ordered by turn, then role, then text, nulls first, and repeated (turn, role, text) rows of a
-conversation are repeated turns; null roles and texts render as empty and count as such in the hash; rows without conv_id
-form one conversation; other columns are ignored; an empty table gives an empty result.
+conversation are repeated turns; null roles and texts render as empty and count as such in the hash; a row without conv_id
+is a conversation of its own (with equal rows, if there are any); other columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,38 +28,40 @@ def _hash(seed: int) -> Column:
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, place (1, 2, ...), role, text, and the rolling hash (h1, h2) of the turns up to this one."""
+    """conv_id, own (tells rows without conv_id apart), place (1, 2, ...), role, text, and the rolling hash (h1, h2) of the
+    turns up to this one."""
     plain = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    ).withColumn("own", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(0))
+    order = Window.partitionBy("conv_id", "own").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = plain.withColumn("place", F.row_number().over(order))
     return placed.select(
-        "conv_id", "place", "role", "text",
+        "conv_id", "own", "place", "role", "text",
         F.sum(_hash(1)).over(upto).alias("h1"), F.sum(_hash(2)).over(upto).alias("h2"),
-        F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n_turns"),
+        F.count(F.lit(1)).over(Window.partitionBy("conv_id", "own")).alias("n_turns"),
     )
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns and copies (equal conversations, itself included) of those that are no prefix of another."""
-    rows = prefixes(turns).select("conv_id", "place", "n_turns", "h1", "h2")
+    """conv_id, own, n_turns and copies (equal conversations, itself included) of those that are no prefix of another."""
+    rows = prefixes(turns).select("conv_id", "own", "place", "n_turns", "h1", "h2")
+    named = F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "own")  # one with a conv_id stands for its copies
     ends = rows.filter("place = n_turns").groupBy("place", "h1", "h2").agg(
-        F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies")
+        F.min(named).alias("first"), F.count(F.lit(1)).alias("copies")
     )
     inner = rows.filter("place < n_turns").select("place", "h1", "h2").distinct()
     return ends.join(inner, ["place", "h1", "h2"], "left_anti").select(
-        "conv_id", F.col("place").cast("bigint").alias("n_turns"), "copies"
+        "first.conv_id", "first.own", F.col("place").cast("bigint").alias("n_turns"), "copies"
     )
 
 
 def render(turns: DataFrame, template: str = TURN) -> DataFrame:
-    """conv_id and its turns in order, each put into the template's {role} and {text}."""
+    """conv_id, own and the turns in order, each put into the template's {role} and {text}."""
     before, _, rest = template.partition("{role}")
     between, _, after = rest.partition("{text}")
     line = F.concat(F.lit(before), "role", F.lit(between), "text", F.lit(after))
-    return prefixes(turns).groupBy("conv_id").agg(
+    return prefixes(turns).groupBy("conv_id", "own").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), ""
         ).alias("rendered")
@@ -68,5 +71,6 @@ def render(turns: DataFrame, template: str = TURN) -> DataFrame:
 def chat_texts(turns: DataFrame, template: str = TURN) -> DataFrame:
     """conv_id, n_turns, copies and rendered text of every maximal conversation."""
     keep = maximal(turns)
-    texts = render(turns, template).withColumnRenamed("conv_id", "of_conv")
-    return keep.join(texts, keep.conv_id.eqNullSafe(texts.of_conv)).drop("of_conv")
+    texts = render(turns, template).withColumnsRenamed({"conv_id": "of_conv", "own": "of_own"})
+    same = keep.conv_id.eqNullSafe(texts.of_conv) & (keep.own == texts.of_own)
+    return keep.join(texts, same).select("conv_id", "n_turns", "copies", "rendered")
