@@ -213,11 +213,12 @@ def quality_scores(
     posterior = dict(zip(patterns.tolist(), expectation_maximisation(patterns, counts).tolist()))
     total = int(counts.sum())
     share = min(1.0, sample / total) if total else 1.0
-    chosen = docs.filter(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))
-    )
+    # different rows only: a row that is there many times is drawn or not, but counts once, so the sample stays bounded
+    chosen = docs.withColumn("_h", F.xxhash64("doc_id", "text")).filter(
+        F.pmod("_h", F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))
+    ).dropDuplicates(["_h"])
     rows, good = [], []
-    for row in _features(chosen, dimensions).limit(2 * sample).toLocalIterator():
+    for row in _features(chosen, dimensions).toLocalIterator():
         rows.append((np.array(row["at"], np.int64), np.array(row["value"], float)))
         good.append(posterior[row["pattern"]])
     if rows:

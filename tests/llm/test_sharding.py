@@ -46,3 +46,27 @@ def test_empty_table_nulls_and_repeated_rows(make):
     assert sharding.assign_shards(two_columns(make([]))).collect() == []
     out = sharding.assign_shards(two_columns(make([(None, "a"), (1, "a"), (1, "a")])), shards=2).collect()
     assert len(out) == 3 and len({(r.shard, r.slot) for r in out}) == 3
+
+
+def test_packing_equals_brute_force():
+    """Largest first, each item where the dot product with what is left is highest; in plain Python."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(2)
+    for shards, n in ((3, 40), (5, 7), (4, 200)):
+        items = [(rng.getrandbits(40), rng.randint(1, 900), rng.randint(0, 200), rng.randint(1, 30)) for _ in range(n)]
+        total = [max(sum(x[d] for x in items), 1) for d in (1, 2, 3)]
+        need = {x[0]: [x[d + 1] / total[d] * shards for d in range(3)] for x in items}
+        left, place = [[1.0] * 3 for _ in range(shards)], {}
+        for name in sorted(need, key=lambda i: (-max(need[i]), -sum(need[i]), i)):
+            fits = [s for s in range(shards) if all(a >= b - 1e-9 for a, b in zip(left[s], need[name]))]
+            if fits:
+                best = max(fits, key=lambda s: (round(sum(a * b for a, b in zip(left[s], need[name])), 12), -s))
+            else:
+                best = max(range(shards), key=lambda s: (round(min(a - b for a, b in zip(left[s], need[name])), 12), -s))
+            place[name] = best
+            left[best] = [a - b for a, b in zip(left[best], need[name])]
+        got = sharding.pack(pd.DataFrame(items, columns=["item", "bytes", "tokens", "rows"]), shards)
+        assert dict(zip(got["item"].tolist(), got["shard"].tolist())) == place
