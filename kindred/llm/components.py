@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from kindred.llm.common import materialise
+from kindred.llm.common import forget, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,13 +27,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b")
         low = seen.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
-        mine = labels.join(low, "node").select("node", "comp", F.least("comp", "low").alias("next"))
+        mine = labels.select("node", "comp").join(low, "node").select("node", "comp", F.least("comp", "low").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
         moved = mine.join(jump, "next").select("node", F.col("comp").alias("was"), F.least("next", "far").alias("comp"))
-        labels = materialise(moved, "labels")
+        new = materialise(moved, "labels")
+        forget(labels)
+        labels = new
         if not labels.filter("was != comp").limit(1).count():
+            forget(both)
             return labels.select("node", "comp")
-        labels = labels.select("node", "comp")
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,21 +7,23 @@ anywhere else is removed. The repeats are found in trees of suffixes, built in p
    hash (the leftmost of equals). Equal windows have the same anchor at the same place, and neighbouring windows
    mostly share theirs, so about one position in ``w / 2`` is indexed and no repeat is lost.
 2. Suffixes whose first n-gram occurs once in the corpus are leaves at a depth below the window and dropped.
-3. The others are dealt by their first n-gram, a prefix of fixed length. A task takes whole groups until its memory-sized
+3. The others are dealt by their first n-gram, the shortest prefix. A task takes whole groups until its memory-sized
    chunk is full and builds the trees of the chunk: the suffixes rightwards from the anchor, and the words leftwards
    from it, both sorted, with the lengths of common prefixes of neighbours. A node of the tree at depth d is a run of
    neighbours that agree in d words. A window of which o words lie left of its anchor is repeated if another suffix
    shares both its right node at depth ``window - o`` and its left node at depth o: together they make a repeat
    of at least the window's length, and the union of such windows is the maximal repeats.
-4. A group larger than ``group_limit`` is split further by a longer prefix, at the full depth of the window: its windows
-   are counted by the 128-bit hash of all their words. Counts are added up before the shuffle, so a passage that is in
-   a third of all documents is no hot key.
+4. A group of more than ``group_limit`` suffixes does not fit. Each of its windows is then a suffix of its own, read from the
+   anchor to the right end and on leftwards, and its prefix is lengthened by an n-gram at a time until the group of
+   those that share it fits, or is alone; those groups get trees like the others. At the full length of the window a group is
+   a single leaf that repeats itself. Prefixes are counted before the shuffle, and counts are read back from storage, so
+   a passage that is in a third of all documents is no hot key.
 
-Words are compared by 32-bit hashes inside a group whose n-gram agrees in 64 bits.
+Words are compared by 64-bit hashes inside a group whose n-gram agrees in 64 bits.
 
 Defined cases: null texts have no words; documents shorter than the window lose nothing; very long texts are one row
-and are never cut; rows that share a doc_id are documents of their own, told apart by a checksum, and equal rows
-repeat each other.
+and are never cut; rows are known by a hash of doc_id and text, so rows that share a doc_id (or have none) are documents
+of their own, and equal rows repeat each other; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,13 +36,15 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from kindred.llm.common import WordCodes, materialise, rolling, split_words
+from kindred.llm.common import WordCodes, forget, materialise, mix, rolling, split_words
 
 WINDOW = 35
 GRAM = 8
-GROUP_LIMIT = 50_000
 CHUNK = 20_000
-ANCHOR_SEED, FULL_SEED, SECOND_SEED = 11, 12, 13
+GROUP_LIMIT = CHUNK
+#: keys of 8 bytes that may be broadcast
+BROADCAST_KEYS = 1_000_000
+ANCHOR_SEED, PREFIX_SEED = 11, 12
 
 # One number says where a run of windows lies: its first word, the number of its windows, the words of its first window
 # left of the anchor, and a checksum of the document.
@@ -70,92 +74,93 @@ def _runs(codes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     return grams[owner[first]], first, count, owner[first] - first
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and key, which tells rows with different ids or texts apart."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+
+
 def anchor_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, doc_id, run) for every run of windows that share their anchor."""
+    """(anchor, key, run) for every run of windows that share their anchor, of keyed documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCodes()
         for batch in batches:
-            ids, anchors, runs, size = [], [], [], 0
-            texts = batch.column(1).cast(pa.binary())
+            keys, anchors, runs, size = [], [], [], 0
+            own, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
             for at in range(batch.num_rows):
-                text = texts[at].as_py() or b""
+                text = texts[at].as_py()
                 codes = cache.of(split_words(text))
                 if len(codes) >= window:
                     anchor, first, count, offset = _runs(codes, window)
                     anchors.append(anchor.view(np.int64))
                     runs.append(_packed(first, count, offset, _checksum(text)))
-                    ids.append(np.full(len(anchor), at))
+                    keys.append(np.full(len(anchor), own[at]))
                     size += len(anchor)
                 if size > 200_000 or (size and at == batch.num_rows - 1):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(anchors)), batch.column(0).take(pa.array(np.concatenate(ids))),
-                         pa.array(np.concatenate(runs))],
-                        names=["anchor", "doc_id", "run"],
+                        [pa.array(np.concatenate(c)) for c in (anchors, keys, runs)], names=["anchor", "key", "run"]
                     )
-                    ids, anchors, runs, size = [], [], [], 0
+                    keys, anchors, runs, size = [], [], [], 0
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"anchor bigint, doc_id {kind}, run bigint")
+    return docs.select("key", "text").mapInArrow(run, "anchor bigint, key bigint, run bigint")
 
 
-def live_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, doc_id, run, n): the runs whose anchor's n-gram is in the corpus n >= 2 times."""
-    runs = anchor_runs(docs, window)
-    # Read back from storage, the counts are shuffled anew for the join, which lets Spark split a hot anchor's rows;
-    # straight from the aggregation they would keep its partitioning and pin each anchor to one task.
-    often = materialise(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchors")
-    return runs.join(often, "anchor")
+def counted(rows: DataFrame, group: str) -> DataFrame:
+    """The rows (read from storage) whose group has n >= 2 of them, with n.
+
+    Read back from storage, the counts are shuffled anew for the join, which lets Spark split a hot group's rows;
+    straight from the aggregation they would keep its partitioning and pin each group to one task.
+    """
+    often = materialise(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    return rows.join(often, group)
 
 
 def _with_lists(docs: DataFrame, rows: DataFrame, how: str, *columns: str) -> DataFrame:
-    """Documents with the list of their rows; a document's list is no longer than the document."""
-    lists = rows.groupBy(F.col("doc_id").alias("of_id")).agg(
-        *[F.collect_list(c).alias(f"{c}s") for c in columns]
-    )
-    return docs.join(lists, docs.doc_id.eqNullSafe(lists.of_id), how).select(
-        "doc_id", "text", *[f"{c}s" for c in columns]
-    )
+    """Documents with the list of their different rows; a document's list is no longer than the document.
+
+    All columns are kept for every caller, so that one shuffle of the texts serves several joins.
+    """
+    lists = rows.groupBy(F.col("key").alias("of")).agg(F.collect_set(F.struct(*columns)).alias("rows"))
+    out = docs.join(lists, docs.key == lists.of, how)
+    return out.select("key", "text", "doc_id", *[F.col("rows")[c].alias(f"{c}s") for c in columns])
 
 
 def _fields(runs: list[int], text: bytes) -> tuple[np.ndarray, ...]:
-    """Index into ``runs``, first, count, offset of the runs of this text (others are of rows with the same doc_id)."""
+    """Index into ``runs``, first, count, offset of the runs of this text (others are of rows whose key is equal by chance)."""
     r = np.array(runs, np.int64)
     own = np.flatnonzero((r & ((1 << _SUM) - 1)) == _checksum(text))
     r = r[own]
     return own, r >> 32, (r >> _COUNT) & 31, (r >> _OFFSET) & 31
 
 
-def suffix_rows(docs: DataFrame, live: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, doc_id, run, words): each run with the 32-bit codes of the words its windows span."""
+def suffix_rows(docs: DataFrame, groups: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(group, key, run, words): each run of a group with the codes of the words its windows span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCodes()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            ids, anchors, runs, words, size = [], [], [], [], 0
+            texts = batch.column("text").cast(pa.binary())
+            keys, groups_, runs, words, size = [], [], [], [], 0
             for at in range(batch.num_rows):
-                text = texts[at].as_py() or b""
-                own_runs, own_anchors = batch.column(2)[at].as_py(), batch.column(3)[at].as_py()
+                text = texts[at].as_py()
+                own_runs, own_groups = batch.column("runs")[at].as_py(), batch.column("groups")[at].as_py()
                 own, first, count, _ = _fields(own_runs, text)
-                codes = cache.of(split_words(text)).astype(np.uint32)
+                codes = cache.of(split_words(text))
                 for i, a, n in zip(own.tolist(), first.tolist(), count.tolist()):
                     words.append(codes[a : a + n + window - 1].tobytes())
                     runs.append(own_runs[i])
-                    anchors.append(own_anchors[i])
-                    ids.append(at)
+                    groups_.append(own_groups[i])
                     size += len(words[-1])
+                keys += [batch.column("key")[at].as_py()] * len(own)
                 if size > 8 << 20 or (size and at == batch.num_rows - 1):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchors, pa.int64()), batch.column(0).take(pa.array(ids)),
-                         pa.array(runs, pa.int64()), pa.array(words, pa.binary())],
-                        names=["anchor", "doc_id", "run", "words"],
+                        [pa.array(groups_, pa.int64()), pa.array(keys, pa.int64()), pa.array(runs, pa.int64()), pa.array(words, pa.binary())],
+                        names=["group", "key", "run", "words"],
                     )
-                    ids, anchors, runs, words, size = [], [], [], [], 0
+                    keys, groups_, runs, words, size = [], [], [], [], 0
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_lists(docs, live, "inner", "run", "anchor").mapInArrow(
-        run, f"anchor bigint, doc_id {kind}, run bigint, words binary"
+    return _with_lists(docs, groups, "inner", "run", "group").mapInArrow(
+        run, "group bigint, key bigint, run bigint, words binary"
     )
 
 
@@ -175,21 +180,21 @@ def _node_ids(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
     return ids
 
 
-def repeated_windows(anchor: np.ndarray, run: np.ndarray, words: list[bytes], window: int) -> np.ndarray:
+def repeated_windows(group: np.ndarray, run: np.ndarray, words: list[bytes], window: int) -> np.ndarray:
     """For each row a mask: bit i says that the i-th window of the run occurs more than once among the rows."""
     n = len(run)
     count, offset = (run >> _COUNT) & 31, (run >> _OFFSET) & 31
     left_size = window - gram_length(window)
-    right = np.zeros((n, window), np.uint32)
-    left = np.zeros((n, max(left_size, 1)), np.uint32)
+    right = np.zeros((n, window), np.uint64)
+    left = np.zeros((n, max(left_size, 1)), np.uint64)
     for i in range(n):
-        codes = np.frombuffer(words[i], np.uint32)
+        codes = np.frombuffer(words[i], np.uint64)
         o = offset[i]
         tail = codes[o : o + window]
         right[i, : len(tail)] = tail
         left[i, :o] = codes[:o][::-1]
-    right_order, right_shared = _nodes(anchor, right)
-    left_order, left_shared = _nodes(anchor, left)
+    right_order, right_shared = _nodes(group, right)
+    left_order, left_shared = _nodes(group, left)
     masks = np.zeros(n, np.int64)
     for o in range(left_size + 1):
         i = offset - o
@@ -204,14 +209,14 @@ def repeated_windows(anchor: np.ndarray, run: np.ndarray, words: list[bytes], wi
 
 
 def tree_marks(suffixes: DataFrame, window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, run, mask) of the runs with repeated windows, from the trees of whole groups of suffixes."""
+    """(key, run, mask) of the runs with repeated windows, from the trees of whole groups of suffixes."""
 
     def marks(table: pa.Table) -> Iterator[pa.RecordBatch]:
         masks = repeated_windows(
-            table.column("anchor").to_numpy(), table.column("run").to_numpy(), table.column("words").to_pylist(), window
+            table.column("group").to_numpy(), table.column("run").to_numpy(), table.column("words").to_pylist(), window
         )
         hit = np.flatnonzero(masks)
-        out = table.select(["doc_id", "run"]).take(pa.array(hit)).append_column("mask", pa.array(masks[hit]))
+        out = table.select(["key", "run"]).take(pa.array(hit)).append_column("mask", pa.array(masks[hit]))
         yield from out.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,78 +226,110 @@ def tree_marks(suffixes: DataFrame, window: int = WINDOW, chunk: int = CHUNK) ->
             size += batch.num_rows
             if size >= chunk:
                 table = pa.Table.from_batches(held)
-                anchors = table.column("anchor").to_numpy()
-                end = int(np.searchsorted(anchors, anchors[-1]))  # the last group may go on
+                groups = table.column("group").to_numpy()
+                end = int(np.searchsorted(groups, groups[-1]))  # the last group may go on
                 if end:
                     yield from marks(table.slice(0, end))
-                held, size = table.slice(end).to_batches(), len(anchors) - end
+                held, size = table.slice(end).to_batches(), len(groups) - end
         if size:
             yield from marks(pa.Table.from_batches(held))
 
-    kind = suffixes.schema["doc_id"].dataType.simpleString()
     n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        suffixes.repartition(n, "anchor").sortWithinPartitions("anchor")
-        .mapInArrow(run, f"doc_id {kind}, run bigint, mask bigint")
+        suffixes.repartition(n, "group").sortWithinPartitions("group").mapInArrow(run, "key bigint, run bigint, mask bigint")
     )
 
 
-def deep_marks(docs: DataFrame, hot: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, run, mask) for runs of large groups: single windows, counted by the hash of all their words."""
+def prefix_lengths(window: int) -> list[int]:
+    """Of the prefixes that are longer than the anchor's n-gram, up to the window."""
+    k = gram_length(window)
+    return [*range(2 * k, window, k), window]
+
+
+def window_prefixes(docs: DataFrame, hot: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, run, p0, p1, ...): each window of the runs of ``hot`` as a run of its own, with the hashes of its prefixes."""
+    lengths = prefix_lengths(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCodes()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column("text").cast(pa.binary())
             for at in range(batch.num_rows):
-                text = texts[at].as_py() or b""
-                own, first, count, _ = _fields(batch.column(2)[at].as_py(), text)
-                if not len(own):
+                text = texts[at].as_py()
+                _, first, count, offset = _fields(batch.column("runs")[at].as_py(), text)
+                if not len(first):
                     continue
                 codes = cache.of(split_words(text))
-                starts = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                h1 = rolling(codes, window, FULL_SEED)[starts].view(np.int64)
-                h2 = rolling(codes, window, SECOND_SEED)[starts].view(np.int64)
-                for i in range(0, len(starts), 200_000):
-                    part = slice(i, i + 200_000)
-                    places = _packed(starts[part], 1, 0, _checksum(text))
+                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                start, left = np.repeat(first, count) + step, np.repeat(offset, count) - step
+                hashes = []
+                for p in lengths:  # p words from the anchor on, the last ones of them before it
+                    begin = start + left - np.maximum(p - (window - left), 0)
+                    hashes.append(mix(rolling(codes, p, PREFIX_SEED + p)[begin] + left.astype(np.uint64)).view(np.int64))
+                runs = _packed(start, 1, left, _checksum(text))
+                for i in range(0, len(runs), 100_000):
+                    part = slice(i, i + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1[part]), pa.array(h2[part]),
-                         batch.column(0).take(pa.array(np.full(len(places), at))), pa.array(places)],
-                        names=["h1", "h2", "doc_id", "run"],
+                        [pa.array(np.full(len(runs[part]), batch.column("key")[at].as_py())), pa.array(runs[part]),
+                         *(pa.array(h[part]) for h in hashes)],
+                        names=["key", "run", *(f"p{j}" for j in range(len(lengths)))],
                     )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    windows = _with_lists(docs, hot, "inner", "run").mapInArrow(
-        run, f"h1 bigint, h2 bigint, doc_id {kind}, run bigint"
-    )
-    again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return windows.join(again, ["h1", "h2"]).select("doc_id", "run", F.lit(1).cast("bigint").alias("mask"))
+    columns = ", ".join(f"p{j} bigint" for j in range(len(lengths)))
+    return _with_lists(docs, hot, "inner", "run").drop("doc_id").mapInArrow(run, f"key bigint, run bigint, {columns}")
+
+
+def split_groups(docs: DataFrame, hot: DataFrame, window: int, limit: int) -> tuple[list[DataFrame], DataFrame]:
+    """(group, key, run) of the windows of hot runs under the prefix with which their group fits; (key, run, mask) of
+    those that share all their words with more than ``limit`` others."""
+    keys = hot.select("key").distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:  # then only their texts are shuffled
+        docs = docs.join(F.broadcast(keys), "key", "left_semi")
+    rows, fit = materialise(window_prefixes(docs, hot, window), "windows"), []
+    levels = len(prefix_lengths(window))
+    for level in range(levels):
+        rows = counted(rows, f"p{level}")
+        if level < levels - 1:
+            rows = materialise(rows, "windows")
+            fit.append(rows.filter(F.col("n") <= limit).select(F.col(f"p{level}").alias("group"), "key", "run"))
+            rows = rows.filter(F.col("n") > limit).drop("n")
+    return fit, rows.select("key", "run", F.lit(1).cast("bigint").alias("mask"))
 
 
 def drop_repeats(
     docs: DataFrame, window: int = WINDOW, group_limit: int = GROUP_LIMIT, chunk: int = CHUNK
 ) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space, for rows (doc_id, text)."""
-    live = materialise(live_runs(docs, window), "live-runs")
-    cold, hot = live.filter(F.col("n") <= group_limit), live.filter(F.col("n") > group_limit)
-    marks = tree_marks(suffix_rows(docs, cold, window), window, chunk)
-    marks = marks.unionByName(deep_marks(docs, hot, window))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = keyed(docs)
+    runs = materialise(anchor_runs(docs, window), "runs")
+    live = materialise(counted(runs, "anchor"), "live-runs")
+    forget(runs)
+    groups = live.filter(F.col("n") <= group_limit).select(F.col("anchor").alias("group"), "key", "run")
+    hot = live.filter(F.col("n") > group_limit)
+    leaves = None
+    if hot.limit(1).count():
+        fit, leaves = split_groups(docs, hot.select("key", "run"), window, group_limit)
+        for more in fit:
+            groups = groups.unionByName(more)
+    marks = tree_marks(suffix_rows(docs, groups, window), window, chunk)
+    if leaves is not None:
+        marks = marks.unionByName(leaves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column("text").cast(pa.binary())
             for begin in range(0, batch.num_rows, 512):
                 totals, removed, kept = [], [], []
                 part = range(begin, min(begin + 512, batch.num_rows))
                 for at in part:
-                    text = texts[at].as_py() or b""
+                    text = texts[at].as_py()
                     words = split_words(text)
-                    runs = batch.column(2)[at].as_py()
+                    runs = batch.column("runs")[at].as_py()
                     gone = np.zeros(len(words), bool)
                     if runs:
                         own, first, _, _ = _fields(runs, text)
-                        masks = np.array(batch.column(3)[at].as_py(), np.int64)[own]
+                        masks = np.array(batch.column("masks")[at].as_py(), np.int64)[own]
                         edges = np.zeros(len(words) + 1, np.int64)
                         for i in range(28):
                             starts = first[(masks >> i) & 1 == 1] + i
@@ -303,12 +340,11 @@ def drop_repeats(
                     removed.append(int(gone.sum()))
                     kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(part)), pa.array(totals, pa.int64()),
+                    [batch.column("doc_id").slice(begin, len(part)), pa.array(totals, pa.int64()),
                      pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     return _with_lists(docs, marks, "left", "run", "mask").mapInArrow(
         run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string"
     )

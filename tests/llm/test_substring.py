@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -7,7 +8,7 @@ from kindred.llm.common import two_columns
 
 
 def brute(rows, window):
-    words = [(i, (t or "").split()) for i, t in rows]
+    words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     count = {}
     for _, ws in words:
         for j in range(len(ws) - window + 1):
@@ -37,7 +38,7 @@ def corpus(prose):
     return rows
 
 
-@pytest.mark.parametrize("window, limit", [(35, 50_000), (35, 2), (5, 50_000), (50, 3), (1, 50_000)])
+@pytest.mark.parametrize("window, limit", [(35, 50_000), (35, 2), (5, 50_000), (50, 3), (1, 50_000), (1, 2), (9, 4)])
 def test_equals_brute_force(make, prose, window, limit):
     rows = corpus(prose)
     out = substring.drop_repeats(two_columns(make(rows)), window, limit, chunk=64)
@@ -50,3 +51,21 @@ def test_empty_table_and_same_id_with_other_text(make, prose):
     rows = [(1, a), (1, b), (2, a), (None, b), (None, None)]
     out = substring.drop_repeats(two_columns(make(rows)))
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()), key=str) == brute(rows, 35)
+
+
+def test_rows_without_id_cost_their_number(spark, make, prose, monkeypatch):
+    """Rows that share a (null) doc_id have lists of their own."""
+    longest = []
+    plain = substring._with_lists
+
+    def measured(docs, rows, how, *columns):
+        out = plain(docs, rows, how, *columns)
+        longest.append(out.selectExpr(f"max(size({columns[0]}s))").first()[0])
+        return out
+
+    monkeypatch.setattr(substring, "_with_lists", measured)
+    passage = prose(1, 60)
+    rows = [(None, f"{prose(i + 10, 20)} {passage}") for i in range(200)] + [(None, passage)] * 100
+    out = substring.drop_repeats(two_columns(make(rows)))
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()), key=str) == brute(rows, 35)
+    assert max(x for x in longest if x is not None) <= 60
