@@ -4,15 +4,17 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writ
 and reads it back as the next stage's docs. All stages but the last return the columns of documents.
 
 Null and empty texts are rejected by the first stage (they have no words). Columns beyond those of documents are
-dropped, whatever their names.
+dropped, whatever their names. Empty documents give an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kindred.llm import bpe, decontamination, near_dedup, quality, secret_scan
-from kindred.llm.common import materialise, table, two_columns
+from kindred.llm.common import scratch, shared_dir, table, two_columns
 from kindred.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -70,5 +72,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark):  # what a stage writes on its way is deleted once its result is there
+            result = stage(spark, docs, sf_dir)
+            path = f"{shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
     return docs
