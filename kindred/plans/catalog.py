@@ -20,6 +20,7 @@ from kindred.operators import (
 from kindred.plans import tables as tb
 from kindred.plans.backends import Encoder, Precomputed, Tfidf
 from kindred.plans.report import analyse_once, report, similarity_compare
+from kindred.sinks import write_similarity_csv
 from kindred.sinks.split_lists import write_split_lists
 from kindred.sources.captions import parse_lines, read_captions, rejected_lines
 from kindred.sources.npy import file_system, scan_arrays
@@ -698,6 +699,30 @@ def caption_files(spark, sf):
     return read_captions(spark, folder).select(S.GROUP, S.CAPTION, S.TEXT, "num1", "num2")
 
 
+@query
+def similarity_csv(spark, sf):
+    """The similarity table written as CSV and read back."""
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    sims = rounded(similarity.tfidf_similarity(tb.conversation_captions(spark, sf)))
+    write_similarity_csv(sims, folder)
+    return spark.read.schema(sims.schema).option("header", True).csv(folder)
+
+
+@query
+def twin_report(spark, sf):
+    """Extremes of the files that pass the shape check; joint files of every fourth label claim a frame more."""
+    size = Window.partitionBy(S.GROUP)
+    features = tb.feature_frames(spark, sf).select(
+        S.GROUP, "frame", F.slice("vec", 1, 59).alias("vec"), F.lit(2).alias("ndim"), F.count(F.lit(1)).over(size).alias("n_frames")
+    )
+    odd = (F.col(S.GROUP).cast("int") % 4 == 0).cast("int")
+    joints = tb.joint_frames(spark, sf).select(
+        S.GROUP, "frame", F.flatten("joints").alias("vec"), F.lit(3).alias("ndim"), (F.count(F.lit(1)).over(size) + odd).alias("n_frames")
+    )
+    found = motion.check_twins(features, joints, tb.FRAME_JOINTS)
+    return rounded(found["status"].select(S.GROUP, "status").join(found["file_extremes"], S.GROUP, "left"), 9)
+
+
 # Clusters, topics, report
 
 

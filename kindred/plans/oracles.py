@@ -612,4 +612,10 @@ SELECT dataset AS split, row_number() OVER (PARTITION BY dataset ORDER BY captio
 SELECT motion_id, motion_id || ':' || place AS caption_id,
        regexp_replace(translate(description, '#' || chr(10) || chr(13), '   '), '^\\s+', '') AS description, 1.5::DOUBLE AS num1, line_no::DOUBLE AS num2
 FROM placed""",
+    "similarity_csv": _similarity(CONVS, "FROM sims"),
+    "twin_report": f"""WITH {MSE}
+SELECT motion_id, CASE WHEN motion_id::INT % 4 = 0 THEN 'frame_mismatch' ELSE 'ok' END AS status,
+       CASE WHEN motion_id::INT % 4 <> 0 THEN {_r('hi', 'x', 9).removesuffix(' AS x')} END AS max_mse,
+       CASE WHEN motion_id::INT % 4 <> 0 THEN {_r('lo', 'x', 9).removesuffix(' AS x')} END AS min_mse
+FROM ext""",
 }
