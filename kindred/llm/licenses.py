@@ -10,7 +10,7 @@ are sequences of shingles of ``SHINGLE`` words.
 2. Bands. A window's MinHash signature has ``BANDS`` bands of one row. Where a template makes up a share j of a
    window, a band agrees with probability j (the window's minimum is among the template's shingles): all 96 bands miss
    with probability 1e-12 at j = 1/4 and 3e-6 at j = 1/8. A class has one sorted table of (band, value) keys in which all
-   windows are looked up at once. Its size is bounded by ``MAX_TEMPLATES``, and it goes to every task.
+   windows are looked up at once, after a filter by their low bits. Its size is bounded by ``MAX_TEMPLATES``, and it goes to every task.
 3. Verification. A template that shares a band with windows is looked for in them, shingle by shingle: a place is a span of a
    quarter more shingles than the template has, that begins with one of its shingles and whose share of the template's shingles is at
    least ``least``. Shingles with a number in them (versions) must all be there. Of places of a template that overlap the one with
@@ -140,6 +140,9 @@ _WORD = re.compile(rb"[A-Za-z0-9]+")
 _A = (odd_constants(BANDS, SEED + 1) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
 _B = (odd_constants(BANDS, SEED + 2) >> np.uint64(32)).astype(np.uint32)[:, None]
 _BAND = (np.arange(BANDS, dtype=np.uint64) << np.uint64(32))[:, None]
+#: low bits of a value that say, with a bit per band, whether the table can have it
+FILTER = 14
+_FILTER_BAND = (np.arange(BANDS, dtype=np.uint32) << np.uint32(FILTER))[:, None]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -165,7 +168,7 @@ class TemplateIndex:
         texts = [(name, i, t) for name, ts in templates.items() for i, t in enumerate(ts)]
         if len(texts) > MAX_TEMPLATES:
             raise ValueError(f"{len(texts)} templates are more than the {MAX_TEMPLATES} that are sent to every task")
-        self.names, self.sets, self.spans, self.telling = [], [], [], []
+        self.names, self.sets, self.known, self.spans, self.telling = [], [], [], [], []
         members = defaultdict(list)
         for name, i, text in texts:
             words = words_of(text.encode())
@@ -177,27 +180,36 @@ class TemplateIndex:
             self.names.append((name, i))
             self.sets.append(np.unique(shingles))
             self.spans.append(len(shingles) + len(shingles) // 4)
-            self.telling.append(np.unique(shingles[number]))
-        self.classes = {}
+            self.known.append(frozenset(shingles.tolist()))
+            self.telling.append(frozenset(shingles[number].tolist()))
+        self.classes, self.filters = {}, {}
         self.stride_of = {t: stride for stride, own in members.items() for t in own}
         for stride, own in members.items():
-            keys = np.stack([_band_values(self.sets[t]).min(axis=1) for t in own], 1).astype(np.uint64) + _BAND
+            values = np.stack([_band_values(self.sets[t]).min(axis=1) for t in own], 1)
+            self.filters[stride] = np.zeros(BANDS << FILTER, bool)
+            self.filters[stride][(values & np.uint32((1 << FILTER) - 1)) + _FILTER_BAND] = True
+            keys = values.astype(np.uint64) + _BAND
             order = np.argsort(keys.ravel(), kind="stable")
             self.classes[stride] = (keys.ravel()[order], np.tile(np.array(own), BANDS)[order])
 
 
 def _window_signatures(hashes: np.ndarray, strides: list[int]) -> dict[int, np.ndarray]:
-    """(BANDS, windows) for each stride, from the minima of stretches of a stride."""
-    parts = {stride: [] for stride in strides}
-    step = max(PIECE, max(strides))  # a multiple of every stride, all of them powers of two
-    for at in range(0, len(hashes), step):
-        values = _band_values(hashes[at : at + step])
-        for stride in strides:
-            parts[stride].append(np.minimum.reduceat(values, np.arange(0, values.shape[1], stride), axis=1))
+    """(BANDS, windows) for each stride: minima of stretches of the smallest stride, folded for the others."""
+    stride = min(strides)
+    step = PIECE // stride * stride
+    low = np.concatenate(
+        [
+            np.minimum.reduceat(values := _band_values(hashes[at : at + step]), np.arange(0, values.shape[1], stride), axis=1)
+            for at in range(0, len(hashes), step)
+        ], axis=1,
+    )
     out = {}
-    for stride in strides:
-        low = np.concatenate(parts[stride], axis=1)
-        out[stride] = np.minimum(low, np.concatenate((low[:, 1:], low[:, -1:]), axis=1))
+    for wanted in sorted(strides):
+        while stride < wanted:
+            if low.shape[1] % 2:
+                low = np.concatenate((low, low[:, -1:]), axis=1)
+            low, stride = np.minimum(low[:, ::2], low[:, 1::2]), 2 * stride
+        out[wanted] = np.minimum(low, np.concatenate((low[:, 1:], low[:, -1:]), axis=1))
     return out
 
 
@@ -206,24 +218,31 @@ def candidates(hashes: np.ndarray, index: TemplateIndex) -> dict[int, np.ndarray
     found: dict[int, list] = defaultdict(list)
     for stride, windows in _window_signatures(hashes, sorted(index.classes)).items():
         keys, owner = index.classes[stride]
-        wanted = windows.astype(np.uint64) + _BAND
+        likely = index.filters[stride][(windows & np.uint32((1 << FILTER) - 1)) + _FILTER_BAND]
+        band, window = np.nonzero(likely)
+        wanted = windows[band, window].astype(np.uint64) + _BAND[band, 0]
         low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-        for band, window in zip(*np.nonzero(high > low)):
-            for t in owner[low[band, window] : high[band, window]].tolist():
-                found[t].append(int(window) * stride)
+        for k in np.flatnonzero(high > low).tolist():
+            for t in owner[low[k] : high[k]].tolist():
+                found[t].append(int(window[k]) * stride)
     return {t: np.unique(starts) for t, starts in found.items()}
 
 
 def places(hashes: np.ndarray, t: int, index: TemplateIndex, least: float) -> list[tuple[float, int, int]]:
     """(share, first shingle, end) of the occurrences of a template in a run of shingles, from left to right."""
-    own, span, telling = index.sets[t], index.spans[t], index.telling[t]
+    own, span, telling = index.known[t], index.spans[t], index.telling[t]
+    run = hashes.tolist()
+    if len(own.intersection(run)) < least * len(own):
+        return []
     hits: list[tuple[int, int, float]] = []
-    for i in np.flatnonzero(np.isin(hashes, own)).tolist():
-        inside, first = np.unique(hashes[i : i + span], return_index=True)
-        there = np.isin(inside, own, assume_unique=True)
-        share = float(there.sum() / len(own))
-        if share >= least and np.isin(telling, inside).all():
-            hits.append((i, i + 1 + int(first[there].max()), share))
+    for i in [i for i, h in enumerate(run) if h in own]:
+        first: dict[int, int] = {}
+        for j, h in enumerate(run[i : i + span]):
+            if h in own:
+                first.setdefault(h, j)
+        share = len(first) / len(own)
+        if share >= least and telling <= first.keys():
+            hits.append((i, i + 1 + max(first.values()), share))
     out, k = [], 0
     while k < len(hits):
         first_end, best = hits[k][1], hits[k]
