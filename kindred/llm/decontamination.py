@@ -23,7 +23,8 @@ rarer ones.
 Defined cases: null and empty texts have no window and no mark; an item of no words leaks nowhere; an item of fewer
 than five words is one shingle and leaks only into documents of just these words; equal items are reported each;
 rows that share a doc_id are told apart by a hash of their text, and reported under their doc_id; a null doc_id or item_id
-is an id like any other.
+is an id like any other; columns other than these and text are ignored, whatever their names; empty tables give an empty
+result; a very long text is one row and scanned whole.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@
 
 Defined cases: null and empty texts have the empty set, which is linked with nothing; with fewer than k words the whole
 sequence is the one shingle; rows that share a doc_id form one document as far as links go; a null doc_id is linked
-with nothing and kept. Texts are used whole.
+with nothing and kept; columns other than doc_id and text are ignored, whatever their names; an empty table gives an empty
+result. Texts are used whole, in sketches piece by piece.
 """
 
 from __future__ import annotations

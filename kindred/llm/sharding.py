@@ -12,7 +12,8 @@ size of the corpus:
 
 So at most ``(4 * grain + pieces * 3) * shards`` items reach the one task that places them. Every size is summed over all rows.
 
-Null texts count as empty. Size is the UTF-8 length plus ``overhead``; tokens are words between white space. The result is a function
+Null texts count as empty; a null doc_id is a row like any other; columns other than doc_id and text are ignored, whatever
+their names; an empty table gives an empty result; a very long text is one row and is never cut. Size is the UTF-8 length plus ``overhead``; tokens are words between white space. The result is a function
 of the rows alone: ties are broken by the item's hash, and slots follow (hash of doc_id, doc_id, size, checksum).
 """
 
