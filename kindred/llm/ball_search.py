@@ -8,8 +8,9 @@ occurs, times the term's weight) and the document's (a saturating function of th
 2. One pass over the texts keeps of every document its length and the counts of the block's terms. Numbers of documents
    and of terms are sums over all documents.
 3. Each task puts its documents into ball trees of ``TREE`` documents: a node has a centroid and radii and is split at the median along the
-   line between two far members. The vocabulary is dealt into ``GROUPS`` groups and a node has a radius in each of the subspaces,
-   so that the bound of a query, <q, centroid> + sum of |q in g| * radius in g, only pays for subspaces that the query has terms in.
+   line between two far members. One radius is that of the whole space, <q, centroid> + |q| * radius; since text vectors
+   are all far from each other, a node also has a radius in each coordinate, <q, centroid + radii>, which only pays for the
+   terms of the query that the node has at all. The smaller bound counts.
 4. Queries descend best-first: the subtree with the highest bound comes next, and a query is done when that bound is
    below its worst kept score (equal ones are still opened, since ties go to the smaller doc_id). Centroids, radii
    and bounds are rounded up by more than the error of their sums, so no subtree is pruned wrongly; scores at the leaves
@@ -40,8 +41,7 @@ from kindred.llm.common import materialise
 TOP = 20
 QUERY_TERMS = 200_000
 TREE = 4096
-LEAF = 32
-GROUPS = 128
+LEAF = 8
 #: relative error that sums of doubles here stay below by far
 SLACK = 1e-9
 _TERM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -111,32 +111,51 @@ class Rows:
 
 
 class BallTree:
-    """Nodes 0 (the root) and on; a node has two children or, at a leaf, document rows."""
+    """Nodes 0 (the root) and on; a node has two children or, at a leaf, document rows.
 
-    def __init__(self, rows: Rows, n_terms: int, leaf: int = LEAF, groups: int = GROUPS):
-        self.n_terms, self.leaf, self.groups = n_terms, leaf, groups
-        self.centroids: list[np.ndarray] = []
-        self.radii: list[np.ndarray] = []
+    A node's ball has a radius in the whole space, and one in each coordinate: how far a document's value lies above the
+    centroid's at most. Queries have no negative values, so values below it do not matter. Kept are the coordinates that a
+    document of the node has, by term, so a tree's memory follows its documents and not the vocabulary.
+    """
+
+    def __init__(self, rows: Rows, n_terms: int, leaf: int = LEAF):
+        self.n_terms, self.leaf = n_terms, leaf
         self.children: list[tuple[int, int] | None] = []
         self.leaves: dict[int, tuple[np.ndarray, Rows]] = {}
+        self.radius: list[float] = []
+        self._ids: list[np.ndarray] = []
+        self._centre: list[np.ndarray] = []
+        self._upper: list[np.ndarray] = []
         self._build(rows, np.arange(rows.n))
-        self.centroid = np.stack(self.centroids)
-        self.radius = np.stack(self.radii)
+        node = np.repeat(np.arange(len(self._ids)), [len(i) for i in self._ids])
+        ids, centre, upper = (np.concatenate(x) for x in (self._ids, self._centre, self._upper))
+        order = np.argsort(ids, kind="stable")
+        self.node, self.centre, self.upper = node[order], centre[order], upper[order]
+        self.start = np.searchsorted(ids[order], np.arange(n_terms + 1))
+        self.radii = np.array(self.radius)
+        del self._ids, self._centre, self._upper
 
     def _build(self, rows: Rows, number: np.ndarray) -> int:
-        node = len(self.centroids)
+        node = len(self.children)
         values = rows.values.astype(float)
-        centroid = np.bincount(rows.ids, values, self.n_terms) / rows.n
-        self.centroids.append(centroid)
-        radius, distance = self._radii(rows, values, centroid)
-        self.radii.append(radius)
+        squares = np.add.reduceat(values * values, rows.start[:-1])
+        total = np.bincount(rows.ids, values, self.n_terms)
+        highest = np.zeros(self.n_terms)
+        np.maximum.at(highest, rows.ids, values)
+        ids = np.flatnonzero(highest)
+        centroid = total / rows.n
+        self._ids.append(ids)
+        self._centre.append(centroid[ids])
+        self._upper.append(highest[ids])  # centroid + radius of the coordinate, as a value of a document: exact
+        length = (centroid * centroid).sum()
+        distance = np.maximum(squares - 2 * rows.dot(centroid) + length, 0)
+        self.radius.append(math.sqrt(distance.max() + SLACK * (squares.max() + length)) * (1 + SLACK))
         self.children.append(None)
-        if rows.n <= self.leaf or not distance.max() > 0:
+        if rows.n <= self.leaf or not distance.max() > SLACK * (squares.max() + length):
             self.leaves[node] = (number, rows)
             return node
-        far = int(distance.argmax())
-        one = self._dense(rows, far)
-        spread = (one * one).sum() - 2 * rows.dot(one) + np.add.reduceat(values * values, rows.start[:-1])
+        one = self._dense(rows, int(distance.argmax()))
+        spread = (one * one).sum() - 2 * rows.dot(one) + squares
         along = rows.dot(self._dense(rows, int(spread.argmax())) - one)
         left = np.zeros(rows.n, bool)
         left[np.argsort(along, kind="stable")[: rows.n // 2]] = True
@@ -151,28 +170,17 @@ class BallTree:
         out[rows.ids[at]] = rows.values[at]
         return out
 
-    def _radii(self, rows: Rows, values: np.ndarray, centroid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The radius in each subspace, rounded up, and the members' distances."""
-        group = np.arange(self.n_terms) % self.groups
-        base = np.bincount(group, centroid * centroid, self.groups)
-        near = centroid[rows.ids]
-        owner = np.repeat(np.arange(rows.n), np.diff(rows.start))
-        # |d - c|^2 in a subspace: the part of c there, corrected at the terms of d
-        change = np.bincount(
-            owner * self.groups + group[rows.ids], (values - near) ** 2 - near * near, rows.n * self.groups
-        ).reshape(rows.n, self.groups)
-        size = np.bincount(
-            owner * self.groups + group[rows.ids], (values - near) ** 2 + near * near, rows.n * self.groups
-        ).reshape(rows.n, self.groups)
-        square = np.maximum(base + change, 0)
-        upper = square + SLACK * (base + size)
-        return np.sqrt(upper.max(0)) * (1 + SLACK), np.maximum(base.sum() + change.sum(1), 0)
-
     def bounds(self, ids: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """For each node a number that no score of its documents exceeds."""
+        """For each node a number that no score of its documents exceeds: the smaller of the two balls' bounds."""
         values = values.astype(float)
-        norms = np.sqrt(np.bincount(ids % self.groups, values * values, self.groups))
-        return (self.centroid[:, ids] @ values + self.radius @ norms) * (1 + SLACK) + 1
+        spans = [np.arange(self.start[i], self.start[i + 1]) for i in ids.tolist()]
+        at = np.concatenate(spans) if spans else np.empty(0, np.int64)
+        weight = np.repeat(values, [len(x) for x in spans])
+        node = self.node[at]
+        inner = np.bincount(node, weight * self.centre[at], len(self.children))
+        coordinates = np.bincount(node, weight * self.upper[at], len(self.children))
+        ball = inner + math.sqrt((values * values).sum()) * self.radii
+        return np.minimum(ball, coordinates) * (1 + SLACK) + 1
 
 
 class Best:
