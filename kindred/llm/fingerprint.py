@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kindred.llm.common import materialise
+
 PARAGRAPHS = r"\R+"
 #: Finer units, for likeness of texts with few line breaks: a unit ends after a line end or a sign.
 CLAUSES = r"(?<=[\n.,;:!?|])"
@@ -165,12 +167,14 @@ def next_ids(ids: DataFrame) -> DataFrame:
     """(doc_id, next_id): the next smaller distinct id, the largest one after the smallest; null sorts below all.
 
     Ids are range-sorted; the neighbour inside a partition comes from a window per partition, the one across
-    partitions from a table with one row per partition.
+    partitions from a table with one row per partition. The sorted ids are written once with their place: sorted
+    twice, they might be cut into partitions differently, and ids would be lost between them.
     """
-    ordered = (
+    ordered = materialise(
         ids.select("doc_id").distinct().orderBy(F.col("doc_id").desc_nulls_last())
         .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_at", 33))
+        .withColumn("_part", F.shiftright("_at", 33)),
+        "ordered",
     )
     within = Window.partitionBy("_part").orderBy("_at")
     rows = ordered.select(
