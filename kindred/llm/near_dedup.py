@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kindred.llm.common import WordCodes, materialise, mix, odd_constants, rolling, split_words
+from kindred.llm.common import WordCodes, give_back, materialise, mix, odd_constants, rolling, split_words
 from kindred.llm.components import components, stars
 
 SHINGLE = 5
@@ -120,6 +120,8 @@ def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                      pa.array(h2, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "h1", "h2", "sketch"],
                 )
+        cache.clear()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
@@ -181,6 +183,8 @@ def shingles_of(docs: DataFrame, ids: DataFrame, sets: DataFrame, k: int) -> Dat
                     [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())],
                     names=["node", "shingles"],
                 )
+        cache.clear()
+        give_back()
 
     return (
         docs.join(wanted, docs.doc_id == wanted.node).select("node", "text", "h1", "h2").dropDuplicates(["node", "text"])

@@ -24,6 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from kindred.llm.common import give_back
+
 SAMPLE = 8_000
 DIMENSIONS = 1 << 15
 THRESHOLD = 0.5
@@ -248,6 +250,8 @@ def quality_scores(
                     [part.column(0), pa.array(labels, pa.float64()), pa.array(scores, pa.float64())],
                     names=["doc_id", "p_labels", "p_good"],
                 )
+        make.known.clear()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, p_labels double, p_good double")
