@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kindred import schema as S
 from kindred.functions.vectors import clip, l2_normalise, squared_norm
 from kindred.lexicons import QUANTILES
-from kindred.operators.frames import top_k
+from kindred.operators import grams
+from kindred.operators.frames import attach, top_k
 from kindred.operators.quantiles import exact_quantiles
-from kindred.operators.tfidf import tfidf_weights
+from kindred.operators.tfidf import term_words
+from kindred.storage import forget, materialise
 
 
 def _from_sums(sum_norm: Column, norm_sum: Column, n: Column) -> Column:
@@ -79,27 +83,71 @@ def tfidf_similarity(
     id_col: str = S.CAPTION,
     text_col: str = S.TEXT,
 ) -> DataFrame:
-    """Group similarity under TF-IDF vectors, from the long weight table.
+    """Group similarity under TF-IDF vectors.
 
-    ``|sum v|^2`` is the sum over terms of squared per-term sums, so the heavy aggregation is keyed by
-    (group, term) and a hot group is spread over its terms. A group of two or more captions whose vectors are
-    all zero has similarity 0; below two captions it is NULL.
+    ``|sum v|^2`` is the sum over terms of squared per-term sums. The terms go to their buckets twice (see
+    :mod:`kindred.operators.grams`), as bytes and not as rows: first for the captions' lengths, which a bucket adds up over its
+    terms, then with these lengths for the sums over a group's captions. A group of two or more captions whose vectors are
+    all zero has similarity 0; below two captions it is NULL. Rows of one caption id in a group are one vector.
+    The words, the group sizes, the lengths and the result are written to the shared folder; only the result stays there.
     """
-    named = df.filter(F.col(group_col).isNotNull())
-    weights = tfidf_weights(df, min_df, max_df, ngram_range, by, group_col, id_col, text_col)
-    w = F.col("w")
-    sums = (
-        weights.groupBy(*by, group_col, "term")
-        .agg(F.sum(w).alias("_s"), F.sum(w * w).alias("_q"))
-        .groupBy(*by, group_col)
-        .agg(F.sum(F.col("_s") * F.col("_s")).alias("_sum_norm"), F.sum("_q").alias("_norms"))
+    by, (low, high) = list(by), ngram_range
+    words, group, sizes = term_words(df, text_col), [*by, group_col], range(low, high + 1)
+    base = materialise(
+        df.select(*group, F.col(id_col).alias("_id"), words.alias("_words"), F.monotonically_increasing_id().alias("_at")), "words"
     )
-    sizes = named.groupBy(*by, group_col).agg(F.count(F.lit(1)).alias("num"))
+    n_docs = materialise(base.groupBy(*by).agg(F.count(F.lit(1)).alias("_docs")), "sizes")
+    groups = materialise(
+        base.filter(F.col(group_col).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("num"), F.min("_at").alias("_gid")), "groups"
+    )
+
+    def weighted(terms, counts, docs):
+        """Each term's number, and its weight in its row where the limits keep it, else 0."""
+        coded = terms.dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        df_ = np.bincount(code, minlength=len(coded.dictionary))[code]
+        bound = lambda limit: limit if isinstance(limit, int) else limit * docs
+        kept = (df_ >= bound(min_df)) & (df_ <= bound(max_df))
+        return code, len(coded.dictionary), np.where(kept, counts * (np.log((1.0 + docs) / (1.0 + df_)) + 1.0), 0.0)
+
+    def squares(key, terms, counts, row, docs):
+        _, _, w = weighted(terms, counts, docs)
+        rows, at = np.unique(row, return_inverse=True)
+        return {"_at": rows, "_sq": np.bincount(at, weights=w * w, minlength=len(rows))}
+
+    def sums(key, terms, counts, gid, scale, docs):
+        code, many, w = weighted(terms, counts, docs)
+        w = w * scale
+        inside = np.flatnonzero((gid >= 0) & (w != 0))
+        gids, which = np.unique(gid[inside], return_inverse=True)
+        pairs, at = np.unique(which * many + code[inside], return_inverse=True)
+        s = np.bincount(at, weights=w[inside], minlength=len(pairs))
+        return {
+            "_gid": gids, "_ss": np.bincount(pairs // max(many, 1), weights=s * s, minlength=len(gids)),
+            "_q": np.bincount(which, weights=w[inside] ** 2, minlength=len(gids)),
+        }
+
+    long, double = (pa.int64(), "bigint"), (pa.float64(), "double")
+    column = F.col("_words")
+    one = grams.gathered(
+        attach(base.select(*by, "_at", "_words"), n_docs, by), column, by, sizes, " ", {"_at": long, "_sq": double}, squares, ["_at", "_docs"], per_row=True
+    )
+    lengths = base.select(*group, "_id", "_at").join(one.groupBy("_at").agg(F.sum("_sq").alias("_sq")).filter(F.col("_sq") > 0), "_at")
+    norm = F.sqrt(F.sum("_sq").over(Window.partitionBy(*group, "_id")))
+    placed = materialise(lengths.withColumn("_scale", 1.0 / norm).join(groups, group).select("_at", "_gid", "_scale"), "lengths")
+    again = base.select(*by, "_at", "_words").join(placed, "_at", "left").withColumns(
+        {"_gid": F.coalesce("_gid", F.lit(-1).cast("bigint")), "_scale": F.coalesce("_scale", F.lit(0.0))}
+    )
+    two = grams.gathered(
+        attach(again, n_docs, by), column, by, sizes, " ", {"_gid": long, "_ss": double, "_q": double}, sums, ["_gid", "_scale", "_docs"], per_row=True
+    )
+    found = two.groupBy("_gid").agg(F.sum("_ss").alias("_sum_norm"), F.sum("_q").alias("_norms"))
     zero = F.lit(0.0)
     sim = _from_sums(F.coalesce("_sum_norm", zero), F.coalesce("_norms", zero), F.col("num"))
-    return sizes.join(sums, [*by, group_col], "left").select(
-        *by, group_col, sim.alias(S.SIM), F.col("num").alias(S.SIZE)
-    )
+    result = materialise(groups.join(found, "_gid", "left").select(*group, sim.alias(S.SIM), F.col("num").alias(S.SIZE)), "similarity")
+    for table in (base, n_docs, groups, placed):
+        forget(table)
+    return result
 
 
 def most_consistent(sims: DataFrame, k: int = 10, group_col: str = S.GROUP, by: Sequence[str] = ()) -> DataFrame:

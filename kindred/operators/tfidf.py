@@ -12,9 +12,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred import schema as S
 from kindred.functions.text import TERM_PATTERN, let, ngrams, term_counts
+from kindred.operators import grams
 from kindred.operators.frames import attach, unnest
 
 
+def term_words(df: DataFrame, text_col: str = S.TEXT) -> Column:
+    """The words that terms are made of."""
+    cut = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM_PATTERN), F.lit(0))
+    return F.col("term_words") if "term_words" in df.columns else cut
+
+
+def document_frequencies(
+    df: DataFrame, ngram_range: tuple[int, int] = (1, 2), by: Sequence[str] = (), text_col: str = S.TEXT
+) -> DataFrame:
+    """``(by, term, df)``: in how many captions each term is, without a row for each term of a caption."""
+    low, high = ngram_range
+    found = grams.counts(df, term_words(df, text_col), by, range(low, high + 1), whole_row=True)
+    return found.select(*by, F.col("ngram").alias("term"), F.col("cnt").alias("df"))
+
+
 def caption_terms(
     df: DataFrame,
     ngram_range: tuple[int, int] = (1, 2),
@@ -28,9 +44,7 @@ def caption_terms(
     A column ``term_words`` of words that are cut already is used instead of the text.
     """
     low, high = ngram_range
-    cut = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM_PATTERN), F.lit(0))
-    tokens = F.col("term_words") if "term_words" in df.columns else cut
-    terms = let(tokens, lambda t: F.concat(*[ngrams(t, n) for n in range(low, high + 1)]))
+    terms = let(term_words(df, text_col), lambda t: F.concat(*[ngrams(t, n) for n in range(low, high + 1)]))
     return unnest(df, [*by, group_col, id_col], term_counts(terms))
 
 
@@ -46,8 +60,11 @@ def vocabulary(
     max_df: int | float = 0.9,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """``(by, term, df, idf)`` of the terms kept by the document-frequency limits."""
-    counts = terms.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+    """``(by, term, df, idf)`` of the terms kept by the document-frequency limits.
+
+    ``terms`` is what :func:`caption_terms` gives, or :func:`document_frequencies`.
+    """
+    counts = terms if "df" in terms.columns else terms.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
     n = F.col("n_docs")
     kept = attach(counts, n_docs, by).filter(
         (F.col("df") >= _bound(min_df, n)) & (F.col("df") <= _bound(max_df, n))

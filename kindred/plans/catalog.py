@@ -346,7 +346,7 @@ def _named(df):
 def tfidf_vocabulary(spark, sf):
     df = tb.document_captions(spark, sf)
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    return rounded(tfidf.vocabulary(tfidf.caption_terms(df), n_docs))
+    return rounded(tfidf.vocabulary(tfidf.document_frequencies(df), n_docs))
 
 
 @query
