@@ -2,55 +2,62 @@
 
 A group of n captions has n(n-1)/2 pairs; they are never listed beyond ``cap``. Pair ranks are drawn and
 unranked to two positions, and the few positions that were hit are given to the captions with the smallest
-seeded hashes. Hash order is a random permutation of the group, so every pair is equally likely.
+seeded hashes. Hash order is a random permutation of the group, so every pair is equally likely. The ranks of a group are drawn by
+one task, which holds ``cap`` numbers; pairs are rows that meet their captions in joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from kindred import schema as S
-from kindred.functions.text import let
-from kindred.operators.frames import unnest
 
 
-def _hash60(*parts: Column) -> Column:
-    text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+#: drawn pairs that leave a task at once
+BATCH = 100_000
 
 
-def _draw(total: Column, cap: int, seed: int, group: Column) -> Column:
+def _ranks(total: int, cap: int, head: str) -> np.ndarray:
     """``min(total, cap)`` distinct ranks below ``total`` (Floyd's sampling: one step per drawn rank)."""
-    none = F.array().cast("array<bigint>")
+    if total <= cap:
+        return np.arange(total, dtype=np.int64)
+    chosen: set[int] = set()
+    for j in range(total - cap, total):
+        pick = int(hashlib.md5(f"{head}:{j}".encode()).hexdigest()[:15], 16) % (j + 1)
+        chosen.add(j if pick in chosen else pick)
+    return np.fromiter(chosen, np.int64, len(chosen))
 
-    def step(chosen: Column, j: Column) -> Column:
-        pick = F.pmod(_hash60(F.lit(seed), group, j), j + F.lit(1))
-        fresh = let(pick, lambda t: F.when(F.array_contains(chosen, t), j).otherwise(t))
-        return F.concat(chosen, F.array(fresh))
 
-    one = F.lit(1).cast("bigint")
-    sampled = F.aggregate(F.sequence(total - F.lit(cap), total - one), none, step)
-    everything = F.sequence(F.lit(0).cast("bigint"), total - one)
-    return F.when(total <= cap, everything).otherwise(sampled)
+def _unrank(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank ``j(j-1)/2 + i`` back to ``(i, j)`` with i < j."""
+    j = np.floor((1.0 + np.sqrt(1.0 + 8.0 * k)) / 2.0).astype(np.int64)
+    # The double square root can be off by one for large ranks.
+    j -= j * (j - 1) // 2 > k
+    j += j * (j + 1) // 2 <= k
+    return k - j * (j - 1) // 2, j
 
 
-def _unrank(k: Column) -> Column:
-    """Rank ``j(j-1)/2 + i`` back to ``(i, j)`` with i < j."""
+def _drawn(group: list[str], cap: int, seed: int):
+    """Arrow batches ``(group, _n, _name)`` to the drawn pairs of each group, as places among the captions that were hit."""
 
-    def below(j: Column) -> Column:
-        return F.shiftright(j * (j - F.lit(1)), 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, (n, name) in enumerate(zip(batch.column("_n").to_pylist(), batch.column("_name").to_pylist())):
+                i, j = _unrank(_ranks(n * (n - 1) // 2, cap, f"{seed}:{name}"))
+                places = np.unique(np.concatenate((i, j)), return_inverse=True)[1] + 1
+                for start in range(0, len(i), BATCH):
+                    x, y = places[: len(i)][start : start + BATCH], places[len(i) :][start : start + BATCH]
+                    key = pa.array(np.full(len(x), at))
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(c).take(key) for c in group], pa.array(x), pa.array(y)], names=[*group, "_x", "_y"]
+                    )
 
-    # The double square root can be off by one for large ranks.
-    guess = F.floor((F.lit(1.0) + F.sqrt(F.lit(1.0) + F.lit(8.0) * k)) / F.lit(2.0))
-    exact = let(
-        guess,
-        lambda j: F.when(below(j) > k, j - F.lit(1))
-        .when(below(j + F.lit(1)) <= k, j + F.lit(1))
-        .otherwise(j),
-    )
-    return let(exact, lambda j: F.struct((k - below(j)).alias("i"), j.alias("j")))
+    return run
 
 
 def same_group_pairs(
@@ -66,7 +73,7 @@ def same_group_pairs(
     """``(by, group, caption_a, caption_b, text_a, text_b, label = 1.0)`` with caption_a < caption_b.
 
     With ``by`` a group is one of its corpus, and equal ids of other corpora are other groups. Pair ranks must fit a
-    BIGINT: a group of over 3 billion captions fails with an overflow error.
+    BIGINT: a larger group fails with an overflow error.
     Null texts are ignored and groups below two texts give nothing. Each map task keeps only the
     ``2 * cap`` smallest hashes per group; ``salts`` spreads what remains of a hot group over that many tasks
     before the final cut. (Spark pushes the cut below the shuffle up to
@@ -85,26 +92,17 @@ def same_group_pairs(
         }
     )
     for keys in ([*group, "_salt"], group):
-        w = Window.partitionBy(*keys).orderBy("_key", "_id")
+        w = Window.partitionBy(*keys).orderBy("_key", "_id", "_text")
         keyed = keyed.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2 * cap)
-    sampled = keyed.groupBy(*group).agg(
-        F.sort_array(F.collect_list(F.struct("_key", "_id", "_text"))).alias("_captions")
-    )
 
-    total = F.shiftright(F.col("_n") * (F.col("_n") - F.lit(1)), 1)
     named = F.concat_ws(":", *[F.col(c).cast("string") for c in group])
-    drawn = sizes.select(
-        *group, F.transform(_draw(total, cap, seed, named), _unrank).alias("_pairs")
-    ).withColumn(
-        "_used",
-        F.array_sort(F.array_distinct(F.flatten(F.transform("_pairs", lambda p: F.array(p["i"], p["j"]))))),
-    )
-
-    def caption(position: Column) -> Column:
-        return F.get(F.col("_captions"), (F.array_position(F.col("_used"), position) - F.lit(1)).cast("int"))
-
-    chosen = F.transform("_pairs", lambda p: F.struct(caption(p["i"]).alias("x"), caption(p["j"]).alias("y")))
-    joined = unnest(drawn.join(sampled, group), group, chosen)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = sizes.select(*group, "_n", named.alias("_name")).repartition(tasks, *group)
+    schema = T.StructType([*[sizes.schema[c] for c in group], T.StructField("_x", T.LongType()), T.StructField("_y", T.LongType())])
+    joined = drawn.mapInArrow(_drawn(group, cap, seed), schema)
+    for place, name in (("_x", "x"), ("_y", "y")):  # the captions are few beside the pairs
+        captions = keyed.select(*group, F.col("_r").cast("bigint").alias(place), F.struct("_id", "_text").alias(name))
+        joined = joined.join(captions.hint("shuffle_hash"), [*group, place])
     ordered = F.col("x._id") <= F.col("y._id")
     first = F.when(ordered, F.col("x")).otherwise(F.col("y"))
     second = F.when(ordered, F.col("y")).otherwise(F.col("x"))
