@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from kindred import schema as S
 from kindred.functions.text import normalised, normalised_words, sized_ngrams, text_key
-from kindred.operators.frames import item_counts, top_counts, top_k, unnest
+from kindred.operators import grams
+from kindred.operators.frames import item_counts, top_counts, top_k
 
 
 def with_normalised(df: DataFrame, text_col: str = S.TEXT) -> DataFrame:
@@ -31,15 +32,8 @@ def duplicate_rate(df: DataFrame, by: Sequence[str] = (), text_col: str = S.TEXT
 def ngram_counts(
     df: DataFrame, n_values: Sequence[int] = (2, 3), by: Sequence[str] = (), text_col: str = S.TEXT
 ) -> DataFrame:
-    """Counts of within-caption n-grams, every n in one explode and one aggregation."""
-    prepared = df.select(*by, normalised_words(F.col(text_col)).alias("_words"))
-
-    grams = F.concat(*[sized_ngrams(F.col("_words"), n) for n in n_values])
-    return (
-        unnest(prepared, by, grams)
-        .groupBy(*by, "n", "ngram")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    """Counts of within-caption n-grams, every n in one shuffle (see :mod:`kindred.operators.grams`)."""
+    return grams.counts(df, normalised_words(F.col(text_col)), by, n_values)
 
 
 def top_ngrams(
@@ -54,9 +48,10 @@ def top_ngrams(
     """``tie="first_seen"`` lists equal counts in the order in which the n-grams first occur."""
     if tie != "key":
         prepared = df.select(*by, *order, normalised_words(F.col(text_col)).alias("_words"))
-        grams = F.concat(*[sized_ngrams(F.col("_words"), n) for n in n_values])
-        return top_counts(item_counts(prepared, by, grams, order=order), k, ["ngram"], [*by, "n"], tie)
-    return top_k(ngram_counts(df, n_values, by, text_col), k, "cnt", ["ngram"], [*by, "n"])
+        sized = F.concat(*[sized_ngrams(F.col("_words"), n) for n in n_values])
+        return top_counts(item_counts(prepared, by, sized, order=order), k, ["ngram"], [*by, "n"], tie)
+    counted = grams.counts(df, normalised_words(F.col(text_col)), by, n_values, k=k)  # a bucket gives its k first
+    return top_k(counted, k, "cnt", ["ngram"], [*by, "n"])
 
 
 def redundancy_analysis(

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.functions.tags import tag_count
-from kindred.functions.text import KEY_SEPARATOR, sized_ngrams
+from kindred.functions.text import KEY_SEPARATOR
 from kindred.lexicons import CONNECTIVES
-from kindred.operators.frames import attach, unnest
+from kindred.operators import grams
+from kindred.operators.frames import attach
 from kindred.operators.parsing import ensure_parsed
 
 
@@ -21,19 +23,26 @@ def distinct_ngrams(df: DataFrame, n_values: Sequence[int] = (1, 2, 3), by: Sequ
 
 
 def _gram_totals(df: DataFrame, n_values: Sequence[int], by: Sequence[str]) -> DataFrame:
-    """Distinct and total n-grams per n, from one explode and one shuffle of the n-grams.
+    """Distinct and total n-grams per n, from one shuffle of the n-grams (see :mod:`kindred.operators.grams`).
 
-    ``words_cnt`` of n = 1 counts the distinct lower-cased tokens: it is a distinct count over the unigrams
-    that are already aggregated, and every longer n-gram collapses to one NULL key before its shuffle.
+    ``words_cnt`` of n = 1 counts the distinct lower-cased tokens: a bucket says its two numbers for each n, and only
+    its distinct unigrams go on as rows.
     """
 
-    sized = F.concat(*[sized_ngrams(F.col("tokens"), n, KEY_SEPARATOR) for n in n_values])
-    grams = unnest(ensure_parsed(df), by, sized).groupBy(*by, "n", "ngram").agg(F.count(F.lit(1)).alias("_c"))
-    word = F.when(F.col("n") == 1, F.lower("ngram"))
-    return grams.groupBy(*by, "n").agg(
-        F.count(F.lit(1)).alias("distinct_cnt"),
-        F.sum("_c").alias("total_cnt"),
-        F.count_distinct(word).alias("words_cnt"),
+    def measure(key, found, counted):
+        names, cnt = grams.totals(found, counted)
+        return {"_distinct": [len(cnt)], "_total": [int(cnt.sum())], "_words": [names.to_pylist() if key[-1] == 1 else None]}
+
+    outputs = {
+        "_distinct": (pa.int64(), "bigint"), "_total": (pa.int64(), "bigint"), "_words": (pa.list_(pa.string()), "array<string>")
+    }
+    buckets = grams.gathered(ensure_parsed(df), F.col("tokens"), by, n_values, KEY_SEPARATOR, outputs, measure)
+    first = F.coalesce(F.col("_place"), F.lit(0)) == 0
+    words = buckets.select(*by, "n", "_distinct", "_total", F.posexplode_outer("_words").alias("_place", "_word")).groupBy(
+        *by, "n", F.lower("_word").alias("_word")
+    ).agg(F.sum(F.when(first, F.col("_distinct"))).alias("_distinct"), F.sum(F.when(first, F.col("_total"))).alias("_total"))
+    return words.groupBy(*by, "n").agg(
+        F.sum("_distinct").alias("distinct_cnt"), F.sum("_total").alias("total_cnt"), F.count("_word").alias("words_cnt")
     )
 
 
