@@ -53,10 +53,13 @@ def topics(
     counted = counter.transform(prepared).select("features").persist()
     model = LDA(k=k, maxIter=max_iter, seed=seed).fit(counted)
     counted.unpersist()
-    names = F.lit(list(counter.vocabulary))
     described = model.describeTopics(terms)
+    # The vocabulary stays in the JVM: only the terms that lead a topic are fetched and become part of the plan.
+    words = counter._java_obj.vocabulary()
+    leading = sorted({i for row in described.select("termIndices").collect() for i in row.termIndices})
+    names = F.create_map(*[F.lit(x) for i in leading for x in (i, words[i])]) if leading else F.lit(None).cast("map<int,string>")
     return described.select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t")
     ).select(
-        "topic", "rank", F.get(names, F.col("_t.termIndices")).alias("term"), F.col("_t.termWeights").alias("weight")
+        "topic", "rank", F.try_element_at(names, F.col("_t.termIndices")).alias("term"), F.col("_t.termWeights").alias("weight")
     )
