@@ -21,6 +21,7 @@ from kindred.operators import metric
 from kindred.operators.frames import top_k
 from kindred.operators.quantiles import exact_quantiles
 from kindred.operators.similarity import vector_sums
+from kindred.storage import materialise
 
 BLOCK = 128
 # Histogram refinement for medians of groups beyond one block: 3 levels of 1024 bins over [0, 2].
@@ -195,8 +196,10 @@ def raw_similarity(
     stats = _summaries(pair_cells(small, keys, "_id", "_vec", block), keys).select(*keys, "clipped", "raw")
     if large is not None:
         placed = metric.place(_doubles(large, keys), keys, block)
-        wanted = metric.clipped_cells(metric.bounded_cells(metric.block_table(placed, keys), keys), keys, tolerance)
-        stats = stats.unionByName(_summaries(metric.cell_vectors(placed, wanted, keys), keys).select(*keys, "clipped", "raw"))
+        table = materialise(metric.block_table(placed, keys), "blocks")
+        of = metric.tiles(table, keys)
+        wanted = metric.tiled(metric.clipped_cells(metric.bounded_cells(table, keys), keys, tolerance), of, keys).distinct()
+        stats = stats.unionByName(_summaries(metric.tile_vectors(placed, wanted, of, keys), keys).select(*keys, "clipped", "raw"))
     cut = stats.groupBy(*keys).agg(F.sum(F.col("clipped") - F.col("raw")).alias("_cut"))
     pairs = F.col("num").cast("double") * (F.col("num") - F.lit(1)) / F.lit(2.0)
     mean = (F.col("_total") + F.coalesce("_cut", F.lit(0.0))) / pairs
@@ -259,13 +262,15 @@ def caption_distances(
 def _large_distances(ready: DataFrame, keys: list[str], block: int) -> DataFrame:
     one = F.lit(1.0)
     placed = metric.place(_doubles(ready, keys), keys, block)
-    cells = metric.bounded_cells(metric.block_table(placed, keys), keys)
-    ends = _summaries(metric.cell_vectors(placed, metric.extreme_cells(cells, keys), keys), keys).groupBy(*keys).agg(
+    table = materialise(metric.block_table(placed, keys), "blocks")
+    of, cells = metric.tiles(table, keys), metric.bounded_cells(table, keys)
+    extreme = metric.tiled(metric.extreme_cells(cells, keys), of, keys).distinct()
+    ends = _summaries(metric.tile_vectors(placed, extreme, of, keys), keys).groupBy(*keys).agg(
         (one - F.min("low")).alias("dist_max"), (one - F.max("high")).alias("dist_min")
     )
-    middle = metric.median_cells(cells, keys)
+    middle = metric.median_tiles(cells, of, keys)
     targets = middle.select(*keys, "_pairs", "_below").distinct()
-    medians = _refined_medians(metric.cell_vectors(placed, middle, keys), targets, keys)
+    medians = _refined_medians(metric.tile_vectors(placed, middle.select(*keys, "lo", "hi"), of, keys), targets, keys)
     mean = raw_similarity(
         ready, None, keys[:-1], keys[-1], "_id", "_vec", block, tolerance=1e-9
     ).select(*keys, (one - F.col(S.SIM)).alias("dist_mean"))

@@ -32,6 +32,8 @@ SHARE = 50_000
 #: more than the rounding of an angle from a dot product of unit vectors
 SLACK = 1e-7
 ZERO = -1
+#: vectors of neighbouring blocks that travel and are multiplied together
+TILE = 2048
 
 
 def _spread(candidates: np.ndarray, count: int) -> np.ndarray:
@@ -152,6 +154,30 @@ def bounded_cells(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return materialise(cells, "cells")
 
 
+def tiles(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, _block, _tile)``: neighbouring blocks of about ``TILE`` vectors.
+
+    Bounds are per cell, but vectors sent for each cell by itself are n / block copies of every vector. A pair of tiles is
+    sent if one of its cells is wanted, which is n / TILE copies at most.
+    """
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n").over(before), F.lit(0))
+    return blocks.select(*keys, "_block", F.floor(start / TILE).cast("bigint").alias("_tile"))
+
+
+def tiled(cells: DataFrame, of: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The cells with ``lo`` and ``hi`` of their tiles in place of their blocks."""
+    for end in ("lo", "hi"):
+        cells = cells.join(of.withColumnsRenamed({"_block": end, "_tile": f"_{end}"}), [*keys, end])
+    return cells.withColumns({"lo": F.col("_lo"), "hi": F.col("_hi")}).drop("_lo", "_hi")
+
+
+def tile_vectors(placed: DataFrame, wanted: DataFrame, of: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`cell_vectors` of pairs of tiles, written to the shared folder: each pass over them has the same products."""
+    rows = placed.join(of, [*keys, "_block"]).drop("_block").withColumnRenamed("_tile", "_block")
+    return materialise(cell_vectors(rows, wanted, keys), "tiles")
+
+
 def cell_vectors(placed: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys, lo, hi, left, right)`` of the wanted cells, as :func:`kindred.operators.blocks.pair_cells` has them."""
     keys = list(keys)
@@ -190,6 +216,29 @@ def median_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     say. The counts go through a histogram of the bounds, rounded outwards to its edges.
     """
     keys = list(keys)
+    joined = _bracketed(cells, keys)
+    below = joined.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(F.col("far") < F.col("_from"), F.col("pairs"))), F.lit(0)).alias("_below")
+    )
+    return joined.filter((F.col("far") >= F.col("_from")) & (F.col("near") <= F.col("_to"))).join(below, keys).select(
+        *keys, "lo", "hi", "_pairs", "_below"
+    )
+
+
+def median_tiles(cells: DataFrame, of: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`median_cells` for pairs of tiles; ``_below`` counts the pairs of the tiles that are left out."""
+    keys = list(keys)
+    joined = tiled(_bracketed(cells, keys), of, keys)
+    wanted = (F.col("far") >= F.col("_from")) & (F.col("near") <= F.col("_to"))
+    pairs = joined.groupBy(*keys, "_pairs", "lo", "hi").agg(
+        F.max(wanted).alias("_wanted"), F.coalesce(F.sum(F.when(F.col("far") < F.col("_from"), F.col("pairs"))), F.lit(0)).alias("_b")
+    )
+    below = pairs.groupBy(*keys).agg(F.coalesce(F.sum(F.when(~F.col("_wanted"), F.col("_b"))), F.lit(0)).alias("_below"))
+    return pairs.filter("_wanted").join(below, keys).select(*keys, "lo", "hi", "_pairs", "_below")
+
+
+def _bracketed(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells with bounds of their distances, the group's pairs, and bounds of its two middle distances."""
     bounded = _distances(cells)
     edge = BINS / 2.0
     at = F.array(
@@ -209,13 +258,7 @@ def median_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.min(F.when(F.col("_s") > first, F.col("_bin"))) / edge).alias("_from"),
         (F.min(F.when(F.col("_e") > second, F.col("_bin"))) / edge).alias("_to"),
     )
-    joined = bounded.join(brackets, keys)
-    below = joined.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(F.col("far") < F.col("_from"), F.col("pairs"))), F.lit(0)).alias("_below")
-    )
-    return joined.filter((F.col("far") >= F.col("_from")) & (F.col("near") <= F.col("_to"))).join(below, keys).select(
-        *keys, "lo", "hi", "_pairs", "_below"
-    )
+    return bounded.join(brackets, keys)
 
 
 def clipped_cells(cells: DataFrame, keys: Sequence[str], tolerance: float = 0.0) -> DataFrame:
