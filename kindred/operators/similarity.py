@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred import schema as S
 from kindred.functions.vectors import clip, l2_normalise, squared_norm
 from kindred.lexicons import QUANTILES
-from kindred.operators import grams
+from kindred.operators import grams, pieces
 from kindred.operators.frames import attach, top_k
 from kindred.operators.quantiles import exact_quantiles
 from kindred.operators.tfidf import term_words
 from kindred.storage import forget, materialise
 
 
+#: The sums of terms are sent in so many turns, each with the buckets of one remainder: disk for one, at the price of cutting terms again.
+TURNS = 2
+
+
 def _from_sums(sum_norm: Column, norm_sum: Column, n: Column) -> Column:
     """Mean of all pairwise dots from ``|sum v|^2``, ``sum |v|^2`` and n; NULL below two vectors."""
     pairs = n.cast("double") * (n - F.lit(1))
@@ -85,67 +89,109 @@ def tfidf_similarity(
 ) -> DataFrame:
     """Group similarity under TF-IDF vectors.
 
-    ``|sum v|^2`` is the sum over terms of squared per-term sums. The terms go to their buckets twice (see
-    :mod:`kindred.operators.grams`), as bytes and not as rows: first for the captions' lengths, which a bucket adds up over its
-    terms, then with these lengths for the sums over a group's captions. A group of two or more captions whose vectors are
-    all zero has similarity 0; below two captions it is NULL. Rows of one caption id in a group are one vector.
-    The words, the group sizes, the lengths and the result are written to the shared folder; only the result stays there.
+    ``|sum v|^2`` is the sum over terms of squared per-term sums. Captions are stored in pieces that learn the frequencies of
+    their terms (see :mod:`kindred.operators.pieces`); a piece then knows its captions' lengths, adds up its unit vectors for each group
+    and sends the sums on, as numbers. A group of two or more captions whose vectors are
+    all zero has similarity 0; below two captions it is NULL. Rows of one caption id in a group are one vector; only if there are
+    any, the lengths of rows are looked up by id.
+    The pieces, the group sizes, the frequencies and the result are written to the shared folder; only the result stays there.
     """
     by, (low, high) = list(by), ngram_range
     words, group, sizes = term_words(df, text_col), [*by, group_col], range(low, high + 1)
-    base = materialise(
-        df.select(*group, F.col(id_col).alias("_id"), words.alias("_words"), F.monotonically_increasing_id().alias("_at")), "words"
+    base = materialise(pieces.pieces(df, words, by, {"_group": F.col(group_col), "_id": F.col(id_col)}), "pieces")
+    captions = base.select(*by, "_piece", F.posexplode(F.arrays_zip("_at", "_group", "_id")).alias("_place", "_c")).select(
+        *by, F.col("_c._group").alias(group_col), F.col("_c._id").alias("_id"), F.col("_c._at").alias("_at"), "_piece", "_place"
     )
-    n_docs = materialise(base.groupBy(*by).agg(F.count(F.lit(1)).alias("_docs")), "sizes")
+    n_docs = materialise(base.groupBy(*by).agg(F.sum("_many").alias("_docs")), "sizes")
     groups = materialise(
-        base.filter(F.col(group_col).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("num"), F.min("_at").alias("_gid")), "groups"
+        captions.filter(F.col(group_col).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("num"), F.min("_at").alias("_gid")), "groups"
     )
+    located = captions.join(groups.select(*group, "_gid"), group, "left").select("_piece", "_place", "_at", "_gid", "_id")
+    told = materialise(pieces.answers(base, by, sizes, " ", min_df if isinstance(min_df, int) else 0), "frequencies", compression="zstd")
 
-    def weighted(terms, counts, docs):
-        """Each term's number, and its weight in its row where the limits keep it, else 0."""
-        coded = terms.dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        df_ = np.bincount(code, minlength=len(coded.dictionary))[code]
+    def weighted(row, piece, terms):
+        """The squared lengths of the rows, and of each size the kept terms' rows and weights."""
+        docs, parts, sq = row["_docs"], [], np.zeros(len(piece.lens))
         bound = lambda limit: limit if isinstance(limit, int) else limit * docs
-        kept = (df_ >= bound(min_df)) & (df_ <= bound(max_df))
-        return code, len(coded.dictionary), np.where(kept, counts * (np.log((1.0 + docs) / (1.0 + df_)) + 1.0), 0.0)
-
-    def squares(key, terms, counts, row, docs):
-        _, _, w = weighted(terms, counts, docs)
-        rows, at = np.unique(row, return_inverse=True)
-        return {"_at": rows, "_sq": np.bincount(at, weights=w * w, minlength=len(rows))}
-
-    def sums(key, terms, counts, gid, scale, docs):
-        code, many, w = weighted(terms, counts, docs)
-        w = w * scale
-        inside = np.flatnonzero((gid >= 0) & (w != 0))
-        gids, which = np.unique(gid[inside], return_inverse=True)
-        pairs, at = np.unique(which * many + code[inside], return_inverse=True)
-        s = np.bincount(at, weights=w[inside], minlength=len(pairs))
-        return {
-            "_gid": gids, "_ss": np.bincount(pairs // max(many, 1), weights=s * s, minlength=len(gids)),
-            "_q": np.bincount(which, weights=w[inside] ** 2, minlength=len(gids)),
-        }
-
-    long, double = (pa.int64(), "bigint"), (pa.float64(), "double")
-    column = F.col("_words")
-    one = grams.gathered(
-        attach(base.select(*by, "_at", "_words"), n_docs, by), column, by, sizes, " ", {"_at": long, "_sq": double}, squares, ["_at", "_docs"], per_row=True
-    )
-    lengths = base.select(*group, "_id", "_at").join(one.groupBy("_at").agg(F.sum("_sq").alias("_sq")).filter(F.col("_sq") > 0), "_at")
-    norm = F.sqrt(F.sum("_sq").over(Window.partitionBy(*group, "_id")))
-    placed = materialise(lengths.withColumn("_scale", 1.0 / norm).join(groups, group).select("_at", "_gid", "_scale"), "lengths")
-    again = base.select(*by, "_at", "_words").join(placed, "_at", "left").withColumns(
-        {"_gid": F.coalesce("_gid", F.lit(-1).cast("bigint")), "_scale": F.coalesce("_scale", F.lit(0.0))}
-    )
-    two = grams.gathered(
-        attach(again, n_docs, by), column, by, sizes, " ", {"_gid": long, "_ss": double, "_q": double}, sums, ["_gid", "_scale", "_docs"], per_row=True
-    )
-    found = two.groupBy("_gid").agg(F.sum("_ss").alias("_sum_norm"), F.sum("_q").alias("_norms"))
+        for n, bucket, ids, dfs, term, at, tf in terms:
+            kept = (ids > 0) & (dfs >= bound(min_df)) & (dfs <= bound(max_df))
+            some = kept[term]
+            term, at = term[some], at[some]
+            w = tf[some] * (np.log((1.0 + docs) / (1.0 + dfs)) + 1.0)[term]
+            sq += np.bincount(at, weights=w * w, minlength=len(sq))
+            parts.append((n, bucket, ids, term, at, w))
+        return sq, parts
+
+    def lengths(row, piece, terms):
+        sq, _ = weighted(row, piece, terms)
+        some = np.flatnonzero(sq)
+        return [pa.RecordBatch.from_arrays([pa.array(np.array(row["_at"], np.int64)[some]), pa.array(sq[some])], names=["_at", "_sq"])]
+
+    def sums(row, piece, terms, turn):
+        sq, parts = weighted(row, piece, terms)
+        total = np.array([x if t is None else t for x, t in zip(sq.tolist(), row["_totals"])], float)
+        scale = np.divide(1.0, np.sqrt(total), out=np.zeros(len(sq)), where=total > 0)
+        gids, which = np.unique(np.array([-1 if g is None else g for g in row["_gids"]], np.int64), return_inverse=True)
+        out = []
+
+        def cells(n, bucket, gid, ids, s):
+            at = pieces.starts(bucket)
+            columns = [pa.array(np.full(len(at) - 1, n, np.int32)), pa.array(bucket[at[:-1]].astype(np.int32))]
+            columns += [pieces.cut(at, x) for x in (gid, pieces.steps(ids, at), s)]
+            out.append(pa.RecordBatch.from_arrays(columns, names=["n", "_bucket", "_gids", "_ids", "_s"]))
+
+        some = np.flatnonzero(gids >= 0)
+        own = np.bincount(which, weights=sq * scale * scale, minlength=len(gids))[some]
+        if turn == 0:
+            cells(0, np.full(len(some), row["_piece"] % grams.BUCKETS), gids[some], np.zeros(len(some), np.int32), own)
+        for n, bucket, ids, term, at, w in parts:
+            some = (gids[which[at]] >= 0) & (bucket[term] % TURNS == turn)
+            term, at, w = term[some], at[some], w[some]
+            key, place = np.unique((bucket[term] * len(gids) + which[at]) * max(len(ids), 1) + term, return_inverse=True)
+            term, gid = key % max(len(ids), 1), gids[key // max(len(ids), 1) % max(len(gids), 1)]
+            cells(n, bucket[term], gid, ids[term], np.bincount(place, weights=w * scale[at], minlength=len(key)))
+        return out
+
+    def squares(batches):
+        for (_, n), held in pieces.runs(batches, ["_bucket", "n"], ["_gids", "_ids", "_s"]):
+            gid, ids, s = zip(*held)
+            gid, s = (np.concatenate([pieces.uncut(x, kind) for x in part]) for part, kind in ((gid, np.int64), (s, np.float64)))
+            ids = np.concatenate([np.cumsum(pieces.uncut(x, np.int32)) for x in ids])
+            gids, which = np.unique(gid, return_inverse=True)
+            many = int(ids.max(initial=0)) + 1
+            pairs, at = np.unique(which * many + ids, return_inverse=True)
+            s = np.bincount(at, weights=s, minlength=len(pairs))
+            found = np.bincount(pairs // many, weights=s * s if n else s, minlength=len(gids))
+            none = np.zeros(len(gids))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gids, found if n else none, none if n else found)], names=["_gid", "_ss", "_q"])
+
+    ready = attach(base, n_docs, by)
+    double = F.lit(None).cast("double")
+    vector = ["_gid", "_id"]
+    again = located.filter(F.col("_gid").isNotNull()).groupBy(*vector).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_vector")).filter(F.col("_n") > 1)
+    stored = []
+    if again.isEmpty():
+        totals = located.withColumn("_total", double)
+    else:
+        named = again.select(F.col("_gid").alias("_g"), F.col("_id").alias("_i"), "_vector")
+        rows = located.join(named, (F.col("_gid") == F.col("_g")) & F.col("_id").eqNullSafe(F.col("_i"))).select("_at", "_vector")
+        one = materialise(pieces.met(ready, told, sizes, lengths, "_at bigint, _sq double", ["_docs", "_at"]), "lengths")
+        whole = rows.join(one, "_at").groupBy("_vector").agg(F.sum("_sq").alias("_total"))
+        totals = located.join(rows.join(whole, "_vector").select("_at", "_total"), "_at", "left")
+        stored.append(one)
+    facts = totals.groupBy("_piece").agg(F.sort_array(F.collect_list(F.struct("_place", "_gid", "_total"))).alias("_f"))
+    ready = ready.join(facts.select("_piece", F.col("_f._gid").alias("_gids"), F.col("_f._total").alias("_totals")), "_piece")
+    schema = "n int, _bucket int, _gids binary, _ids binary, _s binary"
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for turn in range(TURNS):
+        cells = pieces.met(ready, told, sizes, partial(sums, turn=turn), schema, ["_docs", "_gids", "_totals"])
+        two = cells.repartition(tasks, "_bucket").sortWithinPartitions("_bucket", "n").mapInArrow(squares, "_gid bigint, _ss double, _q double")
+        stored.append(materialise(two.groupBy("_gid").agg(F.sum("_ss").alias("_ss"), F.sum("_q").alias("_q")), "sums"))
+    found = reduce(DataFrame.unionByName, stored[-TURNS:]).groupBy("_gid").agg(F.sum("_ss").alias("_sum_norm"), F.sum("_q").alias("_norms"))
     zero = F.lit(0.0)
     sim = _from_sums(F.coalesce("_sum_norm", zero), F.coalesce("_norms", zero), F.col("num"))
     result = materialise(groups.join(found, "_gid", "left").select(*group, sim.alias(S.SIM), F.col("num").alias(S.SIZE)), "similarity")
-    for table in (base, n_docs, groups, placed):
+    for table in (base, n_docs, groups, told, *stored):
         forget(table)
     return result
 

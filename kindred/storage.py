@@ -31,11 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed inside go when it ends, and not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = (), compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut and lost executors cost no rerun."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    with _shuffles_removed(spark):
+        df.write.partitionBy(*partition_by).parquet(path, compression=compression)
     for paths in _scopes[-1:]:
         paths.append(path)
     out = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
