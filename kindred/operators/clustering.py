@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from kindred import schema as S
 from kindred.functions.text import TERM_PATTERN, let, ngrams
+from kindred.operators import lda, pieces
 from kindred.operators.frames import top_k
+from kindred.storage import forget, materialise
+
+#: numbers that the topics' estimator may keep on the driver, as one matrix of several
+ON_DRIVER = 1 << 20
 
 
 def cluster_captions(vectors: DataFrame, k: int = 20, seed: int = 42, vec_col: str = "vec") -> DataFrame:
@@ -38,15 +43,31 @@ def topics(
     max_iter: int = 10,
     seed: int = 42,
     text_col: str = S.TEXT,
+    limit: int = ON_DRIVER,
 ) -> DataFrame:
     """``(topic, rank, term, weight)`` of the leading unigrams and bigrams of each topic.
 
-    The vocabulary is what ``min_df`` keeps; ``vocab_size`` bounds it further if given. Term counts are kept for the
-    iterations of the fit, so the text is tokenised once for it.
+    The vocabulary is what ``min_df`` keeps; ``vocab_size`` bounds it further if given. The estimator keeps a number for each topic
+    and term on the driver; beyond ``limit`` of them the same method runs on tables (:mod:`kindred.operators.lda`), from another
+    random start. A ``vocab_size`` is taken as the caller's bound for the driver.
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM_PATTERN), F.lit(0))
+    named = df.filter(F.col(text_col).isNotNull())
+    if not vocab_size:
+        base = materialise(pieces.pieces(named, tokens), "pieces")
+        least = min_df if min_df >= 1 else min_df * (base.agg(F.sum("_many")).first()[0] or 0)
+        told = materialise(pieces.answers(base, [], [1, 2], " ", least, names=True), "frequencies", compression="zstd")
+        found = None
+        if lda.numbered(told)[0] * k > limit:
+            slots, sums = lda.fitted(base, told, k, max_iter, seed)
+            found = lda.leading(slots, told, sums, terms)
+            forget(slots)
+        forget(base)
+        forget(told)
+        if found is not None:
+            return df.sparkSession.createDataFrame(found, "topic int, rank int, term string, weight double")
     grams = let(tokens, lambda t: F.concat(t, ngrams(t, 2)))
-    prepared = df.filter(F.col(text_col).isNotNull()).select(grams.alias("_terms"))
+    prepared = named.select(grams.alias("_terms"))
     counter = CountVectorizer(
         inputCol="_terms", outputCol="features", vocabSize=vocab_size or (1 << 31) - 1, minDF=min_df
     ).fit(prepared)
